@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import jaccard
+from weftgraph.llm import jaccard, packing, rans, store, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that 50-byte strings of smaller doc_ids cover, and the digest of the rest."""
+    return suffix.digest(suffix.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
+@query("op1_rans_token_output")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as rANS blocks and read back."""
+    path = store.scratch(spark, "rans")
+    rans.encode(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end_id=2)
+    return rans.digest(rans.decode(spark, path))
+
+
+@query("op10_hierarchical_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into windows of up to 2048 ids."""
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1))
