@@ -69,7 +69,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes together; one longer text makes a range by itself."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -81,10 +81,10 @@ def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int
 class Words:
     """All words of some texts: text number, start and end byte, hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, separator: np.ndarray = SEPARATOR):
         data = LOWER[data] if lower else data
         n = len(data)
-        inside = ~SEPARATOR[data]
+        inside = ~separator[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
@@ -99,9 +99,8 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.text = np.searchsorted(offsets, self.start, "right") - 1
         self.data = data
-        if hashes:
-            self.sums = prefix_sums(data)
-            self.hash = span_hash(self.sums, self.start, self.end)
+        self.sums = prefix_sums(data)
+        self.hash = span_hash(self.sums, self.start, self.end)
 
     def first(self, texts: int) -> np.ndarray:
         """Number of the first word of each text, and one more."""
