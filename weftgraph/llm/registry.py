@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, jaccard, packing, pivots, rans, store, suffix, toxicity, urls
+from weftgraph.llm import chat, html, jaccard, leaks, packing, pivots, rans, store, suffix, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,15 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of each 20th vector with all others."""
     return pivots.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and how much of it."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.digest(html.extract(table(spark, sf_dir, "pages")))
