@@ -18,8 +18,8 @@ from weftgraph.llm import bytescan as bs
 U64 = np.uint64
 #: Bits of the feature space; labelled documents that the model is fitted on at most (in order of a hash of doc_id).
 FEATURE_BITS, TRAINING_ROWS = 18, 8000
-#: Lengths in bytes of word beginnings and ends.
-AFFIXES = (4, 6, 8)
+#: Lengths in bytes of word beginnings, and of word ends.
+BEGINNINGS, ENDINGS = (5, 6, 7), (5,)
 SEPARATES = np.ones(256, bool)
 SEPARATES[[*range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x30, 0x3A), 0x27, *range(0x80, 0x100)]] = False
 ENDS = np.zeros(256, bool)
@@ -40,10 +40,14 @@ class Bags:
         self.begin = start[first] - offsets[self.text]
         self.end = end[np.r_[first[1:] - 1, len(start) - 1]] - offsets[self.text] if len(first) else self.begin
         keys, of = [words.hash], [sentence]
-        for n in AFFIXES:
+        for n in BEGINNINGS:
             fits = end - start > n
-            keys += [bs.span_hash(words.sums, start[fits], start[fits] + n) ^ bs.M2, bs.span_hash(words.sums, end[fits] - n, end[fits]) ^ bs.M3]
-            of += [sentence[fits]] * 2
+            keys.append(bs.span_hash(words.sums, start[fits], start[fits] + n) ^ bs.M2)
+            of.append(sentence[fits])
+        for n in ENDINGS:
+            fits = end - start > n
+            keys.append(bs.span_hash(words.sums, end[fits] - n, end[fits]) ^ bs.M3)
+            of.append(sentence[fits])
         self.feature = (np.concatenate(keys) >> U64(64 - FEATURE_BITS)).astype(np.int64)
         self.sentence = np.concatenate(of)
 
@@ -53,7 +57,7 @@ def noisy_or(log_clean: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, log_clean, n)[:n])
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 2e-3) -> np.ndarray:
     """Weights of the features, and the bias as the last one, by full-batch Adagrad on the documents' loss."""
     data, offsets = bs.utf8(texts)
     feature, sentence, owner, n_sentences = [], [], [], 0
@@ -75,8 +79,8 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60, rate: float = 0.3
     toxic = np.bincount(held[label], minlength=1 << FEATURE_BITS)
     clean = np.bincount(held[~label], minlength=1 << FEATURE_BITS)
     odds = np.log((toxic + 0.1) / (y.sum() + 0.2)) - np.log((clean + 0.1) / ((~y).sum() + 0.2))
-    use = (toxic + clean >= 3) & (np.abs(odds) > 0.7)
-    weights[:-1] = np.where(use, np.clip(odds, -1, 3) * (1 - 1 / np.sqrt(1 + toxic + clean)) * 0.5, 0)
+    use = (toxic >= 3) & (odds > 1.0)
+    weights[:-1] = np.where(use, odds, 0)
     weights[-1] = -6.0
     keep = use[feature]
     feature, sentence = feature[keep], sentence[keep]
@@ -86,9 +90,10 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60, rate: float = 0.3
         p_sentence = 1 / (1 + np.exp(-z))
         p = np.clip(noisy_or(-np.logaddexp(0, z), owner, n), 1e-9, 1 - 1e-9)
         pull = np.where(y, -(1 - p) / p, 1.0)[owner] * p_sentence / n * 100
-        gradient = np.append(np.bincount(feature, pull[sentence], 1 << FEATURE_BITS), pull.sum()) + decay * weights
+        gradient = np.append(np.bincount(feature, pull[sentence], 1 << FEATURE_BITS), pull.sum()) + np.append(np.where(use, decay, 0), 0)
         squares += gradient**2
         weights -= rate * gradient / np.sqrt(squares) * np.append(use, True)
+        np.maximum(weights[:-1], 0, out=weights[:-1])  # words can offend, but none excuses another
     return weights
 
 
