@@ -15,9 +15,13 @@ import numpy as np
 #: White space as Unicode's White_Space property has it, and letters of the Latin blocks (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-PIECE = re.compile(f"[{WHITE}]*(?:[{LETTER}]+(?=[,.!?;:#$%&*|])|[^{WHITE}]+)|[{WHITE}]+")
-#: Pieces that a worker remembers before it starts anew (about 100 MB), and the longest one kept.
-REMEMBERED, LONGEST = 400_000, 64
+PIECE = re.compile(f"\n(?=[{LETTER}])|[{WHITE}]*(?:[{LETTER}]+(?=[,.!?;:#$%&*|])|[^{WHITE}]+)|[{WHITE}]+")
+#: Pieces that can be encoded together, with a separator between them that is always one token.
+PLAIN = re.compile(f" ?[^{WHITE}0]+")
+SEPARATORS = ("\n", " 0 ")
+#: Pieces that a worker remembers before it starts anew (about 200 MB), and the longest one kept.
+REMEMBERED, LONGEST = 900_000, 64
+
 
 
 class Encoder:
@@ -32,6 +36,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        left, right = self._ids("a"), self._ids("b")
+        self.separator, self.mark = None, None
+        for text in SEPARATORS:
+            ids = self._ids(f"a{text}b")
+            if len(ids) == len(left) + len(right) + 1 and [*left, ids[len(left)], *right] == ids:
+                self.separator, self.mark = text, ids[len(left)]
+                break
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, missing: list[str]) -> None:
+        """Encodes new pieces: plain ones in long strings, split again at the separator's token."""
+        plain = [p for p in missing if PLAIN.fullmatch(p)] if self.separator else []
+        if plain:
+            joined = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+            for some, found in zip(joined, self.tokenizer.encode_batch_fast([self.separator.join(x) for x in joined], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                cut = np.flatnonzero(ids == self.mark)
+                if len(cut) != len(some) - 1:
+                    raise ValueError("the separator is not one token here")
+                raw, ends = ids.tobytes(), [*cut.tolist(), len(ids)]
+                start = 0
+                for piece, end in zip(some, ends, strict=True):
+                    self.known[piece] = raw[4 * start : 4 * end]
+                    start = end + 1
+        rest = [p for p in missing if p not in self.known]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(found.ids, "<u4").tobytes()
 
     @classmethod
     def of(cls, file: str) -> Encoder:
@@ -40,21 +75,16 @@ class Encoder:
         return cls._open[file]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(t) for t in texts]
-        missing = list({p for pieces in cut for p in pieces}.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
+        cut = list(map(PIECE.findall, texts))
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            missing = list({p for pieces in cut for p in pieces})
-        long = []
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
-                if len(piece) > LONGEST:
-                    long.append(piece)
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in long:
-            del self.known[piece]
+        missing = list(set().union(*cut).difference(self.known))
+        self._learn(missing)
+        known = self.known.__getitem__
+        out = [b"".join(map(known, pieces)) for pieces in cut]
+        for piece in missing:
+            if len(piece) > LONGEST:
+                del self.known[piece]
         return out
 
 
