@@ -147,24 +147,28 @@ class Block:
         return ids
 
 
-def _tokenise(tokenizer: str, end_id: int):
+def _narrow(ids: bytes, kind: str) -> bytes:
+    return ids if kind == "<u4" else np.frombuffer(ids, "<u4").astype(kind).tobytes()
+
+
+def _tokenise(tokenizer: str, end_id: int, kind: str):
     def run(batches):
         encoder, tail = Encoder.of(tokenizer_file(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in groups(texts):
-                found = [x + tail for x in encoder.encode(texts[a:b])]
+                found = [_narrow(x + tail, kind) for x in encoder.encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _count(batches):
+def _count(batches, kind: str):
     """Occurrences of each id in this partition."""
     total = np.zeros(0, np.int64)
     for batch in batches:
         for a in range(0, len(batch), 512):
-            ids = np.frombuffer(b"".join(batch.column("ids").slice(a, 512).to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(batch.column("ids").slice(a, 512).to_pylist()), kind)
             found = np.bincount(ids, minlength=len(total))
             found[: len(total)] += total
             total = found
@@ -172,7 +176,8 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
 
 
-def _encode(table, block_tokens: int):
+def _encode(table, block_tokens: int, kind: str):
+    width = np.dtype(kind).itemsize
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
@@ -180,18 +185,18 @@ def _encode(table, block_tokens: int):
         doc_ids, held, size, block, start = [], [], 0, 0, 0
 
         def out():
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            payload = encode_block(frequencies, np.array(doc_ids, np.int64), lengths, np.frombuffer(b"".join(held), "<u4"))
+            lengths = np.array([len(x) // width for x in held], np.int64)
+            payload = encode_block(frequencies, np.array(doc_ids, np.int64), lengths, np.frombuffer(b"".join(held), kind).astype("<u4"))
             return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in (part, block, start, size, len(held))), pa.array([payload], pa.binary())], schema=schema)
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and size + len(ids) // 4 > block_tokens:
+                if held and size + len(ids) // width > block_tokens:
                     yield out()
                     doc_ids, held, size, block, start = [], [], 0, block + 1, start + size
                 doc_ids.append(doc_id)
                 held.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
         if held:
             yield out()
 
@@ -202,20 +207,22 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens
     """Writes the ids of every text of docs (doc_id, text), and end_id after each, in ascending doc_id order to path.
 
     Null texts are empty (only the end id). Rows without doc_id are left out; rows of equal doc_id follow
-    one another in the order of their ids' bytes. An empty table gives an empty dataset.
+    one another in the order of a hash of their ids. An empty table gives an empty dataset.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    kind = "<u2" if max(end_id + 1, Encoder.of(tokenizer_file(tokenizer)).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
     base = store.scratch(spark, "tokens")
-    tokens = store.save(rows.mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, ids binary"), base)
-    counted = tokens.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = store.save(rows.mapInArrow(_tokenise(tokenizer, end_id, kind), "doc_id long, ids binary"), base)
+    counted = tokens.mapInArrow(lambda rows: _count(rows, kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted.write.parquet(f"{path}/frequencies")
     table = spark.sparkContext.broadcast(read_table(spark, path))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    blocks = ordered.mapInArrow(_encode(table, block_tokens), "part long, block long, start long, tokens long, documents long, payload binary")
+    keyed = tokens.withColumn("tie", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    blocks = ordered.mapInArrow(_encode(table, block_tokens, kind), "part long, block long, start long, tokens long, documents long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    del ordered, blocks, tokens
+    del keyed, ordered, blocks, tokens
     store.release(spark)
     store.remove(spark, base)
 
