@@ -102,8 +102,8 @@ def triples(spec: TripleMap, sources: dict[str, DataFrame], lenient: bool = Fals
             made.append(entry(predicate, F.lit(what.iri), "iri"))
         elif isinstance(what, Each):
             head, tail = what.template.split("{it}")
-            each = rows.select(subject, F.explode(what.column).alias("it")).filter("it is not null and it <> ''")
-            made.append(each.select("s", F.lit(predicate).alias("p"), F.concat(F.lit(head), terms.pct_encode(F.col("it").cast("string")), F.lit(tail)).alias("o"), F.lit("iri").alias("o_kind")))
+            each = rows.select(subject, F.explode(what.column).alias("it")).withColumn("it", F.col("it").cast("string")).filter("it is not null and it <> ''")
+            made.append(each.select("s", F.lit(predicate).alias("p"), F.concat(F.lit(head), terms.pct_encode("it"), F.lit(tail)).alias("o"), F.lit("iri").alias("o_kind")))
         else:
             parent = sources[what.parent.source].select(what.parent.subject.render().alias("o"), F.col(what.parent_column).alias("__key"))
             joined = rows.select(subject, F.col(what.child).alias("__key")).join(parent, "__key")
