@@ -8,12 +8,15 @@ doc_id. All strings are judged on the input; matches never cross documents.
 2. Round 0, offset 16. Each window of THRESHOLD bytes is led by the position in it whose 16-byte
    prefix has the least hash (equal windows have equal leaders, about one position in 18 leads any).
    Spark groups the leaders' prefixes; leaders whose prefix is unique, and their windows, are settled.
-3. Doubling, offsets 8, 16 and 18 (to lengths 16, 32 and 50). The surviving leaders' contexts are sent
-   to the task that owns their prefix. There the positions' (rank, rank at the offset) pairs are sorted
+3. Whole contexts. A surviving leader's context is all windows it leads. Contexts are sorted by prefix and
+   content; those that a smaller doc_id has too are settled, and so are those that are alone with their
+   prefix. Of the rest, one context of each content goes on with its bytes.
+4. Doubling, offsets 8, 16 and 18 (to lengths 16, 32 and 50). These bytes are sent to the task that owns
+   their prefix. There the positions' (rank, rank at the offset) pairs are sorted
    and reranked at each offset; positions that become unique drop out. Windows of equal rank at the
    threshold are equal strings: all but those of the least doc_id go. These ranks come from sorting
    the bytes themselves, not from hashes.
-4. Each batch of documents applies the marks that come back.
+5. Each batch of documents applies the marks that come back.
 
 Positions are packed into arrays, a row for each batch and bucket, so Spark moves few large rows. Equal
 contexts within a batch are sent once, with the least doc_id. A prefix that many batches hold is hot:
@@ -31,6 +34,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftgraph.llm import bytescan as bs
 from weftgraph.llm import store
@@ -39,7 +44,7 @@ U64 = np.uint64
 #: Bytes that a removed string has at least, and bytes of the first prefix.
 THRESHOLD, SEED = 50, 16
 #: Bytes of text in one batch, and batches that must hold a prefix before it counts as hot.
-BATCH_BYTES, HOT_BATCHES = 4 << 20, 2000
+BATCH_BYTES, HOT_BATCHES = 1 << 20, 4000
 HIGH = U64(0xFFFFFFFF00000000)
 LOW = U64(0xFFFFFFFF)
 
@@ -55,27 +60,32 @@ def _unpack(blob: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def _make_batches(batches, limit: int):
-    """Rows (doc_id, text, original) into one row per batch; whole copies keep only their length."""
+def _make_batches(batches, limit: int, carry: list[str]):
+    """Rows (doc_id, text, original, carried columns) into one row per batch; whole copies keep only their length."""
     ids, texts, first, size, number = [], [], [], 0, 0
+    rest = [[] for _ in carry]
     part = TaskContext.get().partitionId()
 
     def out():
-        blob = _pack((np.array(ids, np.int64), np.array(first, bool), texts))
+        blob = _pack((np.array(ids, np.int64), np.array(first, bool), texts, rest))
         return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
 
     for batch in batches:
         data, offsets = bs.utf8(batch.column("text"))
         raw = data.tobytes()
+        others = [batch.column(f"carry{j}").to_pylist() for j in range(len(carry))]
         for i, (doc_id, original) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("original").to_pylist(), strict=True)):
             text = raw[offsets[i] : offsets[i + 1]]
             ids.append(doc_id)
             first.append(original)
+            for values, column in zip(rest, others, strict=True):
+                values.append(column[i])
             texts.append(text if original or len(text) < THRESHOLD else len(text))
             size += len(text) + 64 if original else 64
             if size >= limit:
                 yield out()
                 ids, texts, first, size, number = [], [], [], 0, number + 1
+                rest = [[] for _ in carry]
     if ids:
         yield out()
 
@@ -83,7 +93,7 @@ def _make_batches(batches, limit: int):
 class Leaders:
     """Runs of windows with the same leader, over the original documents of one batch."""
 
-    def __init__(self, ids, original, texts):
+    def __init__(self, ids, original, texts, _=None):
         self.which = np.array([i for i in range(len(ids)) if original[i] and len(texts[i]) >= THRESHOLD], np.int64)
         kept = [texts[i] for i in self.which]
         self.ids = ids[self.which]
@@ -96,8 +106,9 @@ class Leaders:
             return
         h, step, salt = bs.BYTE_VALUE[self.data], 1, 1
         while step < SEED:
-            h = bs.join_hash(h[:-step], h[step:], salt)
-            step, salt = 2 * step, salt + 1
+            more = min(step, SEED - step)
+            h = bs.join_hash(h[:-more], h[more:], salt)
+            step, salt = step + more, salt + 1
         low = (h & HIGH) | np.arange(len(h), dtype=U64)
         width, span = THRESHOLD - SEED + 1, 1
         while 2 * span <= width:
@@ -122,13 +133,20 @@ class Leaders:
 # --- round 0 -----------------------------------------------------------------------------------------
 
 
+def _bucket(prefix: np.ndarray, buckets: int) -> np.ndarray:
+    """Even buckets: leaders have small hashes, so the hash itself is not even."""
+    return ((bs.mix(prefix) >> U64(40)) * U64(buckets)) >> U64(24)
+
+
 def _round0(buckets: int):
     def run(batches):
         for batch in batches:
             for number, blob in zip(batch.column("batch").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 found = Leaders(*_unpack(blob))
                 prefix = np.unique(found.prefix)
-                bucket = ((prefix >> U64(40)) * U64(buckets)) >> U64(24)
+                bucket = _bucket(prefix, buckets)
+                order = np.argsort(bucket, kind="stable")
+                prefix, bucket = prefix[order], bucket[order]
                 edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(prefix) else np.zeros(0, np.int64)
                 ends = np.r_[edge[1:], len(prefix)]
                 rows = [(int(bucket[a]), prefix[a:b].tobytes()) for a, b in zip(edge, ends, strict=True)] if len(prefix) else []
@@ -154,7 +172,7 @@ def _repeated(table: pa.Table, hot_batches: int) -> pa.Table:
 
 # --- doubling ----------------------------------------------------------------------------------------
 
-CONTEXT = np.dtype([("owner", "u8"), ("doc_id", "i8"), ("doc", "i4"), ("start", "i4"), ("lead", "i2"), ("length", "i2")])
+CONTEXT = np.dtype([("owner", "u8"), ("content", "u8"), ("doc_id", "i8"), ("doc", "i4"), ("start", "i4"), ("lead", "i2"), ("length", "i2")])
 MARK = np.dtype([("doc", "i4"), ("start", "i4"), ("bits", "u8")])
 
 
@@ -187,24 +205,18 @@ def _contexts(buckets: int):
         marks = np.zeros(len(gone), MARK)
         marks["doc"], marks["start"] = found.which[doc[gone]], start[gone] - found.offsets[doc[gone]]
         marks["bits"] = (U64(1) << (last[gone] - start[gone] + 1).astype(U64)) - U64(1)
-        out = [(-1, number, marks.tobytes(), b"")] if len(marks) else []
+        out = [(-1, number, marks.tobytes())] if len(marks) else []
         send = order[~copy]
-        bucket = ((prefix[send] >> U64(40)) * U64(buckets)) >> U64(24)
+        bucket = _bucket(prefix[send], buckets)
         rank = np.argsort(bucket, kind="stable")
         send, bucket = send[rank], bucket[rank]
         if not len(send):
             return out
         head = np.zeros(len(send), CONTEXT)
-        head["owner"], head["doc_id"], head["doc"] = prefix[send], found.ids[doc[send]], found.which[doc[send]]
+        head["owner"], head["content"], head["doc_id"], head["doc"] = prefix[send], content[send], found.ids[doc[send]], found.which[doc[send]]
         head["start"], head["lead"], head["length"] = start[send] - found.offsets[doc[send]], at[send] - start[send], last[send] + THRESHOLD - start[send]
-        length = head["length"].astype(np.int64)
-        ends = np.cumsum(length)
-        index = np.repeat(start[send] - (ends - length), length) + np.arange(ends[-1])
-        body = found.data[index]
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        for a, b in zip(edge, np.r_[edge[1:], len(send)], strict=True):
-            out.append((int(bucket[a]), number, head[a:b].tobytes(), body[ends[a] - length[a] : ends[b - 1]].tobytes()))
-        return out
+        return out + [(int(bucket[a]), number, head[a:b].tobytes()) for a, b in zip(edge, np.r_[edge[1:], len(send)], strict=True)]
 
     def run(batches):
         for batch in batches:
@@ -212,7 +224,55 @@ def _contexts(buckets: int):
                 join = lambda lists: np.frombuffer(b"".join(lists or []), U64)
                 rows = rows_of(number, Leaders(*_unpack(blob)), join(many), join(hot))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))], names=["bucket", "batch", "head", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "batch", "head"])
+
+    return run
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Whole contexts of one bucket: those that a smaller doc_id has too are marked; of prefixes with several
+    contents, one context of each content is asked for."""
+    heads = [np.frombuffer(x, CONTEXT) for x in table.column("head").to_pylist()]
+    rows = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+    head = np.concatenate(heads)
+    order = np.lexsort((head["doc_id"], head["content"], head["owner"]))
+    h = head[order]
+    other = np.r_[True, h["owner"][1:] != h["owner"][:-1]]
+    new = other | np.r_[True, h["content"][1:] != h["content"][:-1]]
+    least = h["doc_id"][np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    contents = np.bincount(np.cumsum(other) - 1, new)[np.cumsum(other) - 1]
+    full = np.zeros(len(head), bool)
+    full[order] = h["doc_id"] > least
+    ask = np.zeros(len(head), bool)
+    ask[order] = (h["doc_id"] == least) & (contents > 1)
+    marks = np.zeros(len(head), MARK)
+    marks["doc"], marks["start"] = head["doc"], head["start"]
+    marks["bits"] = (U64(1) << (head["length"] - THRESHOLD + 1).astype(U64)) - U64(1)
+    edge = np.cumsum([0, *map(len, heads)])
+    out = []
+    for number, a, b in zip(table.column("batch").to_pylist(), edge[:-1], edge[1:], strict=True):
+        for kind, what, chosen in ((0, marks, full), (1, head, ask)):
+            if chosen[a:b].any():
+                out.append((number, kind, what[a:b][chosen[a:b]].tobytes()))
+    return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "head": pa.array([r[2] for r in out], pa.binary())})
+
+
+def _cut(buckets: int):
+    """Bytes of the contexts that a batch is asked for, dealt out by their owners."""
+
+    def run(batches):
+        for batch in batches:
+            for number, blob, asked in zip(*(batch.column(c).to_pylist() for c in ("batch", "blob", "asked")), strict=True):
+                texts = _unpack(blob)[2]
+                head = np.frombuffer(b"".join(asked), CONTEXT)
+                bucket = _bucket(head["owner"], buckets)
+                order = np.argsort(bucket, kind="stable")
+                head, bucket = head[order], bucket[order]
+                bodies = [texts[d][a : a + n] for d, a, n in zip(head["doc"].tolist(), head["start"].tolist(), head["length"].tolist(), strict=True)]
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends = np.r_[edge[1:], len(head)]
+                rows = [(int(bucket[a]), head[a:b].tobytes(), b"".join(bodies[a:b])) for a, b in zip(edge, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["bucket", "batch", "head", "body"])
 
     return run
 
@@ -275,12 +335,11 @@ def _double(table: pa.Table) -> pa.Table:
 # --- result ------------------------------------------------------------------------------------------
 
 
-def _apply(batches):
-    """Marks of a batch onto its documents."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+def _apply(batches, schema: pa.Schema):
+    """Marks of a batch onto its documents. schema: of the result, from the sixth column on what was carried."""
     for batch in batches:
         for blob, marks in zip(batch.column("blob").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-            ids, _, texts = _unpack(blob)
+            ids, _, texts, rest = _unpack(blob)
             mark = np.frombuffer(b"".join(marks or []), MARK)
             mark = mark[np.argsort(mark["doc"], kind="stable")]
             edge = np.searchsorted(mark["doc"], np.arange(len(ids) + 1))
@@ -303,24 +362,28 @@ def _apply(batches):
                     rows.append((int(ids[i]), len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
             for a in range(0, len(rows), 2000):
                 some = rows[a : a + 2000]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in some], pa.int64()) for i in range(4)), pa.array([r[4] for r in some], pa.binary())], names=names)
+                columns = [[r[i] for r in some] for i in range(5)] + [values[a : a + 2000] for values in rest]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def dedup_substrings(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of every row of docs (doc_id, text).
 
     Null texts are empty. Texts of under 50 bytes never lose a byte. Rows without doc_id are left out.
-    Repeated rows (equal doc_id) do not remove each other. Other columns are ignored. An empty table
-    gives no rows.
+    Repeated rows (equal doc_id) do not remove each other. Columns named in carry follow the result's own;
+    other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter("doc_id is not null")
+    others = [F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *others).filter("doc_id is not null")
     rows = rows.withColumn("digest", F.md5(F.encode("text", "utf-8")))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     base = store.scratch(spark, "suffix")
-    marked = rows.join(first, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("original"))
-    batches = store.save(marked.mapInArrow(lambda rows: _make_batches(rows, batch_bytes), "batch long, blob binary"), f"{base}/batches", "uncompressed")
+    marked = rows.join(first, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("original"), *(f"carry{i}" for i in range(len(carry))))
+    result = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
+    arrow = to_arrow_schema(result)
+    batches = store.save(marked.mapInArrow(lambda rows: _make_batches(rows, batch_bytes, carry), "batch long, blob binary"), f"{base}/batches", "uncompressed")
 
     size = batches.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = store.parts_for(spark, 2 * size, 4 << 20) * 2
@@ -329,12 +392,16 @@ def dedup_substrings(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot_batche
     repeated = store.save(repeated, f"{base}/round0", "uncompressed")
 
     answers = repeated.groupBy("batch").agg(F.collect_list("many").alias("many"), F.collect_list("hot").alias("hot"))
-    contexts = batches.join(answers, "batch", "left").mapInArrow(_contexts(buckets), "bucket int, batch long, head binary, body binary")
+    contexts = batches.join(answers, "batch", "left").mapInArrow(_contexts(buckets), "bucket int, batch long, head binary")
     contexts = store.save(contexts, f"{base}/contexts")
-    doubled = contexts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_double, "batch long, head binary")
-    marks = store.save(doubled, f"{base}/marks").unionByName(contexts.filter("bucket < 0").select("batch", "head"))
+    settled = contexts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle, "batch long, kind int, head binary")
+    settled = store.save(settled, f"{base}/settled")
+
+    asked = settled.filter("kind = 1").groupBy("batch").agg(F.collect_list("head").alias("asked"))
+    doubled = batches.join(asked, "batch").mapInArrow(_cut(buckets), "bucket int, batch long, head binary, body binary").groupBy("bucket").applyInArrow(_double, "batch long, head binary")
+    marks = store.save(doubled, f"{base}/marks").unionByName(contexts.filter("bucket < 0").select("batch", "head")).unionByName(settled.filter("kind = 0").select("batch", "head"))
     marks = marks.groupBy("batch").agg(F.collect_list("head").alias("marks"))
-    return batches.join(marks, "batch", "left").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return batches.join(marks, "batch", "left").mapInArrow(lambda rows: _apply(rows, arrow), result)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -57,6 +57,14 @@ def noisy_or(log_clean: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, log_clean, n)[:n])
 
 
+def probabilities(bags: Bags, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n texts, and of each sentence."""
+    k = len(bags.text)
+    pair = np.unique(bags.sentence.astype(np.int64) << FEATURE_BITS | bags.feature)
+    z = np.clip(weights[-1] + np.bincount(pair >> FEATURE_BITS, weights[pair & ((1 << FEATURE_BITS) - 1)], k)[:k], -30, 30)
+    return np.clip(noisy_or(-np.logaddexp(0, z), bags.text, n), 0, 1), 1 / (1 + np.exp(-z))
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 2e-3) -> np.ndarray:
     """Weights of the features, and the bias as the last one, by full-batch Adagrad on the documents' loss."""
     data, offsets = bs.utf8(texts)
@@ -134,20 +142,30 @@ def score(docs: DataFrame, weights: np.ndarray, offending: float = 0.1) -> DataF
             data, offsets = bs.utf8(batch.column("text"))
             for a, b in bs.pieces(offsets):
                 bags = Bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                n = len(bags.text)
-                pair = np.unique(bags.sentence.astype(np.int64) << FEATURE_BITS | bags.feature)
-                z = np.clip(w[-1] + np.bincount(pair >> FEATURE_BITS, w[pair & ((1 << FEATURE_BITS) - 1)], n)[:n], -30, 30)
-                p = noisy_or(-np.logaddexp(0, z), bags.text, b - a)
+                p, each = probabilities(bags, b - a, w)
                 found = [[] for _ in range(b - a)]
-                each = 1 / (1 + np.exp(-z))
                 for i in np.flatnonzero(each >= offending):
                     found[bags.text[i]].append({"begin": int(bags.begin[i]), "end": int(bags.end[i]), "score": float(each[i])})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.clip(p, 0, 1)), pa.array(found, spans)], names=["doc_id", "score", "offending"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(p), pa.array(found, spans)], names=["doc_id", "score", "offending"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCORED)
 
 
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score by a model fitted on labels is below threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels).astype(np.float32))
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = bs.utf8(batch.column("text"))
+            for a, b in bs.pieces(offsets):
+                p = probabilities(Bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a, shared.value)[0]
+                yield batch.slice(a, b - a).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_offending of every row of docs, by a model fitted on labels."""
     scored = score(docs, train(docs, labels))
