@@ -21,7 +21,7 @@ from weftgraph.llm import store
 
 #: Pivots, the vectors they are chosen from (those with the least hash of their id), and the blocks' sizes.
 PIVOTS, PIVOT_SAMPLE = 24, 2000
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK = 256, 16384
 
 
 def _matrix(blobs: list[bytes], lengths: list[int]) -> np.ndarray:
@@ -56,11 +56,9 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of a query with rows."""
-    if q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[0] >= 2.0**53:
-        whole = [int(v) for v in q]
-        return np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in x], object)
-    return x @ q
+    """Exact inner products of integers too large for doubles."""
+    whole = [int(v) for v in q]
+    return np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in x], object)
 
 
 def search_block(query_ids, queries, query_far, ids, rows, row_far, k: int) -> tuple[list[tuple[int, int, int]], int]:
@@ -68,15 +66,18 @@ def search_block(query_ids, queries, query_far, ids, rows, row_far, k: int) -> t
     width = max(queries.shape[1], rows.shape[1])
     queries, rows = _wider(queries, width), _wider(rows, width)
     q_norm, x_norm, out, computed = (queries**2).sum(1), (rows**2).sum(1), [], 0
+    exact = not queries.size or not rows.size or np.abs(queries).max() * np.abs(rows).max() * width < 2.0**53
+    far = np.ascontiguousarray(row_far.T)
     for i in range(len(queries)):
-        lower = np.abs(row_far[:, 0] - query_far[i, 0])
-        for p in range(1, row_far.shape[1]):
-            np.maximum(lower, np.abs(row_far[:, p] - query_far[i, p]), out=lower)
+        lower = np.abs(far[0] - query_far[i, 0])
+        for p in range(1, len(far)):
+            np.maximum(lower, np.abs(far[p] - query_far[i, p]), out=lower)
         # rounding of the square roots must not lift a bound below the true score
         bound = (q_norm[i] + x_norm - np.maximum(0, lower - 1e-6 * (1 + lower)) ** 2) / 2 + 1e-6 * (1 + q_norm[i])
         bound[np.isnan(bound)] = np.inf  # components so large that squares overflow: no bound
         bound[ids == query_ids[i]] = -np.inf
-        left, best, size = np.flatnonzero(bound > -np.inf), [], 4 * k
+        left, size = np.flatnonzero(bound > -np.inf), 16 * k
+        best_score, best_id = np.zeros(0, float if exact else object), np.zeros(0, np.int64)
         while len(left):
             if len(left) > size:
                 part = np.argpartition(-bound[left], size - 1)
@@ -84,12 +85,17 @@ def search_block(query_ids, queries, query_far, ids, rows, row_far, k: int) -> t
             else:
                 now, left = left, left[:0]
             computed += len(now)
-            best += list(zip((-s for s in _scores(queries[i], rows[now]).tolist()), ids[now].tolist(), strict=True))
-            best = sorted(best)[:k]
-            if len(best) == k:
-                left = left[bound[left] >= -best[-1][0]]
-            size *= 4
-        out += [(int(query_ids[i]), int(c), max(-(2**63), min(2**63 - 1, int(-s)))) for s, c in best]
+            found = rows[now] @ queries[i] if exact else _scores(queries[i], rows[now])
+            best_score, best_id = np.concatenate([best_score, found]), np.concatenate([best_id, ids[now]])
+            if exact and len(best_score) > 8 * k:
+                kept = best_score >= np.partition(best_score, len(best_score) - k)[-k]
+                best_score, best_id = best_score[kept], best_id[kept]
+            order = np.lexsort((best_id, -best_score))[:k] if exact else sorted(range(len(best_id)), key=lambda j: (-best_score[j], best_id[j]))[:k]  # noqa: B023
+            best_score, best_id = best_score[order], best_id[order]
+            if len(best_id) == k:
+                left = left[bound[left] >= float(best_score[-1])]
+            size *= 8
+        out += [(int(query_ids[i]), int(c), max(-(2**63), min(2**63 - 1, int(s)))) for s, c in zip(best_score.tolist(), best_id.tolist(), strict=True)]
     return out, computed
 
 
@@ -121,7 +127,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20)
     pivots = spark.sparkContext.broadcast(choose_pivots(_matrix([r["v"] for r in sample], [r["n"] for r in sample]), PIVOTS))
     counts = table.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
     blocks_of = lambda n, size: max(1, -(-int(n or 0) // size))
-    c_blocks, q_blocks = max(blocks_of(counts["n"], CANDIDATE_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))), blocks_of(counts["q"], QUERY_BLOCK)
+    c_blocks, q_blocks = blocks_of(counts["n"], CANDIDATE_BLOCK), blocks_of(counts["q"], QUERY_BLOCK)
 
     def packed(part: DataFrame, blocks: int) -> DataFrame:
         """Rows of each block in one row: ids, vectors, distances to the pivots."""
