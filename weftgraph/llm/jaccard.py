@@ -28,6 +28,8 @@ from weftgraph.llm.graph import components
 U64 = np.uint64
 #: Classes in one block of a tile.
 BLOCK = 1024
+#: Pairs for each set of a tile up to which they go on one by one; beyond, the tile goes on as it is.
+FEW_PAIRS = 2
 #: Ids that may be broadcast (16 MB); beyond, the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -159,31 +161,69 @@ def _blocks(batches):
         yield out([(held_sig, held)])
 
 
-def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    maps = np.zeros((len(sets), bits // 64), U64)
-    for i, s in enumerate(sets):
-        b = bs.mix(s ^ U64(0x5EED)) & U64(bits - 1)
-        np.bitwise_or.at(maps[i], (b >> U64(6)).astype(np.int64), U64(1) << (b & U64(63)))
-    return maps
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits for each element; the size is a power of two."""
+    bits = 1 << max(8, min(16, int(4 * len(s)).bit_length()))
+    out = np.zeros(bits // 64, U64)
+    b = bs.mix(s ^ U64(0x5EED)) & U64(bits - 1)
+    np.bitwise_or.at(out, (b >> U64(6)).astype(np.int64), U64(1) << (b & U64(63)))
+    return out
+
+
+def _folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps cut to the least size among them by joining their halves."""
+    least, out = min(map(len, maps)), []
+    for m in maps:
+        while len(m) > least:
+            m = m[: len(m) // 2] | m[len(m) // 2 :]
+        out.append(m)
+    return np.stack(out)
+
+
+def _bounded(i: int, n: np.ndarray, maps: np.ndarray, other: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of the sets other, those whose overlap with set i the bitmaps do not rule out. n ascends, i is the smaller."""
+    differ = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
+    most = np.minimum((n[i] + n[other] - differ) // 2, n[i])
+    return other[(num + den) * most >= num * (n[i] + n[other])]
+
 
+def sieve(n: np.ndarray, maps: list[np.ndarray], label: np.ndarray, num: int, den: int, sparse: bool) -> tuple[np.ndarray, list[tuple[int, int]] | None]:
+    """Pairs of a tile that the bitmaps do not rule out and whose labels (components so far) differ.
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that connect exactly the sets that links of this tile connect."""
+    Gives the sets that occur in any such pair, and the pairs themselves if they are few. If sparse, only
+    pairs that would join the labels to a forest are given; the others wait for what these turn out to be.
+    """
+    order = np.argsort(n, kind="stable")
+    n, folded, keep, pairs = n[order], _folded([maps[i] for i in order]), np.zeros(len(n), bool), []
+    root = np.unique(label[order], return_inverse=True)[1]
+    for i in range(len(n)):
+        stop = int(np.searchsorted(n, n[i] * den // num, "right"))
+        found = _bounded(i, n, folded, i + 1 + np.flatnonzero(root[i + 1 : stop] != root[i]), num, den)
+        if sparse:
+            for j in found:
+                if root[j] != root[i]:
+                    pairs.append((int(order[i]), int(order[j])))
+                    root[root == root[j]] = root[i]
+        elif len(found):
+            keep[i] = True
+            keep[found] = True
+            if pairs is not None:
+                pairs += [(int(order[i]), int(order[j])) for j in found]
+                if len(pairs) > FEW_PAIRS * len(n):
+                    pairs = None
+    return order[keep], pairs
+
+
+def forest(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect exactly what links of this tile connect, beyond the sets of equal label."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     ids, sets = ids[order], [sets[i] for i in order]
     n = np.array([len(s) for s in sets], np.int64)
-    bits = 1 << max(8, min(14, int(2 * np.median(n)).bit_length()))
-    maps, root, edges = _bitmaps(sets, bits), np.arange(len(sets)), []
+    maps, root, edges = _folded([_bitmap(s) for s in sets]), np.unique(label[order], return_inverse=True)[1], []
     for i in range(len(sets)):
         stop = int(np.searchsorted(n, n[i] * den // num, "right"))  # the size band of i
-        if stop <= i + 1:
-            continue
         other = i + 1 + np.flatnonzero(root[i + 1 : stop] != root[i])
-        if not len(other):
-            continue
-        differ = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum((n[i] + n[other] - differ) // 2, n[i])
-        for j in other[(num + den) * most >= num * (n[i] + n[other])]:
+        for j in _bounded(i, n, maps, other, num, den):
             if root[j] == root[i]:
                 continue
             small, large = sets[i], sets[j]
@@ -226,27 +266,70 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     tiles = store.save(tiles, f"{base}/tiles")
     member = tiles.select("tile", F.explode("members").alias("k1")).join(classes.select("k1", "id"), "k1").select("tile", "id")
     member = store.save(member, f"{base}/members")
-    alive = member.select(F.col("id").alias("doc_id")).distinct()
-    if alive.count() <= BROADCAST_IDS:
-        alive = F.broadcast(alive)
-
-    def arrays(batches):
-        for batch in batches:
-            found = [(d, s.tobytes()) for d, s in _sets(batch, k)]
-            for a in range(0, len(found), 256):
-                some = found[a : a + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([s for _, s in some], pa.binary())], names=["id", "items"])
 
-    sets = texts.join(alive, "doc_id", "left_semi").mapInArrow(arrays, "id long, items binary").dropDuplicates(["id"])
+    def of_classes(ids: DataFrame, render) -> DataFrame:
+        """render(sorted shingles) of the documents with these ids, as column items, with their size n."""
+
+        def run(batches):
+            for batch in batches:
+                found, size = [], 0
+                for doc_id, s in _sets(batch, k):
+                    found.append((doc_id, len(s), render(s).tobytes()))
+                    size += len(found[-1][2])
+                    if size > 1 << 23:
+                        yield out(found)
+                        found, size = [], 0
+                if found:
+                    yield out(found)
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["id", "n", "items"])
+
+        ids = ids.select(F.col("id").alias("doc_id")).distinct()
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, n long, items binary").dropDuplicates(["id"])
+
+    def sift(sparse: bool):
+        def run(table: pa.Table) -> pa.Table:
+            maps = [np.frombuffer(x, U64) for x in table.column("items").to_pylist()]
+            ids, tile = table.column("id").to_numpy(), table.column("tile")[0].as_py()
+            keep, pairs = sieve(table.column("n").to_numpy(), maps, table.column("label").to_numpy(), num, den, sparse)
+            if pairs is None:
+                return pa.table({"tile": pa.array([tile] * len(keep), pa.int64()), "id": pa.array(ids[keep])})
+            pair = np.sort(ids[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)  # a pair is a tile of two, the same from any tile
+            name = bs.join_hash(pair[:, 0].view(U64), pair[:, 1].view(U64), 11).view(np.int64)
+            return pa.table({"tile": pa.array(np.repeat(name, 2), pa.int64()), "id": pa.array(pair.reshape(-1), pa.int64())})
+
+        return run
 
     def link(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         items = [np.frombuffer(x, U64) for x in table.column("items").to_pylist()]
-        edges = forest(ids, items, num, den)
+        edges = forest(ids, items, table.column("label").to_numpy(), num, den)
         return pa.table({"u": pa.array([a for a, _ in edges], pa.int64()), "v": pa.array([b for _, b in edges], pa.int64())})
 
-    edges = member.join(sets, "id").groupBy("tile").applyInArrow(link, "u long, v long").distinct()
-    edges = store.save(edges, f"{base}/edges")
+    def with_label(part: DataFrame, label: DataFrame | None) -> DataFrame:
+        if label is None:
+            return part.withColumn("label", F.col("id"))
+        return part.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    def verified(part: DataFrame, label: DataFrame | None, name: str) -> DataFrame:
+        sets = of_classes(part, lambda s: s)
+        found = with_label(part, label).join(sets, "id").groupBy("tile").applyInArrow(link, "u long, v long").distinct()
+        return store.save(found, f"{base}/edges-{name}")
+
+    # first each class in its largest tile only; then, between the components so far, a forest of the pairs
+    # that the bitmaps leave; then all pairs that are left between components
+    size = member.groupBy("tile").agg(F.count("*").alias("size"))
+    home = member.join(size, "tile").groupBy("id").agg(F.max_by("tile", F.struct("size", "tile")).alias("tile"))
+    edges, label = verified(home, None, "home"), None
+    maps = store.save(of_classes(member, _bitmap), f"{base}/bitmaps", "uncompressed")
+    for name, sparse in (("sparse", True), ("all", False)):
+        label = components(edges, f"{base}/components-{name}")
+        open_tiles = with_label(member, label).join(maps, "id").groupBy("tile").applyInArrow(sift(sparse), "tile long, id long").dropDuplicates()
+        left = store.save(open_tiles, f"{base}/sifted-{name}")
+        edges = edges.unionByName(verified(left, label, name))
     label = components(edges, f"{base}/components")
     joined = rows.join(classes.withColumnRenamed("id", "class"), ["k1", "k2", "n"], "left").join(label, F.col("class") == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
