@@ -17,7 +17,7 @@ from weftgraph.llm import bytescan as bs
 
 U64 = np.uint64
 #: Bits of the feature space; labelled documents that the model is fitted on at most (in order of a hash of doc_id).
-FEATURE_BITS, TRAINING_ROWS = 18, 8000
+FEATURE_BITS, TRAINING_ROWS = 18, 5000
 #: Lengths in bytes of word beginnings, and of word ends.
 BEGINNINGS, ENDINGS = (5, 6, 7), (5,)
 SEPARATES = np.ones(256, bool)
