@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, with nulls, ties, empty and clashing inputs."""
 
 import collections
+import functools
 import random
 import re
 import zlib
@@ -25,12 +26,17 @@ def words(rnd, n, alphabet="abcdefgh"):
 # --- 1 and 10 ----------------------------------------------------------------------------------------
 
 
-def ids_of(name, text):
+@functools.cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_file(name))
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def ids_of(name, text):
+    return tokenizer(name).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
