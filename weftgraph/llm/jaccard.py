@@ -8,7 +8,7 @@
    and a block alone or a pair of blocks of one signature is a tile. A hot signature makes many tiles.
 4. In a tile, each set is hashed into a bitmap. Sets that differ in d bits differ in d elements at
    least, which bounds their overlap from above; only pairs that pass are intersected exactly, and pairs
-   that are connected already are skipped. A tile gives a spanning forest, not all pairs.
+   that are connected already are skipped. A tile gives stars of components, not all pairs.
 5. Connected components of the classes by alternating large-star and small-star steps.
 """
 
@@ -214,12 +214,12 @@ def sieve(n: np.ndarray, maps: list[np.ndarray], label: np.ndarray, num: int, de
     return order[keep], pairs
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that connect exactly what links of this tile connect, beyond the sets of equal label."""
+def forest(sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges (u, v) between the labels that links of this tile connect: all of one group to its least label."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets = ids[order], [sets[i] for i in order]
+    label, sets = label[order], [sets[i] for i in order]
     n = np.array([len(s) for s in sets], np.int64)
-    maps, root, edges = _folded([_bitmap(s) for s in sets]), np.unique(label[order], return_inverse=True)[1], []
+    maps, root = _folded([_bitmap(s) for s in sets]), np.unique(label, return_inverse=True)[1]
     for i in range(len(sets)):
         stop = int(np.searchsorted(n, n[i] * den // num, "right"))  # the size band of i
         other = i + 1 + np.flatnonzero(root[i + 1 : stop] != root[i])
@@ -230,9 +230,10 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, num: int,
             where = np.minimum(np.searchsorted(large, small), len(large) - 1)
             common = int((large[where] == small).sum())
             if (num + den) * common >= num * int(n[i] + n[j]):
-                edges.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
-    return edges
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, label)
+    return sorted({(int(u), int(v)) for u, v in zip(label, least[root]) if u != v})
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -304,32 +305,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         return run
 
     def link(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
         items = [np.frombuffer(x, U64) for x in table.column("items").to_pylist()]
-        edges = forest(ids, items, table.column("label").to_numpy(), num, den)
+        edges = forest(items, table.column("label").to_numpy(), num, den)
         return pa.table({"u": pa.array([a for a, _ in edges], pa.int64()), "v": pa.array([b for _, b in edges], pa.int64())})
 
-    def with_label(part: DataFrame, label: DataFrame | None) -> DataFrame:
-        if label is None:
-            return part.withColumn("label", F.col("id"))
-        return part.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    joins: list[DataFrame] = []  # label to component, each over the components of those before
 
-    def verified(part: DataFrame, label: DataFrame | None, name: str) -> DataFrame:
+    def with_label(part: DataFrame) -> DataFrame:
+        part = part.withColumn("label", F.col("id"))
+        for label in joins:
+            part = part.join(label.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+        return part
+
+    def verify(part: DataFrame, name: str) -> None:
+        """Joins the components that links within the tiles of part connect."""
         sets = of_classes(part, lambda s: s)
-        found = with_label(part, label).join(sets, "id").groupBy("tile").applyInArrow(link, "u long, v long").distinct()
-        return store.save(found, f"{base}/edges-{name}")
+        found = with_label(part).join(sets, "id").groupBy("tile").applyInArrow(link, "u long, v long").distinct()
+        edges = store.save(found, f"{base}/edges-{name}")
+        if not edges.isEmpty():
+            joins.append(components(edges, f"{base}/components-{name}"))
 
     # first each class in its largest tile only; then, between the components so far, a forest of the pairs
     # that the bitmaps leave; then all pairs that are left between components
     size = member.groupBy("tile").agg(F.count("*").alias("size"))
     home = member.join(size, "tile").groupBy("id").agg(F.max_by("tile", F.struct("size", "tile")).alias("tile"))
-    edges, label = verified(home, None, "home"), None
+    verify(home, "home")
     maps = store.save(of_classes(member, _bitmap), f"{base}/bitmaps", "uncompressed")
     for name, sparse in (("sparse", True), ("all", False)):
-        label = components(edges, f"{base}/components-{name}")
-        open_tiles = with_label(member, label).join(maps, "id").groupBy("tile").applyInArrow(sift(sparse), "tile long, id long").dropDuplicates()
+        open_tiles = with_label(member).join(maps, "id").groupBy("tile").applyInArrow(sift(sparse), "tile long, id long").dropDuplicates()
         left = store.save(open_tiles, f"{base}/sifted-{name}")
-        edges = edges.unionByName(verified(left, label, name))
-    label = components(edges, f"{base}/components")
-    joined = rows.join(classes.withColumnRenamed("id", "class"), ["k1", "k2", "n"], "left").join(label, F.col("class") == F.col("node"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
+        if left.isEmpty():
+            break  # no pair between components is left
+        verify(left, name)
+    joined = rows.join(with_label(classes), ["k1", "k2", "n"], "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
