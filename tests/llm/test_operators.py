@@ -181,6 +181,21 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_stars_and_of_nothing(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    assert graph.is_stars(edges([(2, 1), (3, 1), (5, 4)]))
+    assert graph.is_stars(edges([]))
+    assert not graph.is_stars(edges([(2, 1), (3, 2)]))
+    assert not graph.is_stars(edges([(3, 1), (3, 2)]))
+    assert graph.components(edges([]), store.scratch(spark, "test")).count() == 0
+
+
+def test_forest_gives_stars_between_labels():
+    one, far = np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)
+    sets = [one, one[:99], far, one[1:], far[:98]]
+    assert jaccard.forest(sets, np.array([7, 3, 20, 5, 20]), 9, 10) == [(5, 3), (7, 3)]
+
+
 # --- 3, 4, 5 -------------------------------------------------------------------------------------------
 
 
