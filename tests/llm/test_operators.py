@@ -175,6 +175,17 @@ def test_jaccard_tiles_and_blocks():
     assert sorted(m for b in blocks if b["sig"] == 7 for m in b["members"]) == list(range(1, 3001))
 
 
+@pytest.mark.parametrize("n", [1024, 1025, 2049])
+@pytest.mark.parametrize("before", [0, 2])
+def test_jaccard_blocks_keep_a_single_leftover(n, before):
+    import pyarrow as pa
+
+    sig = np.repeat([5, 7, 9], [before, n, 2])
+    batch = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.arange(len(sig)))], names=["sig", "k1"])
+    blocks = [b for out in jaccard._blocks(iter([batch.slice(0, 700), batch.slice(700)])) for b in out.to_pylist()]
+    assert sorted(m for b in blocks if b["sig"] == 7 for m in b["members"]) == list(range(before, before + n))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long"), store.scratch(spark, "test")).collect()}

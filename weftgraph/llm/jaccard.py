@@ -131,7 +131,7 @@ def _blocks(batches):
     def out(groups):
         return pa.RecordBatch.from_arrays([pa.array([g for g, _ in groups], pa.int64()), pa.array([m for _, m in groups], pa.list_(pa.int64()))], schema=schema)
 
-    held_sig, held, first = None, np.zeros(0, np.int64), True
+    held_sig, held, first, cut = None, np.zeros(0, np.int64), True, False  # cut: blocks of the held signature went out before
     ready = []
     for batch in batches:
         sig = batch.column("sig").to_numpy(zero_copy_only=False)
@@ -147,13 +147,13 @@ def _blocks(batches):
             if held_sig is not None and s == held_sig:
                 held = np.unique(np.r_[held, members])
             else:
-                if held_sig is not None and (first or len(held) > 1):
+                if held_sig is not None and (first or cut or len(held) > 1):
                     ready.append((held_sig, held))
                     first = False
-                held_sig, held = s, members
+                held_sig, held, cut = s, members, False
             while len(held) > BLOCK:
                 ready.append((held_sig, held[:BLOCK]))
-                held, first = held[BLOCK:], False
+                held, first, cut = held[BLOCK:], False, True
         if ready:
             yield out(ready)
             ready = []
