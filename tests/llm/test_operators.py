@@ -225,6 +225,26 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs_of(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_that_many_documents_hold(spark):
+    rnd = random.Random(12)
+    items = [words(rnd, n, "klmnopqrst") for n in (15, 24, 40, 59)]
+    texts, want = [], set()
+    for i in range(240):
+        text = words(rnd, rnd.choice([8, 30, 60, 200]))
+        if i % 3 == 0:  # a third of the documents hold an item word for word, among words that no other document has
+            j = i // 3 % len(items)
+            text = f"{text} {words(rnd, rnd.randint(0, 40))} {items[j]} {words(rnd, 40)}"
+            want.add((i, j))
+        texts.append(text)
+    for share in (items, items[:1]):  # the second time: one item that all these documents hold
+        held = [" ".join(t.replace(x, share[0]) if len(share) == 1 and x in t else t for x in [next((x for x in items if x in t), "-")]) for t in texts]
+        expected = want if len(share) > 1 else {(i, 0) for i, _ in want}
+        benchmark = spark.createDataFrame(list(enumerate(share)), "item_id long, text string")
+        found = leaks.find_leaks(docs_of(spark, held), benchmark).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == expected
+        assert all(r.coverage == 1 for r in found)
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(6)
     for _ in range(50):

@@ -8,6 +8,8 @@
    which the corpus varies and those of the items. Partial sums are added in two levels.
 3. A passage whose share of weight in benchmark terms is too small cannot reach the cosine threshold and
    is passed over; the others are projected and compared with all items of the block.
+   Beside the cosine, which falls where the words around a copy are rare, pieces of the items are counted
+   in windows: a window that holds half of a piece's words is a candidate whatever else it holds.
 4. Each candidate is checked exactly: the longest common subsequence of the item's words and the words
    around the passage, and that of the item's last sentence (its answer).
 
@@ -30,6 +32,8 @@ U64 = np.uint64
 PASSAGE, STRIDE, TERM_BITS, SKETCH, ITEM_BLOCK = 48, 24, 18, 64, 512
 #: Least cosine of a candidate; least share of an item's words that suffices alone; the same and the answer's share where both are asked for.
 COSINE, COVERED, PARTLY, ANSWER = 0.3, 0.75, 0.5, 0.6
+#: Most words of a piece of an item; words of a window in which pieces are counted (two strides, so a stretch of a stride and one word lies in one); share of an item's squared weight that stands in for the cosine.
+PIECE, WINDOW, WEIGHT = 24, 4 * STRIDE, 0.25
 STOPS = np.zeros(256, bool)
 STOPS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 #: Slots of the partial sums' first level.
@@ -129,6 +133,83 @@ def _items(rows: list) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
     return ids, words, answers
 
 
+class Pieces:
+    """Even pieces of the items' words, and the (piece, count) postings of the rarer words of each.
+
+    A quarter of a piece's words, those of the most documents, is left out of the postings. least is how
+    many of the others are among any half of the piece's words.
+    """
+
+    def __init__(self, terms: list[np.ndarray], column: np.ndarray, idf: np.ndarray, n_terms: int):
+        self.item, least, posting, whole, length = [], [], [], [], []
+        for j, t in enumerate(terms):
+            for part in np.array_split(t, -(-len(t) // PIECE)):
+                seen, tf = np.unique(part, return_counts=True)
+                square = ((1 + np.log(tf)) * idf[seen]) ** 2
+                whole.append(np.stack([column[seen], tf, square / square.sum()]))
+                length.append(len(part))
+                left_out = len(part) // 4
+                seen, tf = np.unique(part[np.argsort(idf[part], kind="stable")[left_out:]], return_counts=True)
+                posting.append(np.stack([column[seen], np.full(len(seen), len(self.item)), tf]))
+                self.item.append(j)
+                least.append(max(1, int(np.ceil(PARTLY * len(part))) - left_out))
+        at, self.piece, self.count = (x := np.concatenate(posting, 1).astype(np.int32))[:, np.argsort(x[0], kind="stable")]
+        self.first = np.searchsorted(at, np.arange(n_terms + 1))
+        self.item, self.least, self.length = np.array(self.item), np.array(least), np.array(length)
+        self.end = np.cumsum([x.shape[1] for x in whole])
+        self.term, self.tf, self.square = np.concatenate(whole, 1)
+
+    def held(self, p: Passages, col: np.ndarray):
+        """(text, window, item) where the window has three quarters of some piece's words, or half of them and a quarter of its squared weight.
+
+        Window w of a text starts at its passage 2 w.
+        """
+        n = np.diff(p.first)
+        windows = -(-n // (2 * STRIDE))
+        base = np.cumsum(windows) - windows
+        at = col[p.term]
+        place = np.flatnonzero(at >= 0)
+        text = p.words.text[place]
+        w = base[text] + (place - p.first[text]) // (2 * STRIDE)
+        n_terms = len(self.first) - 1
+        inner = w > base[text]  # every word is in the window that starts in its double stride and in the one before
+        key = np.concatenate([w * n_terms + at[place], (w[inner] - 1) * n_terms + at[place][inner]])
+        key, tf = np.unique(key, return_counts=True)
+        window, term = key // n_terms, key % n_terms
+        total, pieces, out = int(windows.sum()), len(self.item), []
+        edge = np.searchsorted(window, np.arange(0, total + 512, 512))
+        for b, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            t = term[lo:hi]
+            size = self.first[t + 1] - self.first[t]
+            source = np.repeat(np.arange(hi - lo), size)
+            posting = np.arange(len(source)) + np.repeat(self.first[t] - np.cumsum(size) + size, size)
+            hits = np.bincount((window[lo:hi][source] - 512 * b) * pieces + self.piece[posting], np.minimum(tf[lo:hi][source], self.count[posting]), 512 * pieces)
+            r, piece = np.nonzero(hits.reshape(512, pieces) >= self.least)
+            size = np.diff(self.end, prepend=0)[piece]  # now with all words of the piece
+            source = np.repeat(np.arange(len(piece)), size)
+            posting = np.arange(len(source)) + np.repeat(self.end[piece] - np.cumsum(size), size)
+            wanted, mine = (r[source] + 512 * b) * n_terms + self.term[posting].astype(np.int64), key[lo:hi]
+            found = np.minimum(np.searchsorted(mine, wanted), max(hi - lo - 1, 0))
+            has = mine[found] == wanted if hi > lo else np.zeros(0, bool)
+            source, posting, found = source[has], posting[has], found[has]
+            words = np.bincount(source, np.minimum(tf[lo:hi][found], self.tf[posting]), len(piece))
+            square = np.bincount(source, self.square[posting], len(piece))
+            length = self.length[piece]
+            good = (words >= COVERED * length) | ((words >= PARTLY * length) & (square >= WEIGHT))
+            out.append(np.unique((r[good] + 512 * b) * pieces + self.item[piece[good]]))
+        key = np.concatenate(out) if out else np.zeros(0, np.int64)
+        w, item = key // pieces, key % pieces
+        text = np.searchsorted(base + windows, w, "right")
+        return text, w - base[text], item
+
+
+def _weight(item: np.ndarray, near: np.ndarray, idf: np.ndarray) -> float:
+    """Share of the item's squared TF-IDF weight in words that near has."""
+    seen, tf = np.unique(item, return_counts=True)
+    value = ((1 + np.log(tf)) * idf[(seen >> U64(64 - TERM_BITS)).astype(np.int64)]) ** 2
+    return float(value[np.isin(seen, near)].sum() / value.sum())
+
+
 FOUND = "doc_id long, item_id long, cosine double, coverage double, answer double, n_words long, contaminated boolean"
 
 
@@ -137,8 +218,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
 
     docs has doc_id and text, benchmark has item_id and text. coverage and answer are the shares of the
     item's words, and of its last sentence's, in the longest common subsequence with the document's words
-    around the best passage. A pair is given if coverage reaches 0.75, or 0.5 with an answer of 0.6. Case
-    (A-Z) and ASCII punctuation do not count. Null, empty and wordless texts match nothing; rows without
+    around the best passage. A pair is given if coverage reaches 0.75, or 0.5 with an answer of 0.6 and
+    either a cosine of 0.3 or a quarter of the item's squared TF-IDF weight in these words. Case (A-Z) and ASCII punctuation do not count. Null, empty and wordless texts match nothing; rows without
     doc_id or item_id are left out; repeated rows give one pair. Other columns are ignored. An empty
     table on either side gives no rows.
     """
@@ -197,14 +278,15 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
     scale = max(np.linalg.norm(corpus) / np.sqrt(SKETCH), 1e-9)
     left, singular, _ = np.linalg.svd(np.concatenate([corpus / scale, q], 1), full_matrices=False)
     left = left[:, singular > 1e-6 * singular[0]]
-    shared = spark.sparkContext.broadcast((left.astype(np.float32), (left.T @ q).astype(np.float32), ids, item_words, answers))
+    pieces = Pieces(terms, column, idf.value, n_terms)
+    shared = spark.sparkContext.broadcast((left.astype(np.float32), (left.T @ q).astype(np.float32), ids, item_words, answers, pieces))
 
     def search(batches):
         weight, col = idf.value, columns.value
-        basis, latent, item_ids, words_of, answers_of = shared.value
+        basis, latent, item_ids, words_of, answers_of, pieces = shared.value
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in _chunks(batch):
+            for a, b, data, offsets in _chunks(batch):
                 p = Passages(data, offsets)
                 owner, term, tf = p.counts()
                 value = (1 + np.log(tf)) * weight[term]
@@ -214,6 +296,26 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
                 share = np.bincount(owner[known], value[known] ** 2, n)
                 live = share >= COSINE**2 * np.maximum(whole, 1e-9)  # a cosine cannot exceed the root of the share
                 best: dict[tuple[int, int], tuple] = {}
+                begin = np.searchsorted(owner, np.arange(n + 1))
+                every = owner, col[term], value
+
+                def check(i, j, cosine):
+                    t, item = p.text[i], words_of[j]
+                    lo_w, hi_w = max(p.first[t], p.begin[i] - len(item)), min(p.first[t + 1], p.end[i] + len(item))
+                    near = p.words.hash[lo_w:hi_w]
+                    coverage = lcs(item, near) / len(item)
+                    if coverage < PARTLY:
+                        return
+                    answer = lcs(answers_of[j], near) / len(answers_of[j])
+                    if cosine is None:
+                        mine = slice(begin[i], begin[i + 1])
+                        at = every[1][mine]
+                        cosine = (every[2][mine][at >= 0] @ basis[at[at >= 0]]) @ latent[:, j] / np.sqrt(whole[i])
+                    same = cosine >= COSINE or _weight(item, near, weight) >= WEIGHT
+                    found = (coverage, answer, float(cosine), len(item), coverage >= COVERED or (answer >= ANSWER and bool(same)))
+                    key = (int(doc_ids[a + t]), item_ids[j])
+                    best[key] = max(best.get(key, found), found, key=lambda x: (x[4], *x[:4]))
+
                 some = np.flatnonzero(live)
                 keep = known & live[owner]
                 owner, at, value = owner[keep], col[term[keep]], value[keep].astype(np.float32)
@@ -232,17 +334,11 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
                         projected[r : r + 256] = dense @ basis
                     cosine = projected @ latent / np.sqrt(whole[rows])[:, None]
                     for r, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        i, t = rows[r], p.text[rows[r]]
-                        item = words_of[j]
-                        lo_w, hi_w = max(p.first[t], p.begin[i] - len(item)), min(p.first[t + 1], p.end[i] + len(item))
-                        near = p.words.hash[lo_w:hi_w]
-                        coverage = lcs(item, near) / len(item)
-                        if coverage < PARTLY:
-                            continue
-                        answer = lcs(answers_of[j], near) / len(answers_of[j])
-                        found = (coverage, answer, float(cosine[r, j]), len(item), coverage >= COVERED or answer >= ANSWER)
-                        key = (int(doc_ids[a + t]), item_ids[j])
-                        best[key] = max(best.get(key, found), found)
+                        check(rows[r], j, cosine[r, j])
+                start = np.searchsorted(p.text, np.arange(b - a + 1))
+                for t, w, j in zip(*pieces.held(p, col), strict=True):
+                    for i in range(start[t] + 2 * w, min(start[t] + 2 * w + 3, start[t + 1])):
+                        check(i, j, None)
                 if best:
                     keys, values = list(best), list(best.values())
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[i] for v in values], pa.float64()) for i in (2, 0, 1)), pa.array([v[3] for v in values], pa.int64()), pa.array([v[4] for v in values], pa.bool_())], names=[c.split()[0] for c in FOUND.split(", ")])
