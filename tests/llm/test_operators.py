@@ -245,6 +245,17 @@ def test_leaks_that_many_documents_hold(spark):
         assert all(r.coverage == 1 for r in found)
 
 
+def test_leaks_of_long_items(spark):
+    rnd = random.Random(13)
+    items = [words(rnd, n, "klmnopqrst") for n in (100, 800, 1200)]
+    long = items[2].split()
+    texts = [words(rnd, 300) for _ in range(30)] + items + [f"{words(rnd, 90)} {' '.join(long[a : a + n])} {words(rnd, 90)}" for a, n in ((333, 48), (700, 200), (500, 30))]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (leaks.ITEM_BLOCK, 20):
+        found = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs_of(spark, texts), benchmark, item_block=block).collect()}
+        assert found == {(30, 0), (31, 1), (32, 2), (33, 2), (34, 2)}
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(6)
     for _ in range(50):

@@ -13,7 +13,8 @@
 4. Each candidate is checked exactly: the longest common subsequence of the item's words and the words
    around the passage, and that of the item's last sentence (its answer).
 
-Items are taken in blocks of bounded size, so what is broadcast is bounded too.
+Items longer than a passage are also searched piece by piece, and a long run of their words in a row
+suffices by itself. Items are taken in blocks of bounded size, so what is broadcast is bounded too.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from weftgraph.llm import bytescan as bs
 from weftgraph.llm import store
 
 U64 = np.uint64
-#: Words of a passage and between two starts; bits of the term columns; random columns of the sketch; items of a block.
+#: Words of a passage and between two starts; bits of the term columns; random columns of the sketch; items of a block (and pieces of long ones).
 PASSAGE, STRIDE, TERM_BITS, SKETCH, ITEM_BLOCK = 48, 24, 18, 64, 512
 #: Least cosine of a candidate; least share of an item's words that suffices alone; the same and the answer's share where both are asked for.
 COSINE, COVERED, PARTLY, ANSWER = 0.3, 0.75, 0.5, 0.6
 #: Most words of a piece of an item; words of a window in which pieces are counted (two strides, so a stretch of a stride and one word lies in one); share of an item's squared weight that stands in for the cosine.
 PIECE, WINDOW, WEIGHT = 24, 4 * STRIDE, 0.25
+#: Words in a row that suffice alone; at least twice PIECE, so that such a run holds a whole piece.
+RUN = 48
 STOPS = np.zeros(256, bool)
 STOPS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 #: Slots of the partial sums' first level.
@@ -115,6 +118,12 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
+def has_run(a: np.ndarray, b: np.ndarray, n: int) -> bool:
+    """Whether a and b have n words in a row in common."""
+    known = {a[i : i + n].tobytes() for i in range(len(a) - n + 1)}
+    return any(b[i : i + n].tobytes() in known for i in range(len(b) - n + 1))
+
+
 def _items(rows: list) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
     """Ids, word hashes, and word hashes of the last sentence (of at least three words) of benchmark items."""
     ids, words, answers = [], [], []
@@ -219,14 +228,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
     docs has doc_id and text, benchmark has item_id and text. coverage and answer are the shares of the
     item's words, and of its last sentence's, in the longest common subsequence with the document's words
     around the best passage. A pair is given if coverage reaches 0.75, or 0.5 with an answer of 0.6 and
-    either a cosine of 0.3 or a quarter of the item's squared TF-IDF weight in these words. Case (A-Z) and ASCII punctuation do not count. Null, empty and wordless texts match nothing; rows without
+    either a cosine of 0.3 or a quarter of the item's squared TF-IDF weight in these words, or if 48 of its words stand there
+    in a row. Case (A-Z) and ASCII punctuation do not count. Null, empty and wordless texts match nothing; rows without
     doc_id or item_id are left out; repeated rows give one pair. Other columns are ignored. An empty
     table on either side gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    blocks = (given.count() + item_block - 1) // item_block
+    n_words = F.size(F.split("text", r"[\x00-/:-@\[-`{-\x7f]+"))
+    columns = F.when(n_words > PASSAGE, 1 + F.ceil(n_words / PASSAGE)).otherwise(1)
+    blocks = ((given.agg(F.sum(columns)).first()[0] or 0) + item_block - 1) // item_block
     frequencies = _summed(texts.mapInArrow(_frequencies, "slot int, vector binary"))
     result = spark.createDataFrame([], FOUND)
     if frequencies is None or not frequencies[-1]:
@@ -270,8 +282,11 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
 
     corpus = _summed(texts.mapInArrow(sketch, "slot int, vector binary"))
     corpus = np.zeros((n_terms, SKETCH)) if corpus is None else corpus.reshape(n_terms, SKETCH)
-    q = np.zeros((n_terms, len(ids)))
-    for j, t in enumerate(terms):
+    parts = [(j, t) for j, t in enumerate(terms)]
+    parts += [(j, part) for j, t in enumerate(terms) if len(t) > PASSAGE for part in np.array_split(t, -(-len(t) // PASSAGE))]
+    part_of = np.array([j for j, _ in parts])
+    q = np.zeros((n_terms, len(parts)))
+    for j, (_, t) in enumerate(parts):
         seen, tf = np.unique(t, return_counts=True)
         q[column[seen], j] = (1 + np.log(tf)) * idf.value[seen]
     q /= np.linalg.norm(q, axis=0)
@@ -279,11 +294,11 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
     left, singular, _ = np.linalg.svd(np.concatenate([corpus / scale, q], 1), full_matrices=False)
     left = left[:, singular > 1e-6 * singular[0]]
     pieces = Pieces(terms, column, idf.value, n_terms)
-    shared = spark.sparkContext.broadcast((left.astype(np.float32), (left.T @ q).astype(np.float32), ids, item_words, answers, pieces))
+    shared = spark.sparkContext.broadcast((left.astype(np.float32), (left.T @ q).astype(np.float32), ids, item_words, answers, pieces, part_of))
 
     def search(batches):
         weight, col = idf.value, columns.value
-        basis, latent, item_ids, words_of, answers_of, pieces = shared.value
+        basis, latent, item_ids, words_of, answers_of, pieces, part_of = shared.value
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in _chunks(batch):
@@ -304,15 +319,17 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
                     lo_w, hi_w = max(p.first[t], p.begin[i] - len(item)), min(p.first[t + 1], p.end[i] + len(item))
                     near = p.words.hash[lo_w:hi_w]
                     coverage = lcs(item, near) / len(item)
-                    if coverage < PARTLY:
+                    run = coverage < COVERED and len(item) > RUN and has_run(item, near, RUN)
+                    if coverage < PARTLY and not run:
                         return
                     answer = lcs(answers_of[j], near) / len(answers_of[j])
                     if cosine is None:
                         mine = slice(begin[i], begin[i + 1])
                         at = every[1][mine]
-                        cosine = (every[2][mine][at >= 0] @ basis[at[at >= 0]]) @ latent[:, j] / np.sqrt(whole[i])
+                        cosine = (every[2][mine][at >= 0] @ basis[at[at >= 0]]) @ latent[:, part_of == j] / np.sqrt(whole[i])
+                        cosine = cosine.max()
                     same = cosine >= COSINE or _weight(item, near, weight) >= WEIGHT
-                    found = (coverage, answer, float(cosine), len(item), coverage >= COVERED or (answer >= ANSWER and bool(same)))
+                    found = (coverage, answer, float(cosine), len(item), coverage >= COVERED or run or (coverage >= PARTLY and answer >= ANSWER and bool(same)))
                     key = (int(doc_ids[a + t]), item_ids[j])
                     best[key] = max(best.get(key, found), found, key=lambda x: (x[4], *x[:4]))
 
@@ -333,8 +350,11 @@ def _search(texts: DataFrame, items, idf) -> DataFrame:
                         dense[np.searchsorted(rows[r : r + 256], owner[x:y]), at[x:y]] = value[x:y]
                         projected[r : r + 256] = dense @ basis
                     cosine = projected @ latent / np.sqrt(whole[rows])[:, None]
-                    for r, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        check(rows[r], j, cosine[r, j])
+                    hits: dict[tuple[int, int], float] = {}
+                    for r, c in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                        hits[r, part_of[c]] = max(hits.get((r, part_of[c]), 0.0), cosine[r, c])
+                    for (r, j), value_of in hits.items():
+                        check(rows[r], j, value_of)
                 start = np.searchsorted(p.text, np.arange(b - a + 1))
                 for t, w, j in zip(*pieces.held(p, col), strict=True):
                     for i in range(start[t] + 2 * w, min(start[t] + 2 * w + 3, start[t + 1])):
