@@ -112,17 +112,63 @@ def test_graph_statistics(spark):
     assert {r.node: r.degree for r in graphstats.degrees(e).collect()}["z"] == 2
 
 
-def test_streams_equal_batch(spark, sf_small, tmp_path):
+def test_closure_has_no_depth_limit(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)] + [("x", "y"), ("y", "x"), (None, "z")], "child string, parent string")
+    got = {(r.child, r.ancestor) for r in bgp.closure(chain).collect()}
+    assert len(got) == 820 + 4 and ("n0", "n40") in got and ("x", "x") in got
+    assert bgp.closure(chain.limit(0)).count() == 0
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(60)], "a string, b string")
+    assert {r.component for r in graphstats.components(edges).collect()} == {"000"}
+    with pytest.raises(RuntimeError):
+        graphstats.components(edges, rounds=1)
+
+
+def streamed(spark, rows, folder, make, name, mode):
+    rows.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return {tuple(r) for r in spark.table(name).collect()}
+
+
+@pytest.mark.parametrize(("name", "mode"), [("tumbling", "complete"), ("sliding", "complete"), ("sessions", "complete"), ("distinct_events", "append")])
+def test_streams_equal_batch(spark, sf_small, tmp_path, name, mode):
     from weftgraph.streaming import counts
 
     batch = spark.read.parquet(f"{sf_small}/events.parquet")
-    folder = str(tmp_path / "in")
-    batch.coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema(batch.schema).parquet(folder)
-    query = counts.tumbling(stream).writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("tumbling").collect()}
-    assert got == {tuple(r) for r in counts.tumbling(batch).collect()}
+    make = getattr(counts, name)
+    assert streamed(spark, batch, str(tmp_path / "in"), make, name, mode) == {tuple(r) for r in make(batch).collect()}
+
+
+def test_late_rows(spark, tmp_path):
+    from weftgraph.streaming import counts
+
+    times = ["2026-01-01 00:00:00", "2026-01-02 12:00:00", "2026-01-02 10:59:59", "2026-01-02 11:00:00", None]
+    rows = spark.createDataFrame([(i, t, 1, "a", 1.0) for i, t in enumerate(times)], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert [(r.event_id, r.behind) for r in counts.late_rows(rows).collect()] == [(2, 3601.0)]
+    # the same rule in a stream: a second file that begins before the first one's watermark gives no window any more
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows.filter("event_id < 2"), rows.filter("event_id = 0")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        counts.tumbling(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert [r.n for r in spark.read.parquet(out).collect()] == [1]
+
+
+def test_triples_are_upserted_once(spark, tmp_path):
+    from weftgraph.streaming import counts
+
+    path = str(tmp_path / "triples")
+    assert counts.read_triples(spark, path) is None
+    write = counts.upsert_triples(path)
+    first = spark.createDataFrame([("a", "p", "b"), ("a", "p", "b"), ("a", "p", "c")], "s string, p string, o string")
+    write(first, 0)
+    write(first.union(spark.createDataFrame([("x", "p", "c")], first.schema)), 1)
+    write(first.union(spark.createDataFrame([("x", "p", "c")], first.schema)), 1)  # run again after a failure
+    assert sorted(tuple(r) for r in counts.read_triples(spark, path).collect()) == [("a", "p", "b", 0), ("a", "p", "c", 0), ("x", "p", "c", 1)]
 
 
 def test_empty_tables(spark):

@@ -5,25 +5,10 @@ Edges are pairs (a, b). Steps that repeat are written to the shared folder betwe
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/weft-graph-{uuid.uuid4().hex}"
-
-
-def _saved(df: DataFrame, path: str) -> DataFrame:
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+from weftgraph import shared
 
 
 def undirected(graph: DataFrame) -> DataFrame:
@@ -46,24 +31,33 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(n)).select("node", "degree", F.round(F.col("degree") / (F.col("n") - 1), 9).alias("centrality"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and component (its least node) by alternating large-star and small-star steps."""
-    spark, path = edges.sparkSession, _shared(edges.sparkSession)
-    now = _saved(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), f"{path}/0")
-    before = None
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and component (its least node) by alternating large-star and small-star steps.
+
+    The steps end when every node points to a node that points nowhere; if that takes more than rounds,
+    it is an error, never an unfinished result.
+    """
+    spark = edges.sparkSession
+    path = shared.scratch(spark, "graph")
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    now, before = shared.saved(ends.distinct(), f"{path}/start"), None
     for i in range(rounds):
+        roles = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = _saved(large, f"{path}/large{i}").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        down = shared.saved(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/large{i}")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = _saved(small.filter("u <> v").distinct(), f"{path}/small{i}")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        now = shared.saved(small.filter("u <> v").distinct(), f"{path}/small{i}")
+        shared.remove(spark, before or f"{path}/start")
+        shared.remove(spark, f"{path}/large{i}")
+        before = f"{path}/small{i}"
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def clustering(pairs: DataFrame) -> DataFrame:
@@ -82,13 +76,20 @@ def clustering(pairs: DataFrame) -> DataFrame:
     return d.join(links, "node", "left").select("node", F.round(ratio, 6).alias("clustering"))
 
 
-def path_lengths(edges: DataFrame, most: int) -> DataFrame:
-    """Shortest distances d <= most of all connected pairs (a, b), for small graphs: breadth-first joins."""
-    step = edges.union(edges.select("b", "a")).filter("a <> b").distinct()
+def path_lengths(edges: DataFrame) -> DataFrame:
+    """Shortest distances d of all connected pairs (a, b), for small graphs: breadth-first joins until nothing new is reached.
+
+    The result has a row for each pair of nodes of a component, so it grows with its square.
+    """
+    spark = edges.sparkSession
+    path = shared.scratch(spark, "paths")
+    step = shared.saved(edges.union(edges.select("b", "a")).filter("a <> b").distinct(), f"{path}/step")
     known = front = step.withColumn("d", F.lit(1))
-    for d in range(2, most + 1):
+    d = 1
+    while not front.isEmpty():
+        d += 1
         reached = front.select("a", F.col("b").alias("m")).join(step.select(F.col("a").alias("m"), "b"), "m").filter("a <> b").select("a", "b").distinct()
-        front = reached.join(known, ["a", "b"], "left_anti").withColumn("d", F.lit(d))
+        front = shared.saved(reached.join(known, ["a", "b"], "left_anti").withColumn("d", F.lit(d)), f"{path}/{d}")
         known = known.unionByName(front)
     return known
 

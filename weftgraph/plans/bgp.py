@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph import shared
+
 Atom = tuple[str, str, str]
 
 
@@ -97,11 +99,25 @@ def path(graph: DataFrame, steps: list[str], start: str = "s", end: str = "o") -
     return match(graph, atoms).select(start, end).distinct()
 
 
-def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Reachable pairs (child, ancestor), reflexive not included, of a small hierarchy."""
+def closure(edges: DataFrame) -> DataFrame:
+    """Distinct reachable pairs (child, ancestor) of edges (child, parent), whatever their depth.
+
+    Pairs found so far are joined with themselves, so each round doubles the length of the paths covered
+    and the rounds are the logarithm of the depth. They end when nothing new is reached. A node on a
+    cycle reaches itself.
+    """
     spark = edges.sparkSession
-    edges.select("child", "parent").distinct().createOrReplaceTempView("_closure_edges")
-    return spark.sql(f"""WITH RECURSIVE r(child, ancestor, depth) AS (
-        SELECT child, parent, 1 FROM _closure_edges
-        UNION ALL SELECT r.child, e.parent, r.depth + 1 FROM r JOIN _closure_edges e ON r.ancestor = e.child WHERE r.depth < {rounds})
-        SELECT DISTINCT child, ancestor FROM r""")
+    path = shared.scratch(spark, "closure")
+    now = shared.saved(edges.select("child", F.col("parent").alias("ancestor")).filter("child is not null and parent is not null").distinct(), f"{path}/0")
+    n, round_ = now.count(), 0
+    while n:
+        far = now.select(F.col("child"), F.col("ancestor").alias("m")).join(now.select(F.col("child").alias("m"), "ancestor"), "m").select("child", "ancestor")
+        round_ += 1
+        grown = shared.saved(now.unionByName(far).distinct(), f"{path}/{round_}")
+        size = grown.count()
+        shared.remove(spark, f"{path}/{round_ - 1}")
+        now = grown
+        if size == n:
+            break
+        n = size
+    return now

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans import bgp
 
-TOKEN = re.compile(r"""\s+|\#[^\n<>]*\n|(<[^<>\s]*>)|([?$]\w+)|("(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^\S+)?)|(\w*:[\w.-]*\w|\w+:)|(&&|\|\||!=|<=|>=|[{}().;,=<>!*/+-])|(\w+(?:\.\d+)?)""")
+TOKEN = re.compile(r"""\s+|\#[^\n<>]*\n|(<[^<>\s]*>)|([?$]\w+)|("(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^\S+)?)|(\w*:(?:[\w.-]*\w)?)|(&&|\|\||!=|<=|>=|[{}().;,=<>!*/+-])|(\w+(?:\.\d+)?)""")
 AGGREGATES = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "SAMPLE": F.min}
 
 

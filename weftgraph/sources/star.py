@@ -48,9 +48,9 @@ def star_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RESPONSE = "'resp/'||l_orderkey||'_'||l_linenumber||'_'||l_partkey||'_'||l_suppkey"
 #: WITH clause that defines t(s, p, o, o_kind): the same triples in SQL.
-SQL = f"""WITH resp AS (SELECT {_RESPONSE} AS r, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+SQL = f"""WITH resp AS MATERIALIZED (SELECT {_RESPONSE} AS r, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 opt AS (SELECT p_partkey, unnest(['A','N','R']) AS flag FROM part),
-t(s, p, o, o_kind) AS (SELECT DISTINCT * FROM (
+t(s, p, o, o_kind) AS MATERIALIZED (SELECT DISTINCT * FROM (
 SELECT 'platform/'||url_encode(n_name), 'type', 'Platform', 'iri' FROM nation
 UNION ALL SELECT 'platform/'||url_encode(n_name), 'name', n_name, 'literal' FROM nation
 UNION ALL SELECT 'user/'||c_custkey, 'type', 'User', 'iri' FROM customer

@@ -339,3 +339,14 @@ def stream_session(spark, sf):
 @register("stream_dedup", "SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, sf):
     return table(spark, sf, "events").dropDuplicates(["event_id"]).select("event_id")
+
+
+@register("stream_sliding", "WITH x AS (SELECT *, time_bucket(INTERVAL '6 hours', ts) AS b FROM events) SELECT b - INTERVAL (6 * k) HOUR AS begin, event_type, count(*) AS n FROM x, range(4) r(k) GROUP BY ALL")
+def stream_sliding(spark, sf):
+    return counts.sliding(table(spark, sf, "events"))
+
+
+@register("stream_late", "WITH x AS (SELECT *, event_id + CASE WHEN event_id % 7 = 0 THEN 500 ELSE 0 END AS arrived FROM events) SELECT event_id, event_type, (epoch_us(seen) - epoch_us(ts)) / 1e6 AS behind FROM (SELECT *, max(ts) OVER (ORDER BY arrived RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM x) WHERE ts < seen - INTERVAL 1 HOUR")
+def stream_late(spark, sf):
+    """Every seventh event arrives 500 places late."""
+    return counts.late_rows(table(spark, sf, "events"), "event_id + CASE WHEN event_id % 7 = 0 THEN 500 ELSE 0 END")

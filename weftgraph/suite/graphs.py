@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftgraph import shared
 from weftgraph.catalogue import register
 from weftgraph.functions import terms
 from weftgraph.operators import graphstats
@@ -90,7 +91,7 @@ def anti_dangling_question(spark, sf):
     return bgp.not_exists(bgp.match(g, [("?ans", "isAnswerTo", "?q")]), g, [("?q", "hasQuestionCategory", "category/PROMO")])
 
 
-@register("anti_no_options", T + "SELECT s AS q FROM t WHERE p = 'type' AND o = 'Question' AND NOT EXISTS (SELECT 1 FROM t i JOIN t h ON h.o = i.s AND h.p = 'hasAnswer' JOIN t c ON c.s = i.s AND c.p = 'hasAnswerCategory' AND c.o = 'R' WHERE i.p = 'isAnswerTo' AND i.o = t.s)")
+@register("anti_no_options", T + "SELECT s AS q FROM t WHERE p = 'type' AND o = 'Question' AND s NOT IN (SELECT i.o FROM t i JOIN t h ON h.o = i.s AND h.p = 'hasAnswer' JOIN t c ON c.s = i.s AND c.p = 'hasAnswerCategory' AND c.o = 'R' WHERE i.p = 'isAnswerTo')")
 def anti_no_options(spark, sf):
     g = star.star_graph(spark, sf)
     return bgp.not_exists(_typed(g, "Question", "q"), g, [("?ans", "isAnswerTo", "?q"), ("?resp", "hasAnswer", "?ans"), ("?ans", "hasAnswerCategory", "R")])
@@ -260,18 +261,13 @@ def degree_by_type(spark, sf):
     return joined.groupBy("class").agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"))
 
 
-SMALL_SQL = T + ", e0 AS (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM t WHERE p = 'subclass_of' AND s NOT LIKE 'supplier/%'), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0) "
-
-
-def _small(spark, sf):
-    """The hierarchy of nations, regions and the world."""
-    return graphstats.undirected(star.star_graph(spark, sf).filter("p = 'subclass_of' and s not like 'supplier/%'"))
-
-
-@register("components", T + ", e0 AS (SELECT s, o FROM t WHERE p = 'belongsTo'), c AS (SELECT o AS comp, min(least(s, o)) AS component FROM e0 GROUP BY o) SELECT node, component FROM (SELECT s AS node, o AS comp FROM e0 UNION SELECT o, o FROM e0) JOIN c USING (comp)")
+@register("components", EDGE_SQL.replace("WITH resp", "WITH RECURSIVE resp", 1) + ", n AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), cc(node, component) USING KEY (node) AS (SELECT node, node FROM d UNION SELECT n.b, min(cc.component) FROM cc JOIN n ON n.a = cc.node JOIN recurring.cc AS old ON old.node = n.b WHERE cc.component < old.component GROUP BY n.b) SELECT node, component FROM cc")
 def components(spark, sf):
-    edges = star.star_graph(spark, sf).filter("p = 'belongsTo'").select(F.col("s").alias("a"), F.col("o").alias("b"))
-    return graphstats.components(edges)
+    """Components of all nodes of the graph that an edge joins with another node or itself."""
+    edges = shared.saved(_edges(spark, sf), shared.scratch(spark, "edges"))
+    found = graphstats.components(edges)
+    alone = graphstats.degrees(edges).select("node").join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("component", F.col("node")))
 
 
 CLUSTER_SQL = T + """, e0 AS (SELECT DISTINCT 'user/'||o_custkey AS a, 'questionnaire/'||url_encode(p_brand) AS b FROM resp UNION SELECT 'user/'||c_custkey, 'platform/'||url_encode(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT DISTINCT 'platform/'||url_encode(n_name), 'questionnaire/'||url_encode(p_brand) FROM resp JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey),
@@ -296,6 +292,12 @@ def random_walks(spark, sf):
     return graphstats.walks(g.select(F.col("s").alias("a"), "p", F.col("o").alias("b")), steps=4, seed=11)
 
 
-@register("path_lengths", SMALL_SQL + ", q AS (SELECT DISTINCT a FROM e), h1 AS (SELECT a, b, 1 AS d FROM e), h2 AS (SELECT DISTINCT x.a, y.b, 2 AS d FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b), h3 AS (SELECT DISTINCT x.a, y.b, 3 AS d FROM h2 x JOIN e y ON x.b = y.a WHERE x.a <> y.b), h4 AS (SELECT DISTINCT x.a, y.b, 4 AS d FROM h3 x JOIN e y ON x.b = y.a WHERE x.a <> y.b), m AS (SELECT a, b, min(d) AS d FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4) GROUP BY ALL) SELECT d, count(*) AS pairs FROM m WHERE d <= 4 GROUP BY d")
+TREE_SQL = T.replace("WITH resp", "WITH RECURSIVE resp", 1) + """, e0 AS (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM t WHERE p = 'subclass_of'), e AS MATERIALIZED (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+w(a, b, d) AS (SELECT a, b, 1 FROM e UNION SELECT w.a, e.b, w.d + 1 FROM w JOIN e ON e.a = w.b WHERE w.a <> e.b AND w.d < 7), m AS (SELECT a, b, min(d) AS d FROM w GROUP BY a, b) """
+
+
+@register("path_lengths", TREE_SQL + "SELECT d, count(*) AS pairs FROM m GROUP BY d")
 def path_lengths(spark, sf):
-    return graphstats.path_lengths(_small(spark, sf), 4).groupBy("d").agg(F.count("*").alias("pairs"))
+    """Distances of all pairs of the hierarchy of suppliers, nations, regions and the world (at most 6)."""
+    edges = graphstats.undirected(star.star_graph(spark, sf).filter("p = 'subclass_of'"))
+    return graphstats.path_lengths(edges).groupBy("d").agg(F.count("*").alias("pairs"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftgraph import shared
 from weftgraph.catalogue import register
 from weftgraph.functions import terms
-from weftgraph.operators import graphstats, resolve
+from weftgraph.operators import resolve
 from weftgraph.operators import triples as tr
 from weftgraph.plans import bgp, mapping
 from weftgraph.plans.mapping import Constant, Each, Literal, Reference, Template, TripleMap
@@ -17,7 +18,7 @@ from weftgraph.sources.star import table
 
 
 def _shared(spark, tag):
-    return graphstats._shared(spark) + "-" + tag
+    return shared.scratch(spark, tag)
 
 
 def _emit(spark, sf, spec):
