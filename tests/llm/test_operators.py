@@ -30,22 +30,58 @@ def words(rnd, n, alphabet="abcdefgh"):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.tokenizer_file(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.tokenizer_file(name))  # as it comes, without settings of its own
 
 
 def ids_of(name, text):
     return tokenizer(name).encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_token_cache_equals_the_tokenizer(name):
+def encoded(encoder, texts):
+    import pyarrow as pa
+
+    ids, at = encoder.encode(*bytescan.utf8(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_token_table_equals_the_tokenizer(name):
     rnd = random.Random(1)
-    signs = list("ab C0.,!'s  \t\n\r\x85\xa0 　\x1céÉßσΣ1٣中#*|") + ["<|endoftext|>", "̈"]
-    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(1500)] + [""]
-    got = tokens.Encoder(tokens.tokenizer_file(name)).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(name, t) for t in texts]
+    signs = list("ab C0.,!'s  \t\n\r\x85\xa0 　\x1céÉßσΣ1٣中#*|×÷İį\u200b\u2003") + ["<|endoftext|>", "̈", "\n\n", "word", " longer word"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(4000)] + ["", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|startoftext|>", "<|endoftext", "x" * 5000, "|>"]
+    encoder = tokens.Encoder(tokens.tokenizer_file(name))
+    for _ in range(2):  # the second time all pieces are known
+        assert encoded(encoder, texts) == [ids_of(name, t) for t in texts]
+    assert encoded(encoder, [None, *texts[:3]])[0] == []
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_letters_before_punctuation(name):
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]]
+    texts = [f"{letter}{sign}" for letter in letters for sign in tokens.PUNCTUATION] + [f"a\n{letter}b" for letter in letters]
+    assert encoded(tokens.Encoder(tokens.tokenizer_file(name)), texts) == [ids_of(name, t) for t in texts]
+
+
+def test_special_strings_as_text():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_file(NAMES[0]))
+    plain.encode_special_tokens = True
+    text = "a <|endoftext|> b"
+    assert encoded(tokens.Encoder(tokens.tokenizer_file(NAMES[0]), special_as_text=True), [text]) == [plain.encode(text, add_special_tokens=False).ids] != [ids_of(NAMES[0], text)]
+
+
+def test_long_texts_and_a_full_table(monkeypatch):
+    rnd = random.Random(2)
+    texts = [words(rnd, 4000), "y" * 9000, words(rnd, 50), " ".join("é" * 9 for _ in range(1500)), words(rnd, 3000, "xyz") + "<|endoftext|>"]
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    encoder = tokens.Encoder(tokens.tokenizer_file(NAMES[0]))
+    for _ in range(2):
+        assert encoded(encoder, texts) == [ids_of(NAMES[0], t) for t in texts]
 
 
 def test_rans_blocks():
@@ -59,6 +95,8 @@ def test_rans_blocks():
         assert np.array_equal(block.decode(), ids) and block.doc_ids.tolist() == [7, 9]
         for step in block.entry:  # every checkpoint is an entry of its own
             assert np.array_equal(block.decode(step), ids[step * block.lanes :])
+            assert np.array_equal(block.decode(0, step), ids[: step * block.lanes])
+        assert n < 300_000 or len(block.entry) > 3
         with pytest.raises(ValueError):
             rans.Block(table, payload[:-1] + bytes([payload[-1] ^ 1]))
 
@@ -90,6 +128,12 @@ def test_packing(spark):
     for i, t in enumerate(texts):
         want = np.array([*ids_of("word_bpe_49k.json", t or ""), 1], "<u4").tobytes()
         assert b"".join(x for _, _, x in sorted(covered[i])) == want
+    dealt = collections.Counter((p.step_group, p.sequence_id, p.tier) for p in pieces)
+    by_group = collections.defaultdict(collections.Counter)
+    for group, _, tier in dealt:
+        by_group[group >> 36, tier][group] += 1
+    assert all(max(c.values()) - min(c.values()) <= 1 for c in by_group.values())
+    assert packing.step_groups(np.repeat([2048, 512], [65, 3]), 2048).tolist() == [*([0, 1] * 33)[:65], 1, 0, 1]
     padded = 0
     for w in windows.values():
         end = 0

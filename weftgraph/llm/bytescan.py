@@ -69,6 +69,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The binary column of the n values that n + 1 item offsets cut out of a flat array."""
+    width = data.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes together; one longer text makes a range by itself."""
     first, n = 0, len(offsets) - 1

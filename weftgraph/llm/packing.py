@@ -4,8 +4,8 @@ Tiers are powers of two up to the longest window. A document gives whole longest
 goes to the smallest tier that holds it. Each tier is packed best-fit-decreasing into windows of its
 length; what a window lacks is filled from shorter tiers, cutting a piece if need be, until it is full
 or nothing shorter is left. Full windows of any tier need no padding; what is not full after that is
-merged into longest windows. Windows are dealt to step groups so that each group gets like numbers of
-every tier. All of this is local to a task, in chunks of bounded size, with no shuffle; a task leaves
+merged into longest windows. The windows of a chunk are dealt to step groups so that each group gets the
+same number of every tier, but for one. All of this is local to a task, in chunks of bounded size, with no shuffle; a task leaves
 at most one window with padding for each chunk.
 """
 
@@ -19,10 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.tokens import Encoder, groups, tokenizer_file
+from weftgraph.llm import bytescan as bs
+from weftgraph.llm.tokens import CHUNK_BYTES, Encoder, tokenizer_file, with_end
 
 #: Ids that a task holds before it packs them, and windows (in longest ones) of a step group.
-CHUNK_IDS, GROUP = 4 << 20, 64
+CHUNK_IDS, GROUP = 2 << 20, 64
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -96,69 +97,85 @@ def pack(rests: list[tuple[int, int, int]], longest: int, smallest: int = 128) -
     return windows
 
 
-def _pieces(tokenizer: str, end_id: int, longest: int, smallest: int, chunk_ids: int):
-    tail = np.array([end_id], "<u4").tobytes()
+def step_groups(windows: np.ndarray, longest: int) -> np.ndarray:
+    """A step group for each window (given by its tier): as many groups as hold GROUP longest windows each,
+    and each of them gets the same number of windows of every tier, but for one."""
+    groups = max(1, -(-int(windows.sum()) // (GROUP * longest)))
+    out, first = np.zeros(len(windows), np.int64), 0
+    for tier in np.unique(windows)[::-1]:
+        which = np.flatnonzero(windows == tier)
+        out[which] = (first + np.arange(len(which))) % groups  # the next tier goes on where this one ended
+        first = (first + len(which)) % groups
+    return out
+
+
+def _pieces(tokenizer: str, end_id: int, longest: int, smallest: int, chunk_ids: int, special_as_text: bool):
+    names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
 
     def run(batches):
-        encoder, part = Encoder.of(tokenizer_file(tokenizer)), TaskContext.get().partitionId()
-        sequence, dealt = 0, {}
-        docs, size = [], 0
+        encoder, part = Encoder.of(tokenizer_file(tokenizer), special_as_text), TaskContext.get().partitionId()
+        sequence, group = 0, 0
+        doc_ids, held, sizes, size = [], [], [], 0
 
         def out():
-            nonlocal sequence
-            windows = []
-            rests = []
-            for i, (_, ids) in enumerate(docs):
-                n = len(ids) // 4
-                whole = n // longest * longest
-                windows += [[(i, a, longest)] for a in range(0, whole, longest)]
-                if n > whole:
-                    rests.append((i, whole, n - whole))
-            windows += pack(rests, longest, smallest)
-            rows = []
-            for window in windows:
-                length = sum(p[2] for p in window)
-                tier = length if length & (length - 1) == 0 else longest
-                dealt[tier] = dealt.get(tier, 0) + 1
-                group = dealt[tier] * tier // (GROUP * longest)
-                offset = 0
-                for i, start, n in window:
-                    doc_id, ids = docs[i]
-                    rows.append((doc_id, start, n, ids[4 * start : 4 * (start + n)], len(ids) // 4, (part << 36) | sequence, offset, tier, (part << 36) | group))
-                    offset += n
-                sequence += 1
-            for a in range(0, len(rows), 4000):
-                some = rows[a : a + 4000]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in some], kinds[j]) for j in range(9)], names=names)
+            nonlocal sequence, group
+            flat, names_of, length = np.concatenate(held), np.concatenate(doc_ids), np.concatenate(sizes)
+            begin = np.cumsum(length) - length
+            whole = length // longest
+            each = np.repeat(np.arange(len(length)), whole)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(whole) - whole, whole)
+            rest = np.flatnonzero(length % longest)
+            made = pack([(int(i), int(whole[i] * longest), int(length[i] % longest)) for i in rest], longest, smallest)
+            pieces = np.array([p for w in made for p in w], np.int64).reshape(-1, 3)
+            of = np.repeat(np.arange(len(made)), [len(w) for w in made]) + len(each)
+            doc, start = np.concatenate([each, pieces[:, 0]]), np.concatenate([step * longest, pieces[:, 1]])
+            n, of = np.concatenate([np.full(len(each), longest), pieces[:, 2]]), np.concatenate([np.arange(len(each)), of])
+            total = np.bincount(of, n).astype(np.int64)
+            tier = np.where(total & (total - 1) == 0, total, longest)
+            dealt = step_groups(tier, longest)
+            offset = np.cumsum(n) - n
+            offset -= offset[np.searchsorted(of, of)]
+            for a in range(0, len(doc), 4000):
+                b = min(a + 4000, len(doc))
+                d, w, size = doc[a:b], of[a:b], n[a:b]
+                ends = np.cumsum(size)
+                ids = flat[np.repeat(begin[d] + start[a:b] - ends + size, size) + np.arange(ends[-1])]
+                columns = [names_of[d], start[a:b], size, None, length[d], (part << 36) | (sequence + w), offset[a:b], tier[w].astype(np.int32), (part << 36) | (group + dealt[w])]
+                yield pa.RecordBatch.from_arrays([bs.binary(ids, np.r_[0, ends]) if c is None else pa.array(c) for c in columns], names=names)
+            sequence += len(total)
+            group += int(dealt.max()) + 1
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in groups(texts):
-                for doc_id, found in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
-                    docs.append((doc_id, found + tail))
-                    size += len(found) // 4 + 1
+            data, offsets = bs.utf8(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for a, b in bs.pieces(offsets, CHUNK_BYTES):
+                found, at = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found, at = with_end(found, at, end_id)
+                doc_ids.append(ids[a:b])
+                held.append(found)
+                sizes.append(np.diff(at))
+                size += len(found)
                 if size >= chunk_ids:
                     yield from out()
-                    docs, size = [], 0
-        if docs:
+                    doc_ids, held, sizes, size = [], [], [], 0
+        if held:
             yield from out()
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, smallest: int = 128, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, smallest: int = 128, chunk_ids: int = CHUNK_IDS, special_as_text: bool = False) -> DataFrame:
     """Pieces of every row of docs (doc_id, text): doc_id, start, length, ids (little-endian u32 bytes),
     doc_tokens, sequence_id, offset, tier (the window's length) and step_group.
 
     Each id of each document, and the end id after it, lies in exactly one piece. A sequence is a window
-    of a tier's length; one that is not full is padded to the longest. Null texts are empty (only the end
-    id). Rows without doc_id are left out; repeated rows are packed as they come. Other columns are
+    of a tier's length; one that is not full is padded to the longest. The string of a special token in a
+    text gives that token's id, as the library does by default, or is ordinary text if special_as_text. Null texts are empty (only the end
+    id). Texts may be of any length. Rows without doc_id are left out; repeated rows are packed as they come. Other columns are
     ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(_pieces(tokenizer, end_id, longest, smallest, chunk_ids), PIECE_SCHEMA)
+    return rows.mapInArrow(_pieces(tokenizer, end_id, longest, smallest, chunk_ids, special_as_text), PIECE_SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ frequency table. A block holds whole documents; its payload is
     checkpoints (step u64, word u64, states u64[lanes]) each, words u32[words]
 
 Token i is coded by lane i % lanes. A state is in [2**31, 2**63) and gives 32-bit words off. A decoder
-can start at the first step or at any checkpoint, so parts of a block decode in parallel too. All lanes
-take one vectorised step at a time.
+can start at the first step or at any checkpoint. All lanes take one vectorised step at a time, and a whole
+block is decoded from all of its checkpoints at once, so each step serves the lanes of all its parts.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm import bytescan as bs
 from weftgraph.llm import store
-from weftgraph.llm.tokens import Encoder, groups, tokenizer_file
+from weftgraph.llm.tokens import CHUNK_BYTES, Encoder, tokenizer_file, with_end
 
 U64 = np.uint64
 HEADER = struct.Struct("<4sHHIQIQIII")
 LEAST = U64(1) << U64(31)
 #: Tokens of a block (a longer document is a block by itself), steps between checkpoints, most lanes.
-BLOCK_TOKENS, CHECKPOINT_STEPS, MOST_LANES = 1 << 20, 512, 2048
+BLOCK_TOKENS, CHECKPOINT_STEPS, MOST_LANES = 1 << 20, 128, 2048
 
 
 class Table:
@@ -39,6 +40,7 @@ class Table:
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         order = np.argsort(tokens, kind="stable")
+        self.total = int(np.sum(counts)) if len(counts) else 0
         self.tokens, counts = np.asarray(tokens, np.int64)[order], np.asarray(counts, np.float64)[order]
         self.bits = max(8, min(20, len(counts).bit_length() + 3))
         total = 1 << self.bits
@@ -122,60 +124,64 @@ class Block:
         self.words = read("<u4", words)
 
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
-        """Ids of the steps from a checkpoint (or 0) up to another step (or the end)."""
+        """Ids of the steps from a checkpoint (or 0) up to another one (or the end), from all checkpoints between at once."""
         table, lanes, n = self.table, self.lanes, self.n
         steps = -(-n // lanes)
         last = steps if last is None else last
-        word, states = self.entry[first]
-        states, shift, mask = states.copy(), U64(table.bits), (U64(1) << U64(table.bits)) - U64(1)
-        out = np.empty(min(n, last * lanes) - first * lanes, np.int32)
-        for step in range(first, last):
-            a, b = step * lanes, min(n, (step + 1) * lanes)
-            x = states[: b - a]
+        begins = np.array(sorted(step for step in self.entry if first <= step < max(last, first + 1)), np.int64)
+        ends = np.append(begins[1:], last)
+        word = np.array([self.entry[step][0] for step in begins], np.int64)
+        states = np.stack([self.entry[step][1] for step in begins])
+        shift, mask = U64(table.bits), (U64(1) << U64(table.bits)) - U64(1)
+        longest = int((ends - begins).max(initial=0))
+        out = np.zeros((len(begins), longest, lanes), np.int32)
+        for j in range(longest):
+            live = int(np.count_nonzero(begins + j < ends))  # only the last part can be shorter
+            x = states[:live]
             slot = x & mask
             symbol = table.symbol[slot]
-            out[a - first * lanes : b - first * lanes] = symbol
+            out[:live, j] = symbol
             x = table.freq[symbol] * (x >> shift) + slot - table.start[symbol]
             under = x < LEAST
-            if k := int(under.sum()):
-                x[under] = (x[under] << U64(32)) | self.words[word : word + k]
-                word += k
-            states[: b - a] = x
-        ids = table.tokens[out].astype("<u4")
+            if begins[live - 1] + j == steps - 1 and n % lanes:
+                under[-1, n % lanes :] = False  # lanes that the last step does not have
+            taken = np.cumsum(under, axis=1)
+            x[under] = (x[under] << U64(32)) | self.words[(word[:live, None] + taken - 1)[under]]
+            word[:live] += taken[:, -1]
+            states[:live] = x
+        flat = np.concatenate([out[i, : e - b].reshape(-1) for i, (b, e) in enumerate(zip(begins, ends, strict=True))]) if len(begins) else out.reshape(-1)
+        ids = table.tokens[flat[: min(n, last * lanes) - first * lanes]].astype("<u4")
         if first == 0 and last == steps and zlib.crc32(ids.tobytes()) != self.crc:
             raise ValueError("the ids of a block do not match their checksum")
         return ids
 
 
-def _narrow(ids: bytes, kind: str) -> bytes:
-    return ids if kind == "<u4" else np.frombuffer(ids, "<u4").astype(kind).tobytes()
+TOKENS = "doc_id long, ids binary, counts array<struct<token:int,n:bigint>>"
 
 
 def _tokenise(tokenizer: str, end_id: int, kind: str):
+    """Ids of each row; at the end of a partition, a row without doc_id with the occurrences of each id in it."""
+    counted = pa.list_(pa.struct([("token", pa.int32()), ("n", pa.int64())]))
+
     def run(batches):
-        encoder, tail = Encoder.of(tokenizer_file(tokenizer)), np.array([end_id], "<u4").tobytes()
+        encoder, total = Encoder.of(tokenizer_file(tokenizer)), np.zeros(0, np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in groups(texts):
-                found = [_narrow(x + tail, kind) for x in encoder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+            data, offsets = bs.utf8(batch.column("text"))
+            for a, b in bs.pieces(offsets, 2 * CHUNK_BYTES):
+                ids, at = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, at = with_end(ids, at, end_id)
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), bs.binary(ids.astype(kind), at), pa.nulls(b - a, counted)], names=["doc_id", "ids", "counts"])
+        seen = np.flatnonzero(total)
+        if len(seen):
+            pairs = pa.StructArray.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([b""], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pairs)], names=["doc_id", "ids", "counts"])
 
     return run
 
 
-def _count(batches, kind: str):
-    """Occurrences of each id in this partition."""
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for a in range(0, len(batch), 512):
-            ids = np.frombuffer(b"".join(batch.column("ids").slice(a, 512).to_pylist()), kind)
-            found = np.bincount(ids, minlength=len(total))
-            found[: len(total)] += total
-            total = found
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
-
-
 def _encode(table, block_tokens: int, kind: str):
     width = np.dtype(kind).itemsize
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64()), ("payload", pa.binary())])
@@ -206,23 +212,26 @@ def _encode(table, block_tokens: int, kind: str):
 def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes the ids of every text of docs (doc_id, text), and end_id after each, in ascending doc_id order to path.
 
-    Null texts are empty (only the end id). Rows without doc_id are left out; rows of equal doc_id follow
+    The library encodes each text with add_special_tokens=False; the string of a special token in a text
+    gives that token's id, as it does by default there. Null texts are empty (only the end id). Texts may
+    be of any length: a long one is a block by itself. Rows without doc_id are left out; rows of equal doc_id follow
     one another in the order of a hash of their ids. An empty table gives an empty dataset.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     kind = "<u2" if max(end_id + 1, Encoder.of(tokenizer_file(tokenizer)).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
     base = store.scratch(spark, "tokens")
-    tokens = store.save(rows.mapInArrow(_tokenise(tokenizer, end_id, kind), "doc_id long, ids binary"), base)
-    counted = tokens.mapInArrow(lambda rows: _count(rows, kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted.write.parquet(f"{path}/frequencies")
-    table = spark.sparkContext.broadcast(read_table(spark, path))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = tokens.withColumn("tie", F.xxhash64("ids"))
+    tokens = store.save(rows.mapInArrow(_tokenise(tokenizer, end_id, kind), TOKENS), base)
+    pairs = tokens.select(F.explode("counts").alias("c"))
+    pairs.groupBy(F.col("c.token").cast("long").alias("token")).agg(F.sum("c.n").alias("n")).write.parquet(f"{path}/frequencies")
+    found = read_table(spark, path)
+    table = spark.sparkContext.broadcast(found)
+    parts = store.parts_for(spark, np.dtype(kind).itemsize * found.total)
+    keyed = tokens.filter("doc_id is not null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
     ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     blocks = ordered.mapInArrow(_encode(table, block_tokens, kind), "part long, block long, start long, tokens long, documents long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    del keyed, ordered, blocks, tokens
+    del keyed, ordered, blocks, tokens, pairs
     store.release(spark)
     store.remove(spark, base)
 
@@ -248,13 +257,8 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, start, payload in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 block = Block(table.value, payload)
-                raw = block.decode().tobytes()
-                ends = np.cumsum(block.lengths)
-                begin = ends - block.lengths
-                for a in range(0, len(ends), 2000):
-                    b = min(len(ends), a + 2000)
-                    ids = [raw[4 * i : 4 * j] for i, j in zip(begin[a:b], ends[a:b], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids[a:b], pa.int64()), pa.array(offsets.value[part] + start + begin[a:b], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+                ids, at = block.decode(), np.r_[0, np.cumsum(block.lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(offsets.value[part] + start + at[:-1], pa.int64()), bs.binary(ids, at)], names=["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
 
