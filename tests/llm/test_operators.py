@@ -149,8 +149,8 @@ def test_packing(spark):
 # --- 2 -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("batch_bytes", "hot"), [(1 << 20, 4000), (3000, 4000), (3000, 1)])
-def test_suffix_dedup(spark, batch_bytes, hot):
+@pytest.mark.parametrize(("batch_bytes", "hot", "contents"), [(1 << 20, 4000, 9999), (3000, 4000, 9999), (3000, 1, 9999), (3000, 4000, 1)])
+def test_suffix_dedup(spark, batch_bytes, hot, contents):
     rnd = random.Random(4)
     passages = [words(rnd, 30) for _ in range(4)]
     texts = []
@@ -161,11 +161,33 @@ def test_suffix_dedup(spark, batch_bytes, hot):
             a = rnd.randint(0, len(p) // 2)
             t += p[a : a + rnd.randint(30, 160)] + rnd.choice(["", " é "]) + words(rnd, 3)
         texts.append(t)
+    texts += [f"{words(rnd, 9)} {passages[0]} {words(rnd, 9)}" for _ in range(25)]  # one passage among ever new words
     texts += [texts[3], texts[3], "a" * 300, "a" * 49, "a" * 50, "short", "short", "", None]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digest(suffix.dedup_substrings(docs_of(spark, texts).repartition(3), batch_bytes=batch_bytes, hot_batches=hot)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digest(suffix.dedup_substrings(docs_of(spark, texts).repartition(3), batch_bytes=batch_bytes, hot_batches=hot, hot_contents=contents)).collect()}
     assert got == suffix.removed_by_brute_force([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
+def test_ranks_of_slices_equal_those_of_all(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    base = [bytes(rnd.integers(97, 99, 83, np.uint8)) for _ in range(40)]  # equal windows have equal owners
+    head, bodies = np.zeros(300, suffix.CONTEXT), []
+    for i in range(300):
+        owner, length = rnd.integers(0, 40), int(rnd.integers(50, 84))
+        bodies.append(base[owner][: length - 5] + bytes(rnd.integers(97, 99, 5, np.uint8)))
+        head[i] = (owner, i, rnd.integers(0, 50), i, 0, 0, length)
+    table = pa.table({"batch": [1, 2], "head": [head[:150].tobytes(), head[150:].tobytes()], "body": [b"".join(bodies[:150]), b"".join(bodies[150:])]})
+    whole = suffix._double(table)
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 500)
+    assert suffix._double(table).equals(whole) and whole.num_rows == 2
+    found = {int(m["doc"]): int(m["bits"]) for x in whole.column("head").to_pylist() for m in np.frombuffer(x, suffix.MARK)}
+    for i in range(300):
+        windows = [bodies[i][j : j + 50] for j in range(len(bodies[i]) - 49)]
+        others = {bodies[k][j : j + 50] for k in range(300) if head["owner"][k] == head["owner"][i] and head["doc_id"][k] < head["doc_id"][i] for j in range(len(bodies[k]) - 49)}
+        assert found.get(i, 0) == sum(1 << j for j, w in enumerate(windows) if w in others)
+
+
 def test_suffix_dedup_carries_columns_and_keeps_repeated_rows(spark):
     rows = docs_of(spark, ["x" * 80]).union(docs_of(spark, ["x" * 80]))
     got = suffix.dedup_substrings(rows, carry=("lang", "sigs")).collect()
@@ -209,6 +231,14 @@ def test_jaccard_components(spark, k, num, den):
     assert got == jaccard_by_brute_force(texts, k, num, den)
 
 
+def test_jaccard_with_repeated_ids(spark):
+    rnd = random.Random(21)
+    a, b, c = (words(rnd, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (3, f"{b} more"), (4, c), (4, c), (2, f"{c} more"), (9, None), (9, ""), (5, a)]
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect())
+    assert got == sorted([(1, 58, 1), (1, 58, 1), (3, 59, 1), (4, 58, 2), (4, 58, 2), (2, 59, 2), (9, 0, 9), (9, 0, 9), (5, 58, 1)])
+
+
 def test_jaccard_tiles_and_blocks():
     import pyarrow as pa
 

@@ -248,10 +248,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     base = store.scratch(spark, "jaccard")
-    feats = store.save(texts.mapInArrow(_features(k, num, den), FEATURES), f"{base}/features")
+    feats = store.save(texts.mapInArrow(store.freed(_features(k, num, den)), FEATURES), f"{base}/features")
 
     rows = feats.select("doc_id", "n", "k1", "k2")
     classes = store.save(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), f"{base}/classes")
+    # a class is named by its key k1; its least doc_id tells where to read its text, and may be that of other classes too
     pairs = feats.select(F.explode("sigs").alias("sig"), "k1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = pairs.repartitionByRange(parts, "sig", "k1").sortWithinPartitions("sig", "k1")
@@ -265,17 +266,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     tiles = blocks.select("members").unionByName(across).filter("size(members) > 1")
     tiles = tiles.withColumn("tile", F.xxhash64("members")).dropDuplicates(["tile"])
     tiles = store.save(tiles, f"{base}/tiles")
-    member = tiles.select("tile", F.explode("members").alias("k1")).join(classes.select("k1", "id"), "k1").select("tile", "id")
+    member = tiles.select("tile", F.explode("members").alias("id"))
     member = store.save(member, f"{base}/members")
 
     def of_classes(ids: DataFrame, render) -> DataFrame:
-        """render(sorted shingles) of the documents with these ids, as column items, with their size n."""
+        """render(sorted shingles) of the classes with these ids, as column items, with their size n (and of others that share a document's id)."""
 
         def run(batches):
             for batch in batches:
                 found, size = [], 0
-                for doc_id, s in _sets(batch, k):
-                    found.append((doc_id, len(s), render(s).tobytes()))
+                for _, s in _sets(batch, k):
+                    found.append((_class_key(s)[0], len(s), render(s).tobytes()))
                     size += len(found[-1][2])
                     if size > 1 << 23:
                         yield out(found)
@@ -286,10 +287,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["id", "n", "items"])
 
-        ids = ids.select(F.col("id").alias("doc_id")).distinct()
+        ids = ids.select(F.col("id").alias("k1")).distinct().join(classes.select("k1", F.col("id").alias("doc_id")), "k1").select("doc_id").distinct()
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, n long, items binary").dropDuplicates(["id"])
+        return texts.join(ids, "doc_id", "left_semi").mapInArrow(store.freed(run), "id long, n long, items binary").dropDuplicates(["id"])
 
     def sift(sparse: bool):
         def run(table: pa.Table) -> pa.Table:
@@ -337,5 +338,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         if left.isEmpty():
             break  # no pair between components is left
         verify(left, name)
-    joined = rows.join(with_label(classes), ["k1", "k2", "n"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    named = with_label(classes.withColumnRenamed("id", "least").withColumn("id", F.col("k1")))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = named.select("k1", "k2", "n", "label").join(least, "label")
+    joined = rows.join(named, ["k1", "k2", "n"], "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

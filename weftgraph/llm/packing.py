@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bytescan as bs
+from weftgraph.llm import store
 from weftgraph.llm.tokens import CHUNK_BYTES, Encoder, tokenizer_file, with_end
 
 #: Ids that a task holds before it packs them, and windows (in longest ones) of a step group.
@@ -175,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int =
     ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(_pieces(tokenizer, end_id, longest, smallest, chunk_ids, special_as_text), PIECE_SCHEMA)
+    return rows.mapInArrow(store.freed(_pieces(tokenizer, end_id, longest, smallest, chunk_ids, special_as_text)), PIECE_SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     kind = "<u2" if max(end_id + 1, Encoder.of(tokenizer_file(tokenizer)).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
     base = store.scratch(spark, "tokens")
-    tokens = store.save(rows.mapInArrow(_tokenise(tokenizer, end_id, kind), TOKENS), base)
+    tokens = store.save(rows.mapInArrow(store.freed(_tokenise(tokenizer, end_id, kind)), TOKENS), base)
     pairs = tokens.select(F.explode("counts").alias("c"))
     pairs.groupBy(F.col("c.token").cast("long").alias("token")).agg(F.sum("c.n").alias("n")).write.parquet(f"{path}/frequencies")
     found = read_table(spark, path)
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens
     parts = store.parts_for(spark, np.dtype(kind).itemsize * found.total)
     keyed = tokens.filter("doc_id is not null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
     ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ordered.mapInArrow(_encode(table, block_tokens, kind), "part long, block long, start long, tokens long, documents long, payload binary")
+    blocks = ordered.mapInArrow(store.freed(_encode(table, block_tokens, kind)), "part long, block long, start long, tokens long, documents long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     del keyed, ordered, blocks, tokens, pairs
     store.release(spark)
@@ -260,7 +260,7 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
                 ids, at = block.decode(), np.r_[0, np.cumsum(block.lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(offsets.value[part] + start + at[:-1], pa.int64()), bs.binary(ids, at)], names=["doc_id", "start", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(store.freed(run), "doc_id long, start long, ids binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

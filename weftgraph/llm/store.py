@@ -1,28 +1,36 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and memory that workers give back."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from weftgraph.shared import remove, scratch, shared_dir
 
+__all__ = ["freed", "parts_for", "release", "remove", "save", "scratch", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session has no such setting (tests)."""
-    found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
 
+def freed(run):
+    """A generator function for mapInArrow that gives freed memory back to the system when its task ends.
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/weft-{tag}-{uuid.uuid4().hex}"
+    Spark uses a worker again for the next stage; without this, each would keep what its largest task took.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
 
 
 def save(df: DataFrame, path: str, compression: str = "zstd", partition_by: str | None = None) -> DataFrame:
@@ -43,13 +51,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def parts_for(spark: SparkSession, total_bytes: int, target: int = 16 << 20) -> int:
     """Partitions so that each holds about target bytes; never fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // target), 1)

@@ -12,7 +12,8 @@ doc_id. All strings are judged on the input; matches never cross documents.
    content; those that a smaller doc_id has too are settled, and so are those that are alone with their
    prefix. Of the rest, one context of each content goes on with its bytes.
 4. Doubling, offsets 8, 16 and 18 (to lengths 16, 32 and 50). These bytes are sent to the task that owns
-   their prefix. There the positions' (rank, rank at the offset) pairs are sorted
+   their prefix (of a prefix with very many contents, each window goes to the task that owns the window).
+   There, prefix by prefix in slices of bounded size, the positions' (rank, rank at the offset) pairs are sorted
    and reranked at each offset; positions that become unique drop out. Windows of equal rank at the
    threshold are equal strings: all but those of the least doc_id go. These ranks come from sorting
    the bytes themselves, not from hashes.
@@ -45,6 +46,8 @@ U64 = np.uint64
 THRESHOLD, SEED = 50, 16
 #: Bytes of text in one batch, and batches that must hold a prefix before it counts as hot.
 BATCH_BYTES, HOT_BATCHES = 1 << 20, 4000
+#: Contents of one prefix up to which one task compares them; bytes of contexts that are ranked at a time.
+HOT_CONTENTS, SLICE_BYTES = 20_000, 1 << 19
 HIGH = U64(0xFFFFFFFF00000000)
 LOW = U64(0xFFFFFFFF)
 
@@ -229,9 +232,9 @@ def _contexts(buckets: int):
     return run
 
 
-def _settle(table: pa.Table) -> pa.Table:
+def _settle(table: pa.Table, hot_contents: int) -> pa.Table:
     """Whole contexts of one bucket: those that a smaller doc_id has too are marked; of prefixes with several
-    contents, one context of each content is asked for."""
+    contents, one context of each content is asked for (kind 1; kind 2 where there are very many contents)."""
     heads = [np.frombuffer(x, CONTEXT) for x in table.column("head").to_pylist()]
     rows = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
     head = np.concatenate(heads)
@@ -245,34 +248,65 @@ def _settle(table: pa.Table) -> pa.Table:
     full[order] = h["doc_id"] > least
     ask = np.zeros(len(head), bool)
     ask[order] = (h["doc_id"] == least) & (contents > 1)
+    hot = np.zeros(len(head), bool)
+    hot[order] = contents > hot_contents
     marks = np.zeros(len(head), MARK)
     marks["doc"], marks["start"] = head["doc"], head["start"]
     marks["bits"] = (U64(1) << (head["length"] - THRESHOLD + 1).astype(U64)) - U64(1)
     edge = np.cumsum([0, *map(len, heads)])
     out = []
     for number, a, b in zip(table.column("batch").to_pylist(), edge[:-1], edge[1:], strict=True):
-        for kind, what, chosen in ((0, marks, full), (1, head, ask)):
+        for kind, what, chosen in ((0, marks, full), (1, head, ask & ~hot), (2, head, ask & hot)):
             if chosen[a:b].any():
                 out.append((number, kind, what[a:b][chosen[a:b]].tobytes()))
     return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "head": pa.array([r[2] for r in out], pa.binary())})
 
 
+def _windows(head: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each window of some contexts as a context of its own, owned by its bytes; equal ones once, and marks for the others of a larger doc_id."""
+    each = (head["length"] - THRESHOLD + 1).astype(np.int64)
+    out = np.repeat(head, each)
+    out["start"] += (np.arange(len(out)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+    out["length"], out["lead"] = THRESHOLD, 0
+    bodies = [texts[d][a : a + THRESHOLD] for d, a in zip(out["doc"].tolist(), out["start"].tolist(), strict=True)]
+    flat = np.frombuffer(b"".join(bodies), np.uint8)
+    at = np.arange(len(out)) * THRESHOLD
+    out["owner"] = bs.span_hash(bs.prefix_sums(flat), at, at + THRESHOLD)
+    _, same = np.unique(flat.reshape(-1, THRESHOLD).view(f"V{THRESHOLD}")[:, 0], return_inverse=True)
+    order = np.lexsort((out["start"], out["doc_id"], same))
+    new = np.r_[True, same[order][1:] != same[order][:-1]]
+    least = out["doc_id"][order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    gone = order[out["doc_id"][order] > least]
+    marks = np.zeros(len(gone), MARK)
+    marks["doc"], marks["start"], marks["bits"] = out["doc"][gone], out["start"][gone], 1
+    kept = np.sort(order[out["doc_id"][order] == least])  # a repeat within one document may go to other documents' marks too
+    return out[kept], marks, [bodies[i] for i in kept.tolist()]
+
+
 def _cut(buckets: int):
-    """Bytes of the contexts that a batch is asked for, dealt out by their owners."""
+    """Bytes of the contexts that a batch is asked for, dealt out by their owners; marks that it can set alone (bucket -1)."""
 
     def run(batches):
         for batch in batches:
-            for number, blob, asked in zip(*(batch.column(c).to_pylist() for c in ("batch", "blob", "asked")), strict=True):
+            for number, blob, asked, hot in zip(*(batch.column(c).to_pylist() for c in ("batch", "blob", "asked", "hot")), strict=True):
                 texts = _unpack(blob)[2]
-                head = np.frombuffer(b"".join(asked), CONTEXT)
+                head = np.frombuffer(b"".join(asked or []), CONTEXT)
+                bodies = [texts[d][a : a + n] for d, a, n in zip(head["doc"].tolist(), head["start"].tolist(), head["length"].tolist(), strict=True)]
+                rows = []
+                if warm := b"".join(hot or []):
+                    more, marks, more_bodies = _windows(np.frombuffer(warm, CONTEXT), texts)
+                    head, bodies = np.concatenate([head, more]), bodies + more_bodies
+                    if len(marks):
+                        rows.append((-1, marks.tobytes(), b""))
                 bucket = _bucket(head["owner"], buckets)
                 order = np.argsort(bucket, kind="stable")
                 head, bucket = head[order], bucket[order]
-                bodies = [texts[d][a : a + n] for d, a, n in zip(head["doc"].tolist(), head["start"].tolist(), head["length"].tolist(), strict=True)]
-                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                bodies = [bodies[i] for i in order.tolist()]
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(head) else np.zeros(0, np.int64)
                 ends = np.r_[edge[1:], len(head)]
-                rows = [(int(bucket[a]), head[a:b].tobytes(), b"".join(bodies[a:b])) for a, b in zip(edge, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["bucket", "batch", "head", "body"])
+                rows += [(int(bucket[a]), head[a:b].tobytes(), b"".join(bodies[a:b])) for a, b in zip(edge, ends, strict=True)] if len(head) else []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["bucket", "batch", "head", "body"])
 
     return run
 
@@ -283,46 +317,61 @@ def _rerank(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, count[rank]
 
 
+def _ranked(head: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sorts rank pairs of the positions of some contexts at growing offsets; for each context the bits of its
+    windows that a smaller doc_id holds. Contexts of one owner must all be among them."""
+    marks = np.zeros(len(head), U64)
+    length = head["length"].astype(np.int64)
+    ends = np.cumsum(length)
+    of = np.repeat(np.arange(len(head)), length)
+    step = np.arange(ends[-1]) - (ends - length)[of]
+    left = length[of] - step
+    data = data[begin[of] + step]
+    number = np.zeros(len(data), U64)  # eight bytes as one number are their own rank
+    for i in range(8):
+        number[: len(data) - i] |= data[i:].astype(U64) << U64(8 * (7 - i))
+    _, rank8 = np.unique(number, return_inverse=True)
+    at = np.flatnonzero(left >= 16)
+    rank = np.zeros(len(data), np.int64)
+    rank[at], size = _rerank(rank8[at], rank8[at + 8])
+    window = left[at] >= THRESHOLD
+    window = at[window & (size > 1)]  # unique positions drop out, here and below
+    if len(window):
+        at = np.unique(np.concatenate([window, window + THRESHOLD - 32]))
+        rank32 = np.zeros(len(data), np.int64)
+        rank32[at], size = _rerank(rank[at], rank[at + 16])
+        window = window[size[np.searchsorted(at, window)] > 1]
+    if len(window):
+        rank, size = _rerank(rank32[window], rank32[window + THRESHOLD - 32])
+        least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+        ids = head["doc_id"][of[window]]
+        np.minimum.at(least, rank, ids)
+        gone = least[rank] < ids
+        np.bitwise_or.at(marks, of[window[gone]], U64(1) << step[window[gone]].astype(U64))
+    return marks
+
+
 def _double(table: pa.Table) -> pa.Table:
-    """Sorts rank pairs of one bucket's positions at growing offsets; marks windows that a smaller doc_id holds."""
+    """Marks of the windows of one bucket's contexts that a smaller doc_id holds, a slice of owners at a time."""
     heads = [np.frombuffer(x, CONTEXT) for x in table.column("head").to_pylist()]
     rows = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
     head = np.concatenate(heads)
     data = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
     length = head["length"].astype(np.int64)
     begin = np.cumsum(length) - length
-    # contexts whose owner is alone here are settled
     _, back, count = np.unique(head["owner"], return_inverse=True, return_counts=True)
-    live = np.flatnonzero(count[back] > 1)
+    live = np.flatnonzero(count[back] > 1)  # contexts whose owner is alone here are settled
+    live = live[np.argsort(back[live], kind="stable")]
     marks = np.zeros(len(head), U64)
-    if len(live):
-        length = length[live]
-        ends = np.cumsum(length)
-        of = np.repeat(np.arange(len(live)), length)
-        step = np.arange(ends[-1]) - (ends - length)[of]
-        left = length[of] - step
-        data = data[begin[live][of] + step]
-        number = np.zeros(len(data), U64)  # eight bytes as one number are their own rank
-        for i in range(8):
-            number[: len(data) - i] |= data[i:].astype(U64) << U64(8 * (7 - i))
-        _, rank8 = np.unique(number, return_inverse=True)
-        at = np.flatnonzero(left >= 16)
-        rank = np.zeros(len(data), np.int64)
-        rank[at], size = _rerank(rank8[at], rank8[at + 8])
-        window = left[at] >= THRESHOLD
-        window = at[window & (size > 1)]  # unique positions drop out, here and below
-        if len(window):
-            at = np.unique(np.concatenate([window, window + THRESHOLD - 32]))
-            rank32 = np.zeros(len(data), np.int64)
-            rank32[at], size = _rerank(rank[at], rank[at + 16])
-            window = window[size[np.searchsorted(at, window)] > 1]
-        if len(window):
-            rank, size = _rerank(rank32[window], rank32[window + THRESHOLD - 32])
-            least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-            ids = head["doc_id"][live][of[window]]
-            np.minimum.at(least, rank, ids)
-            gone = least[rank] < ids
-            np.bitwise_or.at(marks, live[of[window[gone]]], U64(1) << step[window[gone]].astype(U64))
+    size = np.cumsum(length[live])
+    last = np.flatnonzero(np.r_[back[live][1:] != back[live][:-1], True]) + 1 if len(live) else np.zeros(0, np.int64)
+    first = 0
+    while first < len(live):
+        fits = np.searchsorted(size[last - 1], (size[first - 1] if first else 0) + SLICE_BYTES, "right")
+        stop = int(last[max(fits - 1, np.searchsorted(last, first, "right"))])
+        some = live[first:stop]
+        marks[some] = _ranked(head[some], data, begin[some])
+        first = stop
     hit = np.flatnonzero(marks)
     found = np.zeros(len(hit), MARK)
     found["doc"], found["start"], found["bits"] = head["doc"][hit], head["start"][hit], marks[hit]
@@ -336,7 +385,10 @@ def _double(table: pa.Table) -> pa.Table:
 
 
 def _apply(batches, schema: pa.Schema):
-    """Marks of a batch onto its documents. schema: of the result, from the sixth column on what was carried."""
+    """Marks of a batch onto its documents. schema: of the result, from the sixth column on what was carried.
+
+    Where the fifth column is a string, characters of which only a part stayed go too."""
+    as_text = pa.types.is_string(schema[4].type)
     for batch in batches:
         for blob, marks in zip(batch.column("blob").to_pylist(), batch.column("marks").to_pylist(), strict=True):
             ids, _, texts, rest = _unpack(blob)
@@ -362,14 +414,15 @@ def _apply(batches, schema: pa.Schema):
                     rows.append((int(ids[i]), len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
             for a in range(0, len(rows), 2000):
                 some = rows[a : a + 2000]
-                columns = [[r[i] for r in some] for i in range(5)] + [values[a : a + 2000] for values in rest]
+                columns = [[r[i] for r in some] for i in range(4)] + [[r[4].decode("utf-8", "ignore") if as_text else r[4] for r in some]] + [values[a : a + 2000] for values in rest]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES, hot_contents: int = HOT_CONTENTS, as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of every row of docs (doc_id, text).
 
-    Null texts are empty. Texts of under 50 bytes never lose a byte. Rows without doc_id are left out.
+    With as_text, kept is a string, without characters of which only a part stayed. Null texts are empty.
+    Texts of under 50 bytes never lose a byte; texts may be of any length. Rows without doc_id are left out.
     Repeated rows (equal doc_id) do not remove each other. Columns named in carry follow the result's own;
     other columns are ignored. An empty table gives no rows.
     """
@@ -381,27 +434,33 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes:
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     base = store.scratch(spark, "suffix")
     marked = rows.join(first, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("original"), *(f"carry{i}" for i in range(len(carry))))
-    result = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
+    result = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
     arrow = to_arrow_schema(result)
-    batches = store.save(marked.mapInArrow(lambda rows: _make_batches(rows, batch_bytes, carry), "batch long, blob binary"), f"{base}/batches", "uncompressed")
+    batches = store.save(marked.mapInArrow(store.freed(lambda rows: _make_batches(rows, batch_bytes, carry)), "batch long, blob binary"), f"{base}/batches", "uncompressed")
 
     size = batches.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = store.parts_for(spark, 2 * size, 4 << 20) * 2
-    prefixes = batches.mapInArrow(_round0(buckets), "bucket int, batch long, prefixes binary")
+    prefixes = batches.mapInArrow(store.freed(_round0(buckets)), "bucket int, batch long, prefixes binary")
     repeated = prefixes.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot_batches), "batch long, many binary, hot binary").filter("octet_length(many) > 0")
     repeated = store.save(repeated, f"{base}/round0", "uncompressed")
 
     answers = repeated.groupBy("batch").agg(F.collect_list("many").alias("many"), F.collect_list("hot").alias("hot"))
-    contexts = batches.join(answers, "batch", "left").mapInArrow(_contexts(buckets), "bucket int, batch long, head binary")
+    contexts = batches.join(answers, "batch", "left").mapInArrow(store.freed(_contexts(buckets)), "bucket int, batch long, head binary")
     contexts = store.save(contexts, f"{base}/contexts")
-    settled = contexts.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle, "batch long, kind int, head binary")
+    settled = contexts.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _settle(t, hot_contents), "batch long, kind int, head binary")
     settled = store.save(settled, f"{base}/settled")
 
-    asked = settled.filter("kind = 1").groupBy("batch").agg(F.collect_list("head").alias("asked"))
-    doubled = batches.join(asked, "batch").mapInArrow(_cut(buckets), "bucket int, batch long, head binary, body binary").groupBy("bucket").applyInArrow(_double, "batch long, head binary")
-    marks = store.save(doubled, f"{base}/marks").unionByName(contexts.filter("bucket < 0").select("batch", "head")).unionByName(settled.filter("kind = 0").select("batch", "head"))
+    heads = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("head")))
+    asked = settled.filter("kind > 0").groupBy("batch").agg(heads(1).alias("asked"), heads(2).alias("hot"))
+    sent = batches.join(asked, "batch").mapInArrow(store.freed(_cut(buckets)), "bucket int, batch long, head binary, body binary")
+    sent = store.save(sent, f"{base}/sent", "lz4")
+    doubled = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_double, "batch long, head binary")
+    alone = [x.select("batch", "head") for x in (contexts.filter("bucket < 0"), settled.filter("kind = 0"), sent.filter("bucket < 0"))]
+    marks = store.save(doubled.unionByName(alone[0]).unionByName(alone[1]).unionByName(alone[2]), f"{base}/marks")
+    for name in ("round0", "contexts", "settled", "sent"):
+        store.remove(spark, f"{base}/{name}")
     marks = marks.groupBy("batch").agg(F.collect_list("head").alias("marks"))
-    return batches.join(marks, "batch", "left").mapInArrow(lambda rows: _apply(rows, arrow), result)
+    return batches.join(marks, "batch", "left").mapInArrow(store.freed(lambda rows: _apply(rows, arrow)), result)
 
 
 def digest(found: DataFrame) -> DataFrame:

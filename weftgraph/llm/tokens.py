@@ -103,7 +103,8 @@ class Table:
             there = some >= 0
             if not there.all():
                 left, at, some = left[there], at[there], some[there]
-            same = (self.key[some] == key[left]).all(1)
+            differ = self.key[some] ^ (key if len(left) == len(key) else key[left])
+            same = (differ[:, 0] | differ[:, 1] | differ[:, 2] | differ[:, 3] | differ[:, 4]) == 0
             out[left[same]] = some[same]
             left, at = left[~same], at[~same] + U64(1)
         return out

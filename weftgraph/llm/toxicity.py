@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bytescan as bs
+from weftgraph.llm import store
 
 U64 = np.uint64
 #: Bits of the feature space; labelled documents that the model is fitted on at most (in order of a hash of doc_id).
@@ -149,7 +150,7 @@ def score(docs: DataFrame, weights: np.ndarray, offending: float = 0.1) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(p), pa.array(found, spans)], names=["doc_id", "score", "offending"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(store.freed(run), SCORED)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -163,7 +164,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
                 p = probabilities(Bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a, shared.value)[0]
                 yield batch.slice(a, b - a).filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(store.freed(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
