@@ -2,11 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and gives a DataFrame;
 all but the last give the columns of documents.
+
+In every stage, rows without doc_id or text stay as they are up to packing, which leaves out rows without
+doc_id; repeated rows share the fate of their doc_id; an empty table gives an empty table; columns beside
+those of documents are carried along.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,15 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier fitted on the labels that are not held out does not reject."""
+    """Documents that a classifier fitted on the labels that are not held out does not reject. Empty texts stay."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, the one of the least doc_id."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, the one of the least doc_id.
+
+    Empty texts are copies of nothing and stay.
+    """
     found = store.save(jaccard.jaccard_components(docs, k=5, num=4, den=5), store.scratch(spark, "groups"))
     return _without(docs, found.filter("component_id <> doc_id"))
 
@@ -36,31 +42,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that a 50-byte string of a smaller doc_id covers.
 
-    Characters of which only a part stayed go too; n_chars follows the text.
+    Characters of which only a part stayed go too; n_chars follows the text. Rows without doc_id cannot be
+    compared by it and stay as they are; a null text becomes an empty one.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix.dedup_substrings(docs, carry=others).drop("n_bytes", "n_removed", "n_spans")
-
-    def decode(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("kept")
-            texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(at).to_pylist()], pa.string())
-            yield batch.set_column(at, pa.field("text", pa.string()), texts)
-
-    schema = ", ".join(f"`{'text' if c == 'kept' else c}` {'string' if c == 'kept' else kind}" for c, kind in found.dtypes)
-    texts = found.mapInArrow(decode, schema)
+    found = suffix.dedup_substrings(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
-        texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return texts.select(docs.columns)
+        found = found.withColumn("n_chars", F.length("text"))
+    kinds = docs.schema
+    return found.select(*(F.col(c).cast(kinds[c].dataType).alias(c) for c in docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Empty texts hold none and stay."""
     return _without(docs, leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents' ids, packed into windows of up to 2048."""
+    """Pieces of all documents' ids, packed into windows of up to 2048. Null texts are empty; rows without doc_id are left out."""
     return packing.pack_documents(docs, "word_bpe_49k.json", end_id=1)
 
 
@@ -73,9 +72,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from documents on."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = store.scratch(spark, "pipeline")
+    base, before = store.scratch(spark, "pipeline"), None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
-            docs = store.save(docs, f"{base}/{number}-{name}")
+            path = f"{base}/{number}-{name}"
+            docs = store.save(docs, path)
+            if before:
+                store.remove(spark, before)
+            before = path
     return docs
