@@ -330,6 +330,76 @@ def test_leaks_of_long_items(spark):
         assert found == {(30, 0), (31, 1), (32, 2), (33, 2), (34, 2)}
 
 
+def paraphrase(rnd, text, kind):
+    """The words of an item with some changed, left out or put in."""
+    w = text.split()
+    if kind == 0:
+        return [words(rnd, 1) if i % 5 == 2 else x for i, x in enumerate(w)]
+    if kind == 1:
+        return [x for i, x in enumerate(w) if i % 6 != 1]
+    return [y for i, x in enumerate(w) for y in ([x] if i % 5 else [x, words(rnd, 1)])]
+
+
+def test_leaks_against_brute_force_on_paraphrases(spark):
+    rnd = random.Random(14)
+    common = words(rnd, 40, "mnopqr").split()
+    item = lambda: " ".join(rnd.choice(common) if rnd.random() < 0.5 else words(rnd, 1, "klmnopqrst") for _ in range(rnd.randint(15, 57)))
+    items = [f"{item()}. {item()}" if i % 4 == 0 else item() for i in range(60)]
+    texts, want = [], set()
+    for i in range(360):
+        host = [rnd.choice(common) if rnd.random() < 0.4 else words(rnd, 1) for _ in range(rnd.randint(0, 150))]
+        if i % 2:
+            at, j = rnd.randint(0, len(host)), i // 2 % len(items)
+            host[at:at] = paraphrase(rnd, items[j], i % 3)
+            want.add((i, j))
+        texts.append(" ".join(host))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = leaks.find_leaks(docs_of(spark, texts), benchmark).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    # by definition: the common subsequence of each item with every whole document
+    plain = lambda t: np.array([hash(w) for w in re.findall(r"[a-z]+", t)])
+    hashes = [plain(t) for t in texts]
+    most = {(i, j): leaks.lcs(plain(items[j]), h) / len(plain(items[j])) for i, h in enumerate(hashes) for j in range(len(items)) if len(h)}
+    assert all(most[k] >= leaks.PARTLY for k in got)  # nothing but what the definition allows
+    certain = {k for k, v in most.items() if v >= leaks.COVERED and k in want}
+    assert len(certain) > 150 and len(certain & set(got)) >= 0.97 * len(certain)
+    assert len([k for k in got if k not in want]) <= 2
+    assert np.mean([r.cosine >= leaks.COSINE for r in found]) >= 0.9  # the latent space finds them, not the runs
+
+
+def test_the_latent_space_finds_what_shares_few_rare_words(spark):
+    rnd = random.Random(15)
+    common = [f"c{i}" for i in range(30)]
+    topic = lambda j, side: [f"{side}{j}x{i}" for i in range(6)]
+    texts = []
+    for i in range(600):  # either word of a pair stands in the same surroundings
+        j = i % 8
+        pairs = list(zip(topic(j, "a"), topic(j, "b"), strict=True))
+        texts.append(" ".join(rnd.choice(common) if rnd.random() < 0.5 else rnd.choice(rnd.choice(pairs)) for _ in range(45)))
+    items = [" ".join(x for k in range(6) for x in (*rnd.sample(common, 2), topic(j, side)[k])) for j in range(8) for side in "ab"]
+    told = [" ".join("b" + w[1:] if w[0] == "a" else w for w in items[2 * j].split()) for j in range(8)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.cosine for r in leaks.find_leaks(docs_of(spark, [*texts, *told]), benchmark).collect()}
+    idf = lambda w: 0.1 if w[0] == "c" else 3.0
+    for j in range(8):
+        a, b = collections.Counter(items[2 * j].split()), collections.Counter(told[j].split())
+        dot = sum(a[w] * b[w] * idf(w) ** 2 for w in a)
+        size = lambda x: sum(n * n * idf(w) ** 2 for w, n in x.items()) ** 0.5
+        assert dot / (size(a) * size(b)) < 0.1  # the plain cosine misses it
+        assert found[600 + j, 2 * j] > 0.7
+
+
+def test_the_latent_space_is_smaller_than_the_benchmark(spark):
+    import pyspark.sql.functions as f
+
+    rnd = random.Random(16)
+    items = leaks.Items([{"item_id": i, "text": words(rnd, 30, "klmnopqrst")} for i in range(20)])
+    docs = docs_of(spark, [words(rnd, 100, "klmno") for _ in range(50)]).select("doc_id", "text")
+    kept = docs.mapInArrow(leaks._keep(spark.sparkContext.broadcast(items)), leaks.KEPT).filter(f.col("ids").isNotNull()).select("ids", "first", "at", "word")
+    basis = leaks.latent_space(kept, items, np.ones(items.terms), store.scratch(spark, "test"))
+    assert basis.shape == (items.terms, 10)
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(6)
     for _ in range(50):
