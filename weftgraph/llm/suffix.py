@@ -31,6 +31,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -180,7 +181,7 @@ MARK = np.dtype([("doc", "i4"), ("start", "i4"), ("bits", "u8")])
 
 
 def _contexts(buckets: int):
-    """Of each batch: marks that it can set alone (bucket -1), and the contexts that other batches may repeat."""
+    """Of each batch: marks that it can set alone (kind 0), and the contexts that other batches may repeat (kind 1)."""
 
     def rows_of(number, found, many, hot):
         alive = np.isin(found.prefix, many)
@@ -208,7 +209,7 @@ def _contexts(buckets: int):
         marks = np.zeros(len(gone), MARK)
         marks["doc"], marks["start"] = found.which[doc[gone]], start[gone] - found.offsets[doc[gone]]
         marks["bits"] = (U64(1) << (last[gone] - start[gone] + 1).astype(U64)) - U64(1)
-        out = [(-1, number, marks.tobytes())] if len(marks) else []
+        out = [(number % buckets, number, 0, marks.tobytes())] if len(marks) else []
         send = order[~copy]
         bucket = _bucket(prefix[send], buckets)
         rank = np.argsort(bucket, kind="stable")
@@ -219,7 +220,7 @@ def _contexts(buckets: int):
         head["owner"], head["content"], head["doc_id"], head["doc"] = prefix[send], content[send], found.ids[doc[send]], found.which[doc[send]]
         head["start"], head["lead"], head["length"] = start[send] - found.offsets[doc[send]], at[send] - start[send], last[send] + THRESHOLD - start[send]
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        return out + [(int(bucket[a]), number, head[a:b].tobytes()) for a, b in zip(edge, np.r_[edge[1:], len(send)], strict=True)]
+        return out + [(int(bucket[a]), number, 1, head[a:b].tobytes()) for a, b in zip(edge, np.r_[edge[1:], len(send)], strict=True)]
 
     def run(batches):
         for batch in batches:
@@ -227,14 +228,21 @@ def _contexts(buckets: int):
                 join = lambda lists: np.frombuffer(b"".join(lists or []), U64)
                 rows = rows_of(number, Leaders(*_unpack(blob)), join(many), join(hot))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "batch", "head"])
+                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "batch", "kind", "head"])
 
     return run
 
 
 def _settle(table: pa.Table, hot_contents: int) -> pa.Table:
     """Whole contexts of one bucket: those that a smaller doc_id has too are marked; of prefixes with several
-    contents, one context of each content is asked for (kind 1; kind 2 where there are very many contents)."""
+    contents, one context of each content is asked for (kind 1; kind 2 where there are very many contents). Marks
+    that batches have set stay marks."""
+    is_head = pc.equal(table.column("kind"), 1)
+    set_before = table.filter(pc.invert(is_head)).select(["batch", "kind", "head"])
+    table = table.filter(is_head)
+    if not len(table):
+        return set_before
     heads = [np.frombuffer(x, CONTEXT) for x in table.column("head").to_pylist()]
     rows = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
     head = np.concatenate(heads)
@@ -259,7 +267,8 @@ def _settle(table: pa.Table, hot_contents: int) -> pa.Table:
         for kind, what, chosen in ((0, marks, full), (1, head, ask & ~hot), (2, head, ask & hot)):
             if chosen[a:b].any():
                 out.append((number, kind, what[a:b][chosen[a:b]].tobytes()))
-    return pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "head": pa.array([r[2] for r in out], pa.binary())})
+    found = pa.table({"batch": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "head": pa.array([r[2] for r in out], pa.binary())})
+    return pa.concat_tables([set_before.cast(found.schema), found])
 
 
 def _windows(head: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -284,7 +293,7 @@ def _windows(head: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray, lis
 
 
 def _cut(buckets: int):
-    """Bytes of the contexts that a batch is asked for, dealt out by their owners; marks that it can set alone (bucket -1)."""
+    """Bytes of the contexts that a batch is asked for, dealt out by their owners; marks that it can set alone have no body."""
 
     def run(batches):
         for batch in batches:
@@ -297,7 +306,7 @@ def _cut(buckets: int):
                     more, marks, more_bodies = _windows(np.frombuffer(warm, CONTEXT), texts)
                     head, bodies = np.concatenate([head, more]), bodies + more_bodies
                     if len(marks):
-                        rows.append((-1, marks.tobytes(), b""))
+                        rows.append((number % buckets, marks.tobytes(), None))
                 bucket = _bucket(head["owner"], buckets)
                 order = np.argsort(bucket, kind="stable")
                 head, bucket = head[order], bucket[order]
@@ -352,7 +361,13 @@ def _ranked(head: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray
 
 
 def _double(table: pa.Table) -> pa.Table:
-    """Marks of the windows of one bucket's contexts that a smaller doc_id holds, a slice of owners at a time."""
+    """Marks of the windows of one bucket's contexts that a smaller doc_id holds, a slice of owners at a time. Marks
+    that batches have set stay marks."""
+    is_mark = pc.is_null(table.column("body"))
+    set_before = table.filter(is_mark).select(["batch", "head"])
+    table = table.filter(pc.invert(is_mark))
+    if not len(table):
+        return set_before
     heads = [np.frombuffer(x, CONTEXT) for x in table.column("head").to_pylist()]
     rows = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
     head = np.concatenate(heads)
@@ -378,7 +393,9 @@ def _double(table: pa.Table) -> pa.Table:
     edge = np.searchsorted(rows[hit], np.arange(len(heads) + 1))
     each = [found[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
     keep = [i for i, x in enumerate(each) if x]
-    return pa.table({"batch": table.column("batch").take(pa.array(keep, pa.int64())).combine_chunks() if keep else pa.array([], pa.int64()), "head": pa.array([each[i] for i in keep], pa.binary())})
+    batches = table.column("batch").to_pylist()
+    marked = pa.table({"batch": pa.array([batches[i] for i in keep], pa.int64()), "head": pa.array([each[i] for i in keep], pa.binary())})
+    return pa.concat_tables([set_before.cast(marked.schema), marked])
 
 
 # --- result ------------------------------------------------------------------------------------------
@@ -445,20 +462,17 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes:
     repeated = store.save(repeated, f"{base}/round0", "uncompressed")
 
     answers = repeated.groupBy("batch").agg(F.collect_list("many").alias("many"), F.collect_list("hot").alias("hot"))
-    contexts = batches.join(answers, "batch", "left").mapInArrow(store.freed(_contexts(buckets)), "bucket int, batch long, head binary")
-    contexts = store.save(contexts, f"{base}/contexts")
-    settled = contexts.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _settle(t, hot_contents), "batch long, kind int, head binary")
+    contexts = batches.join(answers, "batch", "left").mapInArrow(store.freed(_contexts(buckets)), "bucket int, batch long, kind int, head binary")
+    settled = contexts.groupBy("bucket").applyInArrow(lambda t: _settle(t, hot_contents), "batch long, kind int, head binary")
     settled = store.save(settled, f"{base}/settled")
+    store.remove(spark, f"{base}/round0")
 
     heads = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("head")))
     asked = settled.filter("kind > 0").groupBy("batch").agg(heads(1).alias("asked"), heads(2).alias("hot"))
     sent = batches.join(asked, "batch").mapInArrow(store.freed(_cut(buckets)), "bucket int, batch long, head binary, body binary")
-    sent = store.save(sent, f"{base}/sent", "lz4")
-    doubled = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_double, "batch long, head binary")
-    alone = [x.select("batch", "head") for x in (contexts.filter("bucket < 0"), settled.filter("kind = 0"), sent.filter("bucket < 0"))]
-    marks = store.save(doubled.unionByName(alone[0]).unionByName(alone[1]).unionByName(alone[2]), f"{base}/marks")
-    for name in ("round0", "contexts", "settled", "sent"):
-        store.remove(spark, f"{base}/{name}")
+    doubled = sent.groupBy("bucket").applyInArrow(_double, "batch long, head binary")
+    marks = store.save(doubled.unionByName(settled.filter("kind = 0").select("batch", "head")), f"{base}/marks")
+    store.remove(spark, f"{base}/settled")
     marks = marks.groupBy("batch").agg(F.collect_list("head").alias("marks"))
     return batches.join(marks, "batch", "left").mapInArrow(store.freed(lambda rows: _apply(rows, arrow)), result)
 
