@@ -428,6 +428,59 @@ def test_html_on_unseen_layouts():
     assert right / total > 0.98
 
 
+def test_html_markup():
+    texts = lambda source: [t for t in html.Page(source).text if t and not t.isspace()]
+    assert texts("<p title=it's>First paragraph</p><p>it's <b class='a>b'>second</b> 1 < 2 & 3 <4") == ["First paragraph", "it's ", "second", " 1 < 2 & 3 <4"]
+    assert texts("<a href=\"x>y\" data-x='\"' >one</a><script>if (a<b) '</p>'</script >two<!-- <p>no --><![CDATA[x]]>three<br/>four<p/>five") == ["one", "two", "three", "four", "five"]
+    assert texts("kept<a href='unclosed") == ["kept"]
+    assert html.Page('<p class="A-b cD" id=e>x').tokens[1] == ("a", "b", "c", "d", "e")
+    assert len(html.Page(f'<p class="{" ".join(["word"] * 40)}">x').tokens[1]) == 40
+
+
+def test_html_hostile_pages():
+    import time
+
+    odds, trees = html.train()
+    begun = time.time()
+    for source in ("<a 'x " * 40_000, "<a b=\"'" * 40_000, "<b>" * 20_000 + "x" + "</i>" * 20_000, "<div>" * 20_000 + "deep" + "</div>" * 20_000, "<" * 100_000, "<!" * 100_000, "<li><b>" * 20_000):
+        page = html.Page(source)
+        page.render(page.decode(trees.predict(page.features(odds))))
+    assert time.time() - begun < 60
+    assert max(html.Page("<div>" * 3000).parent) == 2999
+
+
+def test_html_of_the_corpus_pages(spark, sf_small):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):  # pages of an independent source: their article element is the main text
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in html.BLOCK:
+                self.lines.append("")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in html.BLOCK:
+                self.lines.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.lines[-1] += data
+
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet")
+    source = {r.page_id: r.html or "" for r in pages.collect()}
+    same = 0
+    for r in html.extract(pages).collect():
+        article = Article()
+        article.feed(source[r.page_id])
+        same += r.text == "\n".join(x for x in (" ".join(line.split()) for line in article.lines) if x)
+    assert same >= 0.98 * len(source)
+
+
 def test_html_rows(spark):
     page = '<html><body><nav><a href="/">menu item</a></nav><article><h1>A  title</h1><p>Some main text, with a lot of words &amp; signs.<p>More <b>bold\n text</b> here, for the reader.</article><footer>&copy; me</footer>'
     rows = spark.createDataFrame([(1, "u", page, 3), (2, None, None, 3), (None, "u", "", 3)], "page_id long, url string, html string, text int")

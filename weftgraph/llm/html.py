@@ -11,6 +11,7 @@ their number is a parameter. No page of the corpus is needed for the fit.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import math
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bytescan as bs
+from weftgraph.llm import store
 from weftgraph.llm.boosting import Boosted
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The next attribute of a tag (a quote delimits only what follows an equals sign), or the tag's end.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?+)""")
+NAMED = set("class id role itemprop aria-label".split())
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements without content, with raw content, that begin a block, and whose start ends an open one.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +41,6 @@ BLOCK = set(
 )
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = set("table ul ol dl div article section main aside nav body html td form".split())
-MOST_DEPTH = 400
 
 
 class Page:
@@ -45,8 +48,8 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.tokens, self.text, self.block = [-1], ["html"], [()], [None], [0]
-        self.slashed: list[int] = []
         stack, block, at, n = [0], 0, 0, len(source)
+        opened: collections.Counter[str] = collections.Counter()  # elements in the stack by tag
 
         def leaf(piece: str):
             if piece and not piece.isspace():
@@ -54,41 +57,63 @@ class Page:
             elif piece:
                 self._add(stack[-1], "#space", (), " ", block)
 
+        def close(i: int):
+            for node in stack[i:]:
+                opened[self.tag[node]] -= 1
+            del stack[i:]
+
+        text = 0  # where the text before the next markup begins
         while at < n:
-            found = TAG.search(source, at)
-            leaf(source[at : found.start()] if found else source[at:])
-            if not found:
+            at = source.find("<", at)
+            if at < 0:
                 break
-            at = found.end()
-            if found[2] is None:
+            found = OPEN.match(source, at)
+            if not found and source[at + 1 : at + 2] not in ("!", "?", "/"):
+                at += 1  # a sign, not markup
                 continue
-            tag = found[2].lower()
+            leaf(source[text:at])
+            if not found:
+                ends = "-->" if source.startswith("<!--", at) else ">"
+                end = source.find(ends, at + (4 if ends == "-->" else 2))
+                at = text = end + len(ends) if end >= 0 else n
+                continue
+            tag, at, words = found[2].lower(), found.end(), []
+            while part := ATTRIBUTE.match(source, at):
+                at = part.end()
+                if part[1]:
+                    break
+                if part[2].lower() in NAMED:
+                    words += [t.lower() for t in TOKEN.findall(part[3] or part[4] or part[5] or "")]
+            else:  # the page ends inside a tag
+                text = n
+                break
+            text, slashed = at, source[at - 2] == "/"
             if found[1]:
                 if tag in RAW:
                     continue
                 if tag in BLOCK:
                     block += 1
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if self.tag[stack[i]] == tag:
-                        del stack[i:]
+                        close(i)
                         break
                     if tag not in BLOCK and self.tag[stack[i]] in BLOCK:
                         break
                 continue
             if tag in RAW:
-                if not found[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                if not slashed:
+                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(source, at)
+                    at = text = end.end() if end else n
                 continue
             if tag == "html":
                 continue
             if tag in BLOCK:
                 block += 1
                 ends = ENDS.get(tag, set())
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened["p"] or any(opened[t] for t in ends) else ():
                     held = self.tag[stack[i]]
                     if held == "p" or held in ends:
-                        del stack[i:]
+                        close(i)
                         if held == "p":
                             break
                     elif held in HOLDS:
@@ -97,12 +122,12 @@ class Page:
                 if tag in ("br", "hr", "img"):
                     self._add(stack[-1], "#space", (), " ", block)
                 continue
-            words = [t.lower() for a in ATTRIBUTE.finditer(found[3]) for t in TOKEN.findall(a[2] or a[3] or a[4] or "")[:12]] if found[3] else ()
             node = self._add(stack[-1], tag, tuple(words), None, block)
-            if found[3].endswith("/") and tag not in BLOCK:
+            if slashed and tag not in BLOCK:
                 continue
-            if len(stack) < MOST_DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
+        leaf(source[text:])
 
     def _add(self, parent, tag, tokens, text, block) -> int:
         self.parent.append(parent)
@@ -296,8 +321,8 @@ def train(pages: int = 700, seed: int = 7) -> tuple[dict[str, float], Boosted]:
 def extract(pages: DataFrame, training_pages: int = 700) -> DataFrame:
     """page_id, url, text of every row of pages (page_id, url, html): text is the page's main text.
 
-    Null or empty html has an empty text, as has a page without main text. Null page_ids and urls stay;
-    repeated rows stay. Other columns are ignored. An empty table gives no rows.
+    Null or empty html has an empty text, as has a page without main text. Pages may be of any length and
+    depth; unclosed and broken markup ends no run. Null page_ids and urls stay; repeated rows stay. Other columns are ignored. An empty table gives no rows.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(training_pages))
 
@@ -315,8 +340,9 @@ def extract(pages: DataFrame, training_pages: int = 700) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(a, b - a), batch.column("url").slice(a, b - a), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(store.freed(run), "page_id long, url string, text string")
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """page_id, url, text and the number of its code points."""
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
