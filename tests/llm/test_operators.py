@@ -548,16 +548,20 @@ def test_chat(spark):
     turns += [(3, t, "assistant" if t % 2 else "user", f"turn {t} é") for t in range(700)]
     rows = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, chunk int")
     rendered = chat.render(rows)
-    got = {r.conv_id: r for r in chat.read_back(rendered).collect()}
+    got = {r.conv_id: r for r in chat.read_back(rendered, chat.expand(rendered)).collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     for conv in (1, 2, 3, None):
         own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in turns if c == conv))
         loss = "".join(x for _, r, x in own if r == "assistant")
         g = got[conv]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), sha("".join(f"{r}\n{x}\n" for _, r, x in own)), len(loss), sha(loss))
-    made = chat.examples(rendered.filter("conv_id = 1")).orderBy("target").collect()
+    made = chat.whole_texts(rendered.filter("conv_id = 1")).orderBy("target").collect()
     assert len(made) == 2 and made[1].text.startswith(made[0].text) and made[1].text[made[1].loss_start :].startswith("tie")
-    assert chat.read_back(chat.render(rows.limit(0))).count() == 0
+    rows_of_turns = chat.expand(rendered).collect()  # an assistant turn, a row
+    assert sorted((r.conv_id, r.target) for r in rows_of_turns) == [(1, 2), (1, 3), *((3, t) for t in range(1, 700, 2))]
+    assert all(r.context_chars < r.loss_start and len(r.reply) == r.loss_chars for r in rows_of_turns)
+    empty = chat.render(rows.limit(0))
+    assert chat.read_back(empty, chat.expand(empty)).count() == 0
 
 
 def test_top_k(spark):

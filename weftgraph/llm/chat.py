@@ -4,10 +4,11 @@ A conversation is rendered once, turn after turn:
 
     ### <role>:\n<text></turn>\n
 
-Every assistant turn becomes one example: all preceding turns are its context and only that reply is
-trainable. An example is a slice of the rendering: it ends with its target turn, so context and loss are
-given by offsets, and the expansion grows with the number of turns, not with its square. A rendering is
-kept in rows of up to CHUNK turns, so a conversation with very many turns is spread over many tasks.
+Every assistant turn is exploded into one example, a row of its own: all preceding turns are its context
+and only that reply is trainable. An example ends with its target turn, so its context is the slice of the
+rendering before it, given by its end; only the reply is copied. The expansion thus grows with the number
+of turns, not with its square. A rendering is kept in rows of up to CHUNK turns, so a conversation with
+very many turns is spread over many tasks.
 
 Control strings inside roles and texts are escaped reversibly: "\" to "\b", "</turn>" to "\t", "###" to
 "\h", and in roles ":" to "\c". After that a rendering has its markers only where the template put them.
@@ -69,19 +70,31 @@ def render(conversations: DataFrame) -> DataFrame:
     return chunks.select("conv_id", "chunk", "start_chars", "turns", "formatted", shifted.cast(EXAMPLES).alias("examples"))
 
 
-def examples(rendered: DataFrame) -> DataFrame:
-    """One row for each assistant turn: conv_id, target, text (all turns up to and with its reply), loss_start, loss_chars.
+def expand(rendered: DataFrame) -> DataFrame:
+    """One row for each assistant turn: conv_id, target (its number, from 0), context_chars (where its context ends in
+    the conversation's rendering), loss_start, loss_chars (where its trainable characters are), reply (these, escaped)."""
+    each = rendered.select("conv_id", "start_chars", "formatted", F.explode("examples").alias("e"))
+    reply = F.substr("formatted", (F.col("e.loss_start") - F.col("start_chars") + 1).cast("int"), F.col("e.loss_chars").cast("int"))
+    return each.select("conv_id", "e.target", "e.context_chars", "e.loss_start", "e.loss_chars", reply.alias("reply"))
 
-    The texts grow with the square of a conversation's turns; training reads slices of the rendering instead.
+
+def whole_texts(rendered: DataFrame) -> DataFrame:
+    """The examples with their whole texts: conv_id, target, text (all turns up to and with the reply), loss_start, loss_chars.
+
+    These grow with the square of a conversation's turns; training reads slices of the rendering instead.
     """
-    whole = rendered.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_chars", "formatted"))), lambda x: x["formatted"]), "").alias("whole"), F.flatten(F.collect_list("examples")).alias("examples"))
-    each = whole.select("conv_id", "whole", F.explode("examples").alias("e"))
-    end = F.col("e.loss_start") + F.col("e.loss_chars")
-    return each.select("conv_id", "e.target", F.substring("whole", F.lit(1), (end + len(END)).cast("int")).alias("text"), "e.loss_start", "e.loss_chars")
+    whole = rendered.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_chars", "formatted"))), lambda x: x["formatted"]), "").alias("whole"))
+    each = expand(rendered).withColumnRenamed("conv_id", "conv").join(whole, F.expr("conv <=> conv_id"))
+    end = F.col("loss_start") + F.col("loss_chars")
+    return each.select("conv_id", "target", F.substring("whole", F.lit(1), (end + len(END)).cast("int")).alias("text"), "loss_start", "loss_chars")
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation, parsed from the rendering."""
+def read_back(rendered: DataFrame, examples: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation: turns parsed from
+    the rendering, the loss from the rows of its examples.
+
+    A digest needs its text in order, so a conversation's turns meet in one row here.
+    """
     lines = F.expr(f"filter(split(formatted, '{END[:-1]}\\n'), (x, i) -> i < turns)")
 
     def parse(line: Column) -> Column:
@@ -89,11 +102,10 @@ def read_back(rendered: DataFrame) -> DataFrame:
         body = F.substr(line, F.length(role) + 3)
         return F.concat(unescape(F.substr(role, F.lit(5))), F.lit("\n"), unescape(body), F.lit("\n"))
 
-    reply = F.transform("examples", lambda e: unescape(F.substr("formatted", (e["loss_start"] - F.col("start_chars") + 1).cast("int"), e["loss_chars"].cast("int"))))
-    parts = rendered.select("conv_id", "start_chars", F.size(lines).alias("n"), F.array_join(F.transform(lines, parse), "").alias("turns"), F.array_join(reply, "").alias("loss"), F.length("formatted").alias("chars"))
-    ordered = F.array_sort(F.collect_list(F.struct("start_chars", "turns", "loss")))
-    whole = parts.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), ordered.alias("parts"), F.sum("chars").alias("formatted_chars"))
-    join = lambda c: F.array_join(F.transform("parts", lambda p: p[c]), "")
-    whole = whole.select("conv_id", "n_turns", join("turns").alias("turns"), join("loss").alias("loss"), "formatted_chars")
+    none = F.lit(None).cast("struct<place:bigint,text:string>")
+    turns = rendered.select("conv_id", F.size(lines).alias("n"), F.length("formatted").alias("chars"), F.struct(F.col("start_chars").cast("long").alias("place"), F.array_join(F.transform(lines, parse), "").alias("text")).alias("turns"), none.alias("reply"))
+    replies = examples.select("conv_id", F.lit(0).alias("n"), F.lit(0).alias("chars"), none.alias("turns"), F.struct(F.col("target").cast("long").alias("place"), unescape(F.col("reply")).alias("text")).alias("reply"))
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), "")
+    whole = turns.unionByName(replies).groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), ordered("turns").alias("turns"), ordered("reply").alias("loss"), F.sum("chars").cast("long").alias("formatted_chars"))
     digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
-    return whole.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
+    return whole.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), "formatted_chars")

@@ -97,11 +97,13 @@ FROM sized GROUP BY conv_id
 
 @query("op7_chat_formatting", CHAT_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one full of control strings, formatted, written and read back."""
+    """All conversations and one full of control strings, formatted, expanded to a row for each assistant turn, written and read back."""
     control = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    return chat.read_back(store.save(chat.render(rows), store.scratch(spark, "chat")))
+    path = store.scratch(spark, "chat")
+    rendered = store.save(chat.render(rows), f"{path}/conversations")
+    return chat.read_back(rendered, store.save(chat.expand(rendered), f"{path}/examples"))
 
 
 TOP_K_SQL = """
