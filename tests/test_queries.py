@@ -66,6 +66,27 @@ def test_patterns(spark):
     assert [tuple(r) for r in counted.collect()] == [("a", 1), ("b", 1)]
 
 
+def test_query_semantics(spark):
+    g = graph(spark, [("a", "v", "2"), ("a", "w", "3"), ("b", "v", "5"), ("b", "w", "3"), ("c", "v", "7")])
+    q = lambda text: sorted(tuple(r) for r in sparql.query(g, text).collect())
+    assert q("SELECT ?x (1 + 2 * 3 AS ?n) WHERE { ?x <w> ?y }") == [("a", 7.0), ("b", 7.0)]
+    assert q("SELECT ?x ((1 + 2) * 3 AS ?n) WHERE { ?x <w> ?y FILTER((?y + 1) * 2 = 8) }") == [("a", 9.0), ("b", 9.0)]
+    assert q("SELECT ?x ?z WHERE { ?x <v> ?y OPTIONAL { ?x <w> ?z FILTER(?y < ?z) } }") == [("a", "3"), ("b", None), ("c", None)]
+    assert q("SELECT ?x WHERE { ?x <v> ?y FILTER NOT EXISTS { ?x <w> ?z FILTER(?z < ?y) } }") == [("a",), ("c",)]
+    assert q("SELECT ?x ?y WHERE { ?x <v> ?y VALUES (?x ?y) { (<a> \"2\") (<b> \"9\") (<c> UNDEF) } }") == [("a", "2"), ("c", "7")]
+
+
+def test_graph_of_apart_mappings_is_a_set(spark):
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "id int, name string")
+    one = mapping.TripleMap("t", mapping.Template("a/{id}"), "A", (("label", mapping.Literal("name")),))
+    same = mapping.TripleMap("t", mapping.Template("a/{id}"), None, (("label", mapping.Literal("name")),))
+    two = mapping.TripleMap("t", mapping.Template("b/{id}_{name}"), "B")  # two places, one of them text: not one to one
+    want = {("a/1", "type", "A"), ("a/2", "type", "A"), ("a/1", "label", "x")}
+    for specs, extra in (([one], set()), ([one, same], set()), ([one, two], {("b/1_x", "type", "B")})):
+        got = [(r.s, r.p, r.o) for r in mapping.graph(specs, {"t": rows}).collect()]
+        assert len(got) == len(set(got)) and set(got) == want | extra
+
+
 def test_triples(spark):
     lines = spark.createDataFrame([('<http://x/a> <http://x/p> "say \\"hi\\"\\n\\u00e9"@en .',), ("# comment",), ("",), ("<http://x/a> <http://x/q> _:b1 .",)], "value string")
     rows = {(r.p, r.o, r.o_kind, r.o_lang) for r in tr.parse_nt(lines).collect()}
@@ -175,3 +196,99 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "s string, p string, o string, o_kind string")
     assert bgp.match(empty, [("?x", "p", "?y")]).count() == 0
     assert graphstats.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+# --- readers, writers, hooks ---------------------------------------------------------------------------
+
+
+def test_readers(spark, tmp_path):
+    from weftgraph.sources import files
+
+    path = tmp_path / "in"
+    (path / "sub").mkdir(parents=True)
+    (path / "t.csv").write_text("a;b\n1;null\n;x\n")
+    assert [tuple(r) for r in files.read_table(spark, str(path / "t.csv"), ["a", "b"], ";").collect()] == [("1", "null"), (None, "x")]
+    with pytest.raises(ValueError, match="lacks c"):
+        files.read_table(spark, str(path / "t.csv"), ["c"], ";")
+    assert files.read_prior(spark, str(path / "none.csv"), ["a"]).count() == 0
+    (path / "x.nt").write_bytes('<a> <p> "caf\u00e9\none\\"two" .\r\n# it\'s "open\n<b> <p> <c> .\n'.encode("cp1252"))
+    assert [r.value for r in files.read_nt_files(spark, str(path)).collect()] == ['<a> <p> "café\\none\\"two" .', '# it\'s "open', "<b> <p> <c> ."]
+    got = files.parse_turtle('@prefix : <http://x/> . @base <http://b/> .\n:a a :C ; :p "x \\"y\\""@en , 3 ; :q [ :r <d> ] ; :l ( :m :n ) .')
+    assert set(got) == {("http://x/a", f"{files.RDF}type", "http://x/C"), ("http://x/a", "http://x/p", 'x "y"'), ("http://x/a", "http://x/p", "3"), ("http://x/a", "http://x/q", "_:b1"), ("_:b1", "http://x/r", "http://b/d"), ("http://x/a", "http://x/l", "http://x/m"), ("http://x/a", "http://x/l", "http://x/n")}
+    with pytest.raises(ValueError):
+        files.parse_turtle(":a :b ^ .")
+    assert files.json_records('[{"a": 1}]') == files.json_records('{"a": 1}') == ['{"a": 1}'] and files.json_records("[1]") is None
+
+
+def test_documents(spark, tmp_path):
+    import zipfile
+
+    from weftgraph.sources import files
+
+    body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("P: ask", "more", "O: reply", ""))
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{files.WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+    rows = files.read_paragraphs(spark, str(tmp_path)).select("paragraph", *(c.alias(n) for n, c in zip(("role", "rest"), files.speaker("text"), strict=True)))
+    assert [tuple(r) for r in rows.orderBy("paragraph").collect()] == [(0, "user", "ask"), (1, None, "more"), (2, "assistant", "reply"), (3, None, "")]
+
+
+def test_repairs(spark):
+    from difflib import SequenceMatcher
+
+    from weftgraph.functions import repair
+
+    assert repair.mend("f\u00c3\u00bchlte  &amp; so") == "fühlte & so"
+    assert repair.mend("fühlte") == "fühlte" and repair.mend(None) is None
+    assert repair.list_items("['a', ' b ', '']") == ["a", "b"] and repair.list_items("nonsense(") is None and repair.list_items("5") == ["5"]
+    rows = spark.createDataFrame([("Heart  attack", "heart attacks"), ("a", None), ("", "")], "a string, b string")
+    plain = lambda x: " ".join((x or "").casefold().split())
+    assert [r.s for r in rows.select(repair.similarity("a", "b").alias("s")).collect()] == [round(SequenceMatcher(None, plain(r.a), plain(r.b)).ratio(), 4) for r in rows.collect()]
+
+
+def test_storyboard_scores(spark):
+    import json
+
+    from weftgraph.functions import scoring
+
+    scene = {"scene_number": 1, "narration": "Brief narration.", "visual_description": "Simple diagram.", "on_screen_text": "Example"}
+    whole = {"title": "Example", "scenes": [scene]}
+    less = {"title": "Example", "scenes": [{k: v for k, v in scene.items() if k != "on_screen_text"}]}
+    texts = [json.dumps(whole), "Here is the output:\n```json\n" + json.dumps(whole) + "\n```", json.dumps(less), "**Scene 1**\nNarration: Hello.\nVisual description: A diagram.\nOn-screen text: Hello.", "Unrelated text", json.dumps(whole)[:-2], json.dumps({**whole, "scenes": [{**scene, "scene_number": True}]}), None]
+    rows = spark.createDataFrame([(i, t, "Write two scenes") if i == 0 else (i, t, None) for i, t in enumerate(texts)], "id int, text string, request string")
+    got = {int(r.id): r for r in scoring.storyboard(rows).collect()}
+    assert [got[i].strict for i in range(8)] == [True, False, False, False, False, False, False, False]
+    assert [got[i].completeness for i in (0, 1, 3, 4, 7)] == [1, 1, 0.4, 0, 0] and 0 < got[2].completeness < 1 and got[1].wrapped
+    assert "scene 1: on_screen_text" in got[2].errors and "scene 1: scene_number" in got[6].errors
+    assert (got[0].fitness, got[1].fitness) == (0.5, 0.5)  # one scene where two were asked for; strict and wrapped
+
+
+def test_sampling_and_search_loops(spark):
+    from weftgraph.operators import datasets as ds
+
+    found = ds.bandit({"bad": [0.0, 0.1], "good": [0.9, 1.0], "fair": [0.5]}, 200, 0.5)
+    assert max(found, key=lambda x: x[1])[0] == "good" and sum(n for _, n, _ in found) == 200
+    with pytest.raises(ValueError):
+        ds.bandit({"a": [1], "b": [1]}, 1)
+    history = ds.elitist(["a", "bb", "c"], len, lambda p, g, i: p + "x", generations=4, elite=1)
+    assert [h[0][0] for h in history] == sorted(h[0][0] for h in history) and history[-1][0][0] > 2
+    rows = spark.createDataFrame([(i, int(i < 5)) for i in range(40)], "id int, y int")
+    some = ds.balanced(rows, "y", "id", 30, seed=1).collect()
+    assert len(some) == 30 and sum(r.y for r in some) == 5  # five of the rarer label, the rest filled
+    with pytest.raises(Exception, match="not in"):
+        ds.METRICS["bad"] = lambda: F.lit(2.0)
+        ds.weighted_score(rows.selectExpr("'x' as output", "'x' as example"), {"bad": 1.0}).collect()
+    ds.METRICS.pop("bad")
+    p = spark.range(1).select(ds.sign_test(F.lit(3), F.lit(0)).alias("a"), ds.sign_test(F.lit(2), F.lit(3)).alias("b"), *(c.alias(n) for n, c in zip("lh", ds.wilson(F.lit(0), F.lit(164)), strict=True))).first()
+    assert (round(p.a, 6), round(p.b, 6), round(p.l, 6), round(p.h, 4)) == (0.25, 1.0, 0.0, 0.0229)
+
+
+def test_negatives_are_never_neighbours(spark):
+    edges = spark.createDataFrame([("hub", f"t{i}") for i in range(30)] + [("all", f"t{i}") for i in range(31)] + [(f"s{i}", "t30") for i in range(5)], "a string, b string")
+    got = {r.start: r.negative for r in graphstats.negatives(edges, seed=3).collect()}
+    assert got["hub"] == "t30" and got.get("all") is None and all(got[f"s{i}"] != "t30" for i in range(5))
+
+
+def test_centralities(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "e")], "a string, b string")
+    got = {r.node: (r.betweenness, r.stress) for r in graphstats.centralities(e).collect()}
+    assert got == {"a": (1.0, 2.0), "b": (0.5, 1.0), "c": (1.0, 2.0), "d": (3.5, 5.0), "e": (0.0, 0.0)}

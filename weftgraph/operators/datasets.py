@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph import shared
 from weftgraph.functions.terms import stable_rank_key
 
 
@@ -20,6 +21,22 @@ def _ranked(rows: DataFrame, id_column: str, seed: int, by: list[str]) -> DataFr
     return rows.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
 
 
+def global_rank(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 1) in the order of all rows.
+
+    Rows are dealt into ranges of the order and written; a place is the number of rows in the ranges before
+    and the rank within its own, so no task sorts the whole table. Equal rows get one place each.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    kept = shared.saved(dealt, shared.scratch(spark, "rank"))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    k = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return kept.join(F.broadcast(before), "_part").select(*rows.columns, k.cast("long").alias(name))
+
+
 def split_811(rows: DataFrame, id_column: str, seed: int) -> DataFrame:
     """rows with part: train, val and test in 8:1:1, exact counts.
 
@@ -42,10 +59,10 @@ def stratified_split(rows: DataFrame, id_column: str, label: str, share: float,
 
 def group_split(rows: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """part of each row; rows of one group stay together."""
-    groups = rows.select(group).distinct().withColumn("one", F.lit(1))
-    ranked = _ranked(groups, group, seed, ["one"])
+    ranked = global_rank(rows.select(group).distinct(), [stable_rank_key(seed, group), F.col(group)], "k")
+    size = ranked.agg(F.count("*").alias("n"))
     part = F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(share * F.col("n"))), "test").otherwise("train")
-    return rows.join(ranked.select(group, part.alias("part")), group)
+    return rows.join(ranked.join(F.broadcast(size)).select(group, part.alias("part")), group)
 
 
 def overlaps(frames: dict[str, DataFrame]) -> DataFrame:
@@ -76,6 +93,172 @@ def per_label(rows: DataFrame, label: str, id_column: str, n: int, seed: int) ->
     return _ranked(rows, id_column, seed, [label]).filter(F.col("k") <= n).drop("k", "n")
 
 
+def balanced(rows: DataFrame, label: str, id_column: str, n: int, seed: int) -> DataFrame:
+    """n random rows in all: as many of each label, the rest filled from what the larger labels have left, by random rank.
+
+    Fewer only where the table itself has fewer.
+    """
+    labels = rows.select(label).distinct().agg(F.count("*").alias("labels"))
+    ranked = _ranked(rows, id_column, seed, [label]).drop("n").filter(F.col("k") <= n).join(F.broadcast(labels))  # at most n of a label
+    ranked = ranked.withColumn("extra", (F.col("k") > F.floor(F.lit(n) / F.col("labels"))).cast("int"))
+    order = [F.col("extra"), stable_rank_key(seed, id_column), F.col(id_column)]
+    return ranked.orderBy(*order).limit(n).select(*rows.columns)
+
+
+def split_80_20(rows: DataFrame, columns: list[str], seed: int, share: float = 0.8) -> DataFrame:
+    """part of each row: train for the first floor(share * n) in a random order, else test."""
+    ranked = global_rank(rows, [stable_rank_key(seed, *columns), *(F.col(c) for c in columns)], "k")
+    size = rows.agg(F.count("*").alias("n"))
+    return ranked.join(F.broadcast(size)).select(*rows.columns, F.when(F.col("k") <= F.floor(F.lit(share) * F.col("n")), "train").otherwise("test").alias("part"))
+
+
+def training_sample(rows: DataFrame, id_column: str, steps: int, batch: int, accumulation: int, seed: int, spare: float = 1.2) -> DataFrame:
+    """As many random rows as the training steps take, and a fifth more; all of them where steps is not positive."""
+    if steps <= 0:
+        return rows
+    return rows.orderBy(stable_rank_key(seed, id_column), id_column).limit(int(steps * batch * accumulation * spare))
+
+
+def concat_first(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All rows of the frames; of those of equal keys, the one of the earliest frame, then the least."""
+    every = reduce(DataFrame.unionByName, [f.withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)])
+    others = [c for c in frames[0].columns if c not in keys]
+    first = every.groupBy(*keys).agg(F.min(F.struct("_frame", *others)).alias("r"))
+    return first.select(*keys, *(F.col(f"r.{c}").alias(c) for c in others)).select(*frames[0].columns)
+
+
+def preserved(source: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """rows, lost and added: whether the parts together are the source, as bags of rows."""
+    whole = reduce(DataFrame.unionByName, parts)
+    count = lambda x, c: x.agg(F.count("*").alias(c))
+    return count(source, "rows").join(count(source.exceptAll(whole), "lost")).join(count(whole.exceptAll(source), "added"))
+
+
+def round_robin(rows: DataFrame, order: str, parents: DataFrame, parent_order: str) -> DataFrame:
+    """Each row with the parent of its turn: parents are dealt out in their order, again and again."""
+    numbered = global_rank(parents, [F.col(parent_order)], "_turn")
+    n = parents.agg(F.count("*").alias("_n"))
+    ranked = global_rank(rows, [F.col(order)], "_k").join(F.broadcast(n)).withColumn("_turn", (F.pmod(F.col("_k") - 1, F.col("_n")) + 1).cast("long"))
+    return ranked.join(numbered, "_turn").drop("_turn", "_k", "_n")
+
+
+def claim_ranks(claims: DataFrame) -> DataFrame:
+    """Claims (item, property, rank, value, kind) that count: the preferred ones of an item's property if it has any,
+    else the normal ones; never those without a value."""
+    some = F.max((F.col("rank") == "preferred").cast("int")).over(Window.partitionBy("item", "property"))
+    wanted = F.when(some == 1, "preferred").otherwise("normal")
+    return claims.withColumn("_wanted", wanted).filter((F.col("rank") == F.col("_wanted")) & (F.col("kind") != "novalue")).drop("_wanted")
+
+
+def chosen_candidate(rows: DataFrame, candidates: str, key: str, predicted: str) -> DataFrame:
+    """rows with chosen: the first of the candidates (structs) whose key is the predicted one, or null."""
+    return rows.withColumn("chosen", F.get(F.filter(candidates, lambda c: c[key] == F.col(predicted)), F.lit(0)))
+
+
+def flat_relations(rows: DataFrame, key: str, relations: str, types: str) -> tuple[DataFrame, DataFrame]:
+    """Relations (array of structs) and types (array) of concepts, one distinct row each."""
+    each = rows.select(F.col(key), F.explode(relations).alias("r")).select(key, "r.*").dropDuplicates()
+    return each, rows.select(F.col(key), F.explode(types).alias("type")).dropDuplicates()
+
+
+def provenance(candidates: DataFrame, text: str, finished: bool, mock: bool) -> dict:
+    """The winner (greatest score, then least id) of a finished run that is no mock, if text is its prompt; else an error."""
+    best = candidates.filter("score is not null").orderBy(F.desc("score"), "id").limit(1).collect()
+    if not finished or mock:
+        raise ValueError("the run is a mock or not finished")
+    if not text.strip() or not best or best[0]["prompt"].strip() != text.strip():
+        raise ValueError("the stored text is not the best candidate's prompt")
+    return best[0].asDict()
+
+
+def error_batch(rows: DataFrame, score: str, id_column: str, below: float, n: int, seed: int) -> DataFrame:
+    """Up to n random rows of a score below the threshold."""
+    return rows.filter(F.col(score) < below).orderBy(stable_rank_key(seed, id_column), id_column).limit(n)
+
+
+def trajectory(rows: DataFrame, score: str, id_column: str, n: int = 20, keep: float = 1.0, seed: int = 0) -> DataFrame:
+    """The n best rows, some left out at random, the worst first; the best one where all are left out."""
+    top = rows.orderBy(F.desc(score), id_column).limit(n)
+    slot = F.conv(F.substring(stable_rank_key(seed, id_column), 1, 4), 16, 10).cast("int") / 65536
+    kept = top.filter(slot < keep)
+    best = top.orderBy(F.desc(score), id_column).limit(1)
+    return kept.unionByName(best.join(kept.agg(F.count("*").alias("_n")), F.col("_n") == 0).drop("_n")).orderBy(score, F.desc(id_column))
+
+
+def bandit(rewards: dict[str, list[float]], budget: int, exploration: float = 1.0) -> list[tuple[str, int, float]]:
+    """(arm, pulls, mean) after budget pulls by the upper confidence bound mean + sqrt(exploration / pulls), each arm once first.
+
+    Pulls of an arm take its rewards in turn. Arms are few; scoring them is the engine's work.
+    """
+    names = sorted(rewards)
+    if budget < len(names):
+        raise ValueError("the budget does not reach each arm once")
+    total, pulls = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0)
+    for step in range(budget):
+        arm = names[step] if step < len(names) else max(names, key=lambda a: total[a] / pulls[a] + (exploration / pulls[a]) ** 0.5)
+        total[arm] += rewards[arm][pulls[arm] % len(rewards[arm])]
+        pulls[arm] += 1
+    return [(a, pulls[a], total[a] / pulls[a]) for a in names]
+
+
+def elitist(population: list[str], score, mutate, generations: int, elite: int) -> list[list[tuple[float, str]]]:
+    """The ranked population of each generation: the elite stays, parents from it in turn are mutated to fill the rest."""
+    out = []
+    for generation in range(generations):
+        ranked = sorted(((score(p), p) for p in population), key=lambda x: (-x[0], x[1]))
+        out.append(ranked)
+        best = [p for _, p in ranked[:elite]]
+        population = best + [mutate(best[i % len(best)], generation, i) for i in range(len(population) - len(best))]
+    return out
+
+
+#: Metrics by name: a Column of a frame with output and example, from 0 to 1.
+METRICS: dict[str, object] = {}
+
+
+def metric(name: str):
+    """Registers a function that gives a metric's Column."""
+
+    def add(function):
+        METRICS[name] = function
+        return function
+
+    return add
+
+
+@metric("exact")
+def _exact() -> Column:
+    return (F.trim("output") == F.trim("example")).cast("double")
+
+
+@metric("not_empty")
+def _not_empty() -> Column:
+    return (F.length(F.trim(F.coalesce("output", F.lit("")))) > 0).cast("double")
+
+
+def weighted_score(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """rows with each named metric and score, their weighted mean; a metric outside 0 to 1, or null, is an error."""
+    if not weights or min(weights.values()) < 0 or not 0 < sum(weights.values()) < float("inf"):
+        raise ValueError("weights must be finite, not negative, and not all zero")
+    checked = {n: F.when(METRICS[n]().between(0, 1), METRICS[n]()).otherwise(F.raise_error(F.lit(f"metric {n} is not in [0, 1]"))).cast("double") for n in weights}
+    out = rows.select("*", *(c.alias(n) for n, c in checked.items()))
+    return out.withColumn("score", sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0)) / sum(weights.values()))
+
+
+def rules_from_config(text: str) -> tuple[list[tuple[str, str, str]], dict[str, str]]:
+    """Lexical rules and classes by code for classify, from JSON: {"rules": [{"search" or "exact": pattern, "class": c}], "codes": {code: class}}."""
+    import json
+
+    config = json.loads(text)
+    rules = []
+    for r in config.get("rules", []):
+        how = next((h for h in ("search", "exact") if h in r), None)
+        if how is None or "class" not in r:
+            raise ValueError(f"a rule needs search or exact, and class: {r}")
+        rules.append((how, r[how], r["class"]))
+    return rules, config.get("codes", {})
+
+
 def answer_cap(rows: DataFrame, answer: str, id_column: str, ratio: float, seed: int) -> DataFrame:
     """At most max(1, floor(ratio * total)) random rows of each answer."""
     total = rows.agg(F.count("*").alias("total"))
@@ -99,10 +282,9 @@ def audit(rows: DataFrame, label: str) -> DataFrame:
 
 def sorted_ids(rows: DataFrame) -> DataFrame:
     """id and k, its place: in numeric order if all ids are numbers, else as text."""
-    numeric = rows.agg(F.bool_and(F.col("id").try_cast("double").isNotNull()).alias("numeric"))
-    joined = rows.join(F.broadcast(numeric))
-    order = Window.orderBy(F.when(F.col("numeric"), F.col("id").try_cast("double")), "id")
-    return joined.select("id", F.row_number().over(order).cast("long").alias("k"))
+    numeric = rows.agg(F.bool_and(F.col("id").try_cast("double").isNotNull()).alias("numeric")).first()["numeric"]
+    order = [F.col("id").try_cast("double"), F.col("id")] if numeric else [F.col("id")]
+    return global_rank(rows.select("id"), order, "k")
 
 
 def length_stats(rows: DataFrame, column: str, limit: int) -> DataFrame:
@@ -122,6 +304,27 @@ def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_samp(d), 6).alias("sd"), F.count(F.when(d > 0, 1)).alias("plus"), F.count(F.when(d < 0, 1)).alias("minus"))
 
 
+def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Bounds of the Wilson score interval of a share; null for no trials."""
+    p, spread = hits / n, z * z / n
+    middle = (p + spread / 2) / (1 + spread)
+    half = z / (1 + spread) * F.sqrt(p * (1 - p) / n + spread / (4 * n))
+    given = lambda c: F.when(n > 0, c)
+    return given(F.greatest(F.lit(0.0), middle - half)), given(F.least(F.lit(1.0), middle + half))
+
+
+def sign_test(plus: Column, minus: Column) -> Column:
+    """Exact two-sided p-value of the sign test (ties left out): twice the smaller tail of the binomial, at most one.
+
+    The tail's terms are built from one another in logarithms, so large counts do not overflow.
+    """
+    n, k = (plus + minus).cast("int"), F.least(plus, minus).cast("int")
+    start = F.struct(n * -F.log(F.lit(2.0)), F.exp(n * -F.log(F.lit(2.0))))
+    step = lambda a, i: F.struct(a["col1"] + F.log((n - i + 1) / i), a["col2"] + F.exp(a["col1"] + F.log((n - i + 1) / i)))
+    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda a: a["col2"])))
+
+
 def report(checks: dict[str, DataFrame]) -> DataFrame:
     """check_name and n, the number of offending rows, of each check."""
     return reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n") for name, x in checks.items()])
@@ -149,7 +352,7 @@ def halving(rows: DataFrame, candidate: str, score: str, id_column: str, rounds:
     for r in range(rounds):
         part = rows.filter(slot < 1 / 2 ** (rounds - 1 - r))
         if left is not None:
-            part = part.join(F.broadcast(left), candidate, "left_semi")
+            part = part.join(left, candidate, "left_semi")
         means = part.groupBy(candidate).agg(F.round(F.avg(score), 6).alias("mean"))
         ranked = means.orderBy(F.desc("mean"), candidate).collect()  # a row for each candidate
         left = spark.createDataFrame([(x[candidate],) for x in ranked[: max(1, (len(ranked) + 1) // 2)]], f"{candidate} string")

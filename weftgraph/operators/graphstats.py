@@ -94,6 +94,39 @@ def path_lengths(edges: DataFrame) -> DataFrame:
     return known
 
 
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """a, b, d, n: the shortest distance of all connected pairs, with the number of shortest paths. For small graphs."""
+    spark = edges.sparkSession
+    path = shared.scratch(spark, "counted")
+    step = shared.saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{path}/step")
+    known = front = step.withColumn("d", F.lit(1)).withColumn("n", F.lit(1).cast("double"))
+    d = 1
+    while not front.isEmpty():
+        d += 1
+        reached = front.select("a", F.col("b").alias("m"), "n").join(step.select(F.col("a").alias("m"), "b"), "m").filter("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        front = shared.saved(reached.join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(d).alias("d"), "n"), f"{path}/{d}")
+        known = known.unionByName(front)
+    return shared.saved(known, f"{path}/all")
+
+
+def centralities(edges: DataFrame) -> DataFrame:
+    """node, closeness, radiality, betweenness and stress of an undirected graph, within each component. For small graphs.
+
+    closeness is the number of other nodes reached over the sum of their distances; radiality the mean of
+    diameter + 1 - distance over the diameter; stress counts the shortest paths through a node, and
+    betweenness the share of each pair's shortest paths, pairs counted once.
+    """
+    p = shortest_paths(edges)
+    top = p.agg(F.max("d").alias("diameter"))
+    near = p.join(F.broadcast(top)).groupBy(F.col("a").alias("node")).agg((F.count("*") / F.sum("d")).alias("closeness"), (F.avg(F.col("diameter") + 1 - F.col("d")) / F.max("diameter")).alias("radiality"))
+    left = p.select("a", F.col("b").alias("node"), F.col("d").alias("d1"), F.col("n").alias("n1"))
+    right = p.select(F.col("a").alias("node"), "b", F.col("d").alias("d2"), F.col("n").alias("n2"))
+    through = left.join(right, "node").filter("a < b").join(p, ["a", "b"]).filter("d1 + d2 = d")
+    inner = through.groupBy("node").agg(F.sum(F.col("n1") * F.col("n2")).alias("stress"), F.sum(F.col("n1") * F.col("n2") / F.col("n")).alias("betweenness"))
+    r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    return near.join(inner, "node", "left").select("node", r("closeness"), r("radiality"), r("betweenness"), r("stress"))
+
+
 def walks(edges: DataFrame, steps: int, seed: int) -> DataFrame:
     """Self-avoiding walks from every source node: start, path, length, negative.
 
@@ -106,9 +139,32 @@ def walks(edges: DataFrame, steps: int, seed: int) -> DataFrame:
         moves = now.join(edges.select(F.col("a").alias("last"), "b"), "last").filter(~F.array_contains("path", F.col("b")))
         best = moves.groupBy("start").agg(F.min_by("b", ranked).alias("next"))
         now = now.join(best, "start", "left").select("start", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.coalesce("next", "last").alias("last"))
-    tails = edges.select(F.col("b").alias("tail")).distinct().withColumn("slot", F.pmod(F.xxhash64("tail"), F.lit(64)))
-    pick = tails.groupBy("slot").agg(F.min("tail").alias("t1"), F.max("tail").alias("t2"))
-    linked = edges.groupBy(F.col("a").alias("start")).agg(F.collect_set("b").alias("known"))
-    out = now.withColumn("slot", F.pmod(F.xxhash64("start", F.lit(seed)), F.lit(64))).join(F.broadcast(pick), "slot", "left").join(linked, "start", "left")
-    fits = F.filter(F.array("t1", "t2"), lambda t: t.isNotNull() & ~F.array_contains(F.coalesce("known", F.array()), t) & (t != F.col("start")))
-    return out.select("start", "path", (F.size("path") - 1).alias("length"), F.get(fits, F.lit(0)).alias("negative"))
+    return now.join(negatives(edges, seed), "start", "left").select("start", "path", (F.size("path") - 1).alias("length"), "negative")
+
+
+def negatives(edges: DataFrame, seed: int, tries: int = 8) -> DataFrame:
+    """start, negative: for every source node a hash-chosen tail that it has no edge to and is not itself; null where there is none.
+
+    Tails are numbered in the order of a hash. A start draws tries numbers; one whose draws are all its
+    neighbours takes the least number that none of its neighbours has, which exists unless it is linked
+    with every tail.
+    """
+    from weftgraph.operators.datasets import global_rank
+
+    path = shared.scratch(edges.sparkSession, "negatives")
+    links = shared.saved(edges.select(F.col("a").alias("start"), F.col("b").alias("tail")).distinct(), f"{path}/links")
+    tails = shared.saved(global_rank(links.select("tail").distinct(), [F.md5(F.concat_ws(":", F.lit(str(seed)), "tail")), F.col("tail")], "k"), f"{path}/tails")
+    total = tails.count()
+    starts = links.select("start").distinct()
+    draw = lambda i: (F.pmod(F.xxhash64("start", F.lit(seed), i), F.lit(max(total, 1))) + 1).cast("long")
+    drawn = starts.select("start", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), draw)).alias("i", "k")).join(tails, "k").filter("tail <> start")
+    fine = drawn.join(links, ["start", "tail"], "left_anti").groupBy("start").agg(F.min_by("tail", "i").alias("negative"))
+    fine = shared.saved(fine, f"{path}/drawn")
+    # the others: the first gap in the numbers of the tails that are taken (the start itself is taken too)
+    rest = starts.join(fine, "start", "left_anti")
+    taken = links.union(starts.select("start", F.col("start").alias("tail"))).distinct().join(rest, "start", "left_semi").join(tails, "tail").select("start", "k")
+    from pyspark.sql import Window
+
+    gap = taken.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("k"))).filter("k = place").groupBy("start").agg((F.max("place") + 1).cast("long").alias("k"))
+    first = rest.join(gap, "start", "left").select("start", F.coalesce("k", F.lit(1).cast("long")).alias("k")).join(tails, "k").select("start", F.col("tail").alias("negative"))
+    return fine.unionByName(first)

@@ -71,11 +71,12 @@ def quality(graph: DataFrame, body: list[Atom], head: Atom) -> DataFrame:
     x, y = bgp.name(head[0]), bgp.name(head[2])
     pairs = bgp.match(graph, body).select(x, y).distinct()
     facts = graph.filter(F.col("p") == head[1]).select(F.col("s").alias(x), F.col("o").alias(y)).distinct()
-    support = pairs.join(facts, [x, y], "left_semi").agg(F.count("*").alias("support"))
-    sizes = pairs.agg(F.count("*").alias("body_size"))
-    pca = pairs.join(facts.select(x).distinct(), x, "left_semi").agg(F.count("*").alias("pca_body_size"))
-    heads = facts.agg(F.count("*").alias("head_size"))
-    row = support.crossJoin(sizes).crossJoin(pca).crossJoin(heads)  # four rows of one number each
+    known = facts.groupBy(x).agg(F.collect_set(y).alias("known"))
+    # the body is matched once: each pair knows whether its subject has the head's predicate, and whether with its object
+    flagged = pairs.join(known, x, "left").select(F.col("known").isNotNull().alias("pca"), F.coalesce(F.array_contains("known", F.col(y)), F.lit(False)).alias("held"))
+    count = lambda c: F.count(F.when(c, 1))
+    sizes = flagged.agg(count(F.col("held")).alias("support"), F.count("*").alias("body_size"), count(F.col("pca")).alias("pca_body_size"))
+    row = sizes.crossJoin(facts.agg(F.count("*").alias("head_size")))  # two rows of a few numbers
     ratio = lambda n, d: F.round(F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0), 6)
     return row.select("support", "body_size", "pca_body_size", ratio("support", "head_size").alias("head_coverage"), ratio("support", "body_size").alias("std_confidence"), ratio("support", "pca_body_size").alias("pca_confidence"))
 

@@ -81,43 +81,82 @@ class TripleMap:
     pairs: tuple[tuple[str, object], ...] = field(default_factory=tuple)
 
 
-def triples(spec: TripleMap, sources: dict[str, DataFrame], lenient: bool = False) -> DataFrame:
-    """All triples of one mapping (s, p, o, o_kind), with duplicates of the source's rows."""
+def triples(spec: TripleMap, sources: dict[str, DataFrame], lenient: bool = False, once: bool = False) -> DataFrame:
+    """All triples of one mapping (s, p, o, o_kind), with duplicates of the source's rows, or each once.
+
+    Repeats are removed from the raw columns, before any IRI is made: they are shorter than the rendered
+    text, and rendering is done for what is left only.
+    """
     rows = sources[spec.source]
     used = {c for part in (spec.subject, *(o for _, o in spec.pairs)) for c in part.columns()}
     missing = used - set(rows.columns)
     if missing and not lenient:
         raise ValueError(f"{spec.source} has no column {sorted(missing)}")
     subject = spec.subject.render().alias("s")
-    entry = lambda p, o, kind: rows.select(subject, F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
-    made = [entry("type", F.lit(spec.cls), "iri")] if spec.cls else []
+
+    def entry(p: str, o: Column, kind: str, columns: list[str]) -> DataFrame:
+        raw = rows.select(*dict.fromkeys([*spec.subject.columns(), *columns]))
+        return (raw.distinct() if once else raw).select(subject, F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+
+    made = [entry("type", F.lit(spec.cls), "iri", [])] if spec.cls else []
     for predicate, what in spec.pairs:
         if set(what.columns()) & missing:
             continue
         if isinstance(what, Template):
-            made.append(entry(predicate, what.render(), "iri"))
+            made.append(entry(predicate, what.render(), "iri", what.columns()))
         elif isinstance(what, Literal):
-            made.append(entry(predicate, F.col(what.column).cast("string"), "literal"))
+            made.append(entry(predicate, F.col(what.column).cast("string"), "literal", what.columns()))
         elif isinstance(what, Constant):
-            made.append(entry(predicate, F.lit(what.iri), "iri"))
+            made.append(entry(predicate, F.lit(what.iri), "iri", []))
         elif isinstance(what, Each):
             head, tail = what.template.split("{it}")
             each = rows.select(subject, F.explode(what.column).alias("it")).withColumn("it", F.col("it").cast("string")).filter("it is not null and it <> ''")
-            made.append(each.select("s", F.lit(predicate).alias("p"), F.concat(F.lit(head), terms.pct_encode("it"), F.lit(tail)).alias("o"), F.lit("iri").alias("o_kind")))
+            each = each.select("s", F.lit(predicate).alias("p"), F.concat(F.lit(head), terms.pct_encode("it"), F.lit(tail)).alias("o"), F.lit("iri").alias("o_kind"))
+            made.append(each.distinct() if once else each)
         else:
             parent = sources[what.parent.source].select(what.parent.subject.render().alias("o"), F.col(what.parent_column).alias("__key"))
             joined = rows.select(subject, F.col(what.child).alias("__key")).join(parent, "__key")
-            made.append(joined.select("s", F.lit(predicate).alias("p"), "o", F.lit("iri").alias("o_kind")))
+            joined = joined.select("s", F.lit(predicate).alias("p"), "o", F.lit("iri").alias("o_kind"))
+            made.append(joined.distinct() if once else joined)
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)
     return out.filter("s is not null and o is not null and o <> ''")
 
 
+def _one_to_one(template: Template, rows: DataFrame) -> bool:
+    """Whether different values give different IRIs: at most one column is not a whole number, and places do not touch."""
+    loose = [c for c in template.columns() if c in rows.columns and rows.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long")]
+    return len(loose) == 0 or len(template.columns()) == 1 if "}{" not in template.text else False
+
+
+def _apart(specs: list[TripleMap]) -> bool:
+    """Whether no two entries of the mappings can give the same triple: where they share a predicate, their subjects
+    begin differently or both objects are different constants."""
+    entries: dict[str, list[tuple[str, str | None]]] = {}
+    for spec in specs:
+        head = spec.subject.text.split("{")[0]
+        if spec.cls:
+            entries.setdefault("type", []).append((head, spec.cls))
+        for predicate, what in spec.pairs:
+            entries.setdefault(predicate, []).append((head, what.iri if isinstance(what, Constant) else None))
+    for some in entries.values():
+        for i, (a, x) in enumerate(some):
+            for b, y in some[:i]:
+                if (a.startswith(b) or b.startswith(a)) and (x is None or y is None or x == y):
+                    return False
+    return True
+
+
 def graph(specs: list[TripleMap], sources: dict[str, DataFrame]) -> DataFrame:
-    """The set of triples of several mappings."""
-    made = [triples(s, sources) for s in specs]
+    """The set of triples of several mappings.
+
+    Where the mappings cannot give a triple twice by different ways, each one drops its own repeats, in raw
+    columns; else the whole is made distinct.
+    """
+    plain = _apart(specs) and all(_one_to_one(t, sources[s.source]) for s in specs for t in (s.subject, *(o for _, o in s.pairs)) if isinstance(t, Template))
+    made = [triples(s, sources, once=plain) for s in specs]
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)
-    return out.distinct()
+    return out if plain else out.distinct()

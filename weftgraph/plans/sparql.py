@@ -1,8 +1,8 @@
 """SPARQL SELECT text to DataFrame plans.
 
 Supported: basic patterns (with ";" and ","), sequence paths, OPTIONAL, UNION, VALUES, BIND, FILTER with
-comparisons, boolean operators, IN, BOUND, REGEX, STRSTARTS, CONTAINS, IF, CONCAT, STR, LCASE, UCASE and
-[NOT] EXISTS, sub-selects, DISTINCT, GROUP BY, HAVING, COUNT / SUM / AVG / MIN / MAX / SAMPLE, ORDER BY,
+comparisons, arithmetic with the usual precedence, boolean operators, IN, BOUND, REGEX, STRSTARTS, CONTAINS, IF, CONCAT, STR, LCASE, UCASE and
+[NOT] EXISTS, sub-selects, VALUES of one or several variables with UNDEF, DISTINCT, GROUP BY, HAVING, COUNT / SUM / AVG / MIN / MAX / SAMPLE, ORDER BY,
 LIMIT and OFFSET-free slices, PREFIX. IRIs in angle brackets are looked up as they stand, prefixed names
 by their prefix's IRI and the local part; a vocabulary can rename IRIs.
 """
@@ -36,7 +36,7 @@ class Parser:
     def __init__(self, graph: DataFrame, text: str, vocabulary: dict[str, str] | None = None):
         self.graph, self.words, self.at, self.vocabulary = graph, tokens(text), 0, vocabulary or {}
         self.prefixes: dict[str, str] = {}
-        self.fresh = 0
+        self.fresh, self.numeric = 0, False
 
     # -- tokens
     def peek(self, k: int = 0) -> str:
@@ -167,7 +167,8 @@ class Parser:
                 return
 
     # -- patterns
-    def group(self, start: DataFrame | None) -> DataFrame | None:
+    def group(self, start: DataFrame | None, outer: list[str] | None = None) -> DataFrame | None:
+        """Bindings of a group. Its filters that name variables of outer that the group lacks are left to the join: self.deferred."""
         self.take("{")
         if self.is_word("SELECT"):
             out = self.select()
@@ -185,14 +186,14 @@ class Parser:
             if self.is_word("OPTIONAL"):
                 self.take()
                 flush()
-                rows = self.join(rows, self.group(None), "left")
+                rows = self.joined_group(rows, "left")
             elif self.is_word("FILTER"):
                 self.take()
                 negated = self.is_word("NOT") and bool(self.take())
                 if self.is_word("EXISTS"):
                     self.take()
                     flush()
-                    rows = self.join(rows, self.group(None), "left_anti" if negated else "left_semi")
+                    rows = self.joined_group(rows, "left_anti" if negated else "left_semi")
                 else:
                     filters.append(self.at)
                     if self.peek() != "(":
@@ -200,15 +201,27 @@ class Parser:
                     self.skip()
             elif self.is_word("VALUES"):
                 self.take()
-                var = self.term()[1:]
+                names, many = [], self.peek() == "("
+                if many:
+                    self.take()
+                while self.peek()[:1] in ("?", "$"):
+                    names.append(self.term()[1:])
+                    if not many:
+                        break
+                if many:
+                    self.take(")")
                 self.take("{")
                 items = []
                 while self.peek() != "}":
-                    items.append(self.term())
+                    if many:
+                        self.take("(")
+                    row = tuple(None if self.is_word("UNDEF") and self.take() else self.term() for _ in names)
+                    if many:
+                        self.take(")")
+                    items.append(row)
                 self.take("}")
                 flush()
-                table = self.graph.sparkSession.createDataFrame([(i,) for i in items], f"`{var}` string")
-                rows = F.broadcast(table) if rows is None else self.join(rows, F.broadcast(table), "inner")
+                rows = self.values(rows, names, items)
             elif self.is_word("BIND"):
                 self.take()
                 flush()
@@ -231,13 +244,58 @@ class Parser:
             else:
                 self.triples(atoms)
         flush()
-        end = self.at + 1
+        end, deferred = self.at + 1, []
         for begin in filters:
             self.at = begin
-            rows = rows.filter(self.expression(rows, False))
-        self.at = end
+            if self.named(begin) & set(outer or ()) - set(rows.columns):
+                deferred.append(begin)
+            else:
+                rows = rows.filter(self.expression(rows, False))
+        self.at, self.deferred = end, deferred
         return rows
 
+    def named(self, begin: int) -> set[str]:
+        """The variables of the filter that begins there."""
+        at = self.at
+        self.at = begin
+        if self.peek() != "(":
+            self.take()
+        self.skip()
+        end, self.at = self.at, at
+        return {w[1:] for w in self.words[begin:end] if w[0] in "?$"}
+
+    def joined_group(self, left: DataFrame, how: str) -> DataFrame:
+        """left joined with the group that follows; filters of the group may name variables of left."""
+        right = self.group(None, left.columns)
+        deferred, end = self.deferred, self.at
+        if not deferred:
+            return self.join(left, right, how)
+        shared = [c for c in right.columns if c in left.columns]
+        right = right.select(*(F.col(c).alias(f"__{c}" if c in shared else c) for c in right.columns))
+        both = left.columns + [c for c in right.columns if not c.startswith("__")]
+        condition = F.lit(True)
+        for c in shared:
+            condition = condition & (F.col(c) == F.col(f"__{c}"))
+        for begin in deferred:
+            self.at = begin
+            condition = condition & self.expression(self.graph.sparkSession.createDataFrame([], ", ".join(f"`{c}` string" for c in both)), False)
+        self.at = end
+        return left.join(right, condition, how).drop(*(f"__{c}" for c in shared))
+
+    def values(self, rows: DataFrame | None, names: list[str], items: list[tuple]) -> DataFrame:
+        """rows joined with inline data; UNDEF fits every value."""
+        table = self.graph.sparkSession.createDataFrame(items, ", ".join(f"`{n}` string" for n in names))
+        if rows is None:
+            return F.broadcast(table)
+        shared = [n for n in names if n in rows.columns]
+        if not any(x is None for item in items for x in item):
+            return self.join(rows, F.broadcast(table), "inner")
+        renamed = table.toDF(*(f"__{n}" if n in shared else n for n in names))
+        fits = F.lit(True)
+        for n in shared:
+            fits = fits & (F.col(f"__{n}").isNull() | (F.col(f"__{n}") == F.col(n)))
+        return rows.join(F.broadcast(renamed), fits).drop(*(f"__{n}" for n in shared))
+
     def join(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         shared = [c for c in right.columns if c in left.columns]
         if how in ("left_anti", "left_semi"):
@@ -301,15 +359,25 @@ class Parser:
         right, numeric_right = self.sum(rows, aggregate)
         if numeric_left != numeric_right:
             left, right = left.try_cast("double"), right.try_cast("double")
+        self.numeric = False
         return {"=": left == right, "!=": left != right, "<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[sign]
 
     def sum(self, rows, aggregate) -> tuple[Column, bool]:
-        out, numeric = self.primary(rows, aggregate)
-        while self.peek() in ("+", "-", "*", "/"):
+        out, numeric = self.operations(("+", "-"), self.product, rows, aggregate)
+        self.numeric = numeric
+        return out, numeric
+
+    def product(self, rows, aggregate) -> tuple[Column, bool]:
+        return self.operations(("*", "/"), self.primary, rows, aggregate)
+
+    def operations(self, signs: tuple[str, str], operand, rows, aggregate) -> tuple[Column, bool]:
+        """Operands joined by signs of one precedence, from left to right."""
+        out, numeric = operand(rows, aggregate)
+        while self.peek() in signs:
             sign = self.take()
-            right, _ = self.primary(rows, aggregate)
+            right, _ = operand(rows, aggregate)
             a, b = out.try_cast("double"), right.try_cast("double")
-            out, numeric = {"+": a + b, "-": a - b, "*": a * b, "/": a / b}[sign], True
+            out, numeric = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / F.nullif(b, F.lit(0.0))}[sign](), True
         return out, numeric
 
     def arguments(self, rows, aggregate) -> list[Column]:
@@ -329,7 +397,7 @@ class Parser:
             self.take()
             out = self.expression(rows, aggregate)
             self.take(")")
-            return out, False
+            return out, self.numeric  # of the last sum, or not after a comparison
         if word == "!":
             self.take()
             return ~self.primary(rows, aggregate)[0], False

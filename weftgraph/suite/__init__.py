@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from weftgraph.suite import datasets, graphs, logic, rewrites, texts  # noqa: F401
+from weftgraph.suite import datasets, graphs, inputs, logic, rewrites, texts  # noqa: F401

@@ -59,9 +59,9 @@ def oversample(spark, sf):
     return ds.oversample(table(spark, sf, "labels"), "toxic", "doc_id", seed=6).groupBy("toxic", "doc_id").agg(F.count("*").alias("copies"))
 
 
-@register("balanced_subset", f"SELECT toxic, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY {key(7, 'doc_id')}, doc_id) AS k FROM labels) WHERE k <= 20")
+@register("balanced_subset", f"WITH r AS (SELECT toxic, doc_id, {key(7, 'doc_id')} AS h, row_number() OVER (PARTITION BY toxic ORDER BY {key(7, 'doc_id')}, doc_id) AS k FROM labels) SELECT toxic, doc_id FROM r ORDER BY k > 60 // (SELECT count(DISTINCT toxic) FROM labels), h, doc_id LIMIT 60")
 def balanced_subset(spark, sf):
-    return ds.per_label(table(spark, sf, "labels"), "toxic", "doc_id", 20, seed=7).select("toxic", "doc_id")
+    return ds.balanced(table(spark, sf, "labels").filter("toxic is not null").select("toxic", "doc_id"), "toxic", "doc_id", 60, seed=7)
 
 
 @register("sample_weights", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 2.0 ELSE 1.0 END AS weight FROM orders")
@@ -187,6 +187,20 @@ def paired_stats(spark, sf):
     return ds.paired(table(spark, sf, "lineitem"), "l_discount", "l_tax")
 
 
+@register("wilson_interval", "WITH c AS (SELECT p_brand, count(*) AS n, count(*) FILTER (p_size > 40) AS k, 1.959963984540054 AS z FROM part GROUP BY p_brand) SELECT p_brand, round((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM c")
+def wilson_interval(spark, sf):
+    c = table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count(F.when(F.col("p_size") > 40, 1)).alias("k"))
+    low, high = ds.wilson(F.col("k"), F.col("n"))
+    return c.select("p_brand", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@register("sign_test", "WITH c AS (SELECT p_brand, least(count(*) FILTER (p_size > 25), count(*) FILTER (p_size < 25)) AS k, count(*) FILTER (p_size <> 25) AS n FROM part GROUP BY p_brand) SELECT p_brand, round(least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))), 6) AS p FROM c")
+def sign_test(spark, sf):
+    """Whether sizes lie above or below 25 alike, for each brand."""
+    c = table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.when(F.col("p_size") > 25, 1)).alias("plus"), F.count(F.when(F.col("p_size") < 25, 1)).alias("minus"))
+    return c.select("p_brand", F.round(ds.sign_test(F.col("plus"), F.col("minus")), 6).alias("p"))
+
+
 @register("validate_report", "SELECT 'dangling' AS check_name, (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) AS n UNION ALL SELECT 'duplicate key', (SELECT count(*) FROM (SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'empty value', (SELECT count(*) FROM part WHERE p_name IS NULL OR trim(p_name) = '') UNION ALL SELECT 'bad format', (SELECT count(*) FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$'))")
 def validate_report(spark, sf):
     p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
@@ -276,7 +290,8 @@ def sus_complete(spark, sf):
 @register("sus_order", "SELECT p_partkey, row_number() OVER (ORDER BY CASE p_type WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LARGE' THEN 3 END NULLS LAST, p_size, p_partkey) AS k FROM part")
 def sus_order(spark, sf):
     order = F.when(F.col("p_type") == "SMALL", 1).when(F.col("p_type") == "MEDIUM", 2).when(F.col("p_type") == "LARGE", 3)
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(Window.orderBy(order.asc_nulls_last(), "p_size", "p_partkey")).cast("long").alias("k"))
+    ranked = ds.global_rank(table(spark, sf, "part").select("p_partkey", "p_size", order.alias("o")), [F.col("o").asc_nulls_last(), F.col("p_size"), F.col("p_partkey")], "k")
+    return ranked.select("p_partkey", "k")
 
 
 @register("answer_resolution", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(a.p_name, b.p_brand, 'null answer') AS answer FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) a ON a.p_partkey = l_partkey LEFT JOIN (SELECT * FROM part WHERE p_type = 'PROMO') b ON b.p_partkey = l_partkey")
@@ -317,7 +332,17 @@ def gen_summary(spark, sf):
     return o.groupBy(F.col("o_orderpriority").alias("method")).agg(*agg).unionByName(o.agg(*agg).withColumn("method", F.lit("all")))
 
 
-@register("halving")
+def _halving_sql(rounds: int) -> str:
+    """The rounds one after another, each over the better half of the one before."""
+    parts = ["x AS (SELECT p_brand, p_size, ('0x' || substr(md5('1:' || p_partkey), 1, 4))::INT / 65536 AS slot FROM part)"]
+    for r in range(rounds):
+        left = f" AND p_brand IN (SELECT p_brand FROM l{r - 1})" if r else ""
+        parts.append(f"m{r} AS (SELECT p_brand, round(avg(p_size), 6) AS mean FROM x WHERE slot < {1 / 2 ** (rounds - 1 - r)}{left} GROUP BY p_brand)")
+        parts.append(f"l{r} AS (SELECT p_brand FROM m{r} QUALIFY row_number() OVER (ORDER BY mean DESC, p_brand) <= greatest(1, (count(*) OVER () + 1) // 2))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT p_brand AS candidate, {r} AS round, mean FROM m{r}" for r in range(rounds))
+
+
+@register("halving", _halving_sql(4))
 def halving(spark, sf):
     """Successive halving of part brands by mean size over growing shares of the parts."""
     return ds.halving(table(spark, sf, "part"), "p_brand", "p_size", "p_partkey", rounds=4)

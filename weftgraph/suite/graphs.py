@@ -34,7 +34,8 @@ def bgp_category_counts_all(spark, sf):
 
 @register("pivot_counts", CHAIN_SQL + """SELECT qcat, "desc", count(DISTINCT resp) FILTER (cat = 'A') AS n_a, count(DISTINCT resp) FILTER (cat = 'N') AS n_n, count(DISTINCT resp) FILTER (cat = 'R') AS n_r FROM m GROUP BY ALL""")
 def pivot_counts(spark, sf):
-    return chain(spark, sf).groupBy("qcat", "desc").agg(*(F.countDistinct(F.when(F.col("cat") == c, F.col("resp"))).alias(f"n_{c.lower()}") for c in "ANR"))
+    n = chain(spark, sf).groupBy("qcat", "desc", "cat").agg(F.countDistinct("resp").alias("n"))
+    return n.groupBy("qcat", "desc").agg(*(F.coalesce(F.sum(F.when(F.col("cat") == c, F.col("n"))), F.lit(0)).alias(f"n_{c.lower()}") for c in "ANR"))
 
 
 @register("category_totals", CHAIN_SQL + "SELECT cat, count(DISTINCT resp) AS n FROM m GROUP BY cat")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalogue import register
 from weftgraph.functions import terms
-from weftgraph.operators import rules
+from weftgraph.operators import datasets, rules
 from weftgraph.plans import bgp
 from weftgraph.sources import star
 from weftgraph.sources.star import SQL as T
@@ -31,7 +31,8 @@ def amie_parse(spark, sf):
 
 @register("rule_index", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS rule_index, p_partkey FROM part")
 def rule_index(spark, sf):
-    return table(spark, sf, "part").select((F.row_number().over(Window.orderBy("p_partkey")) - 1).cast("long").alias("rule_index"), "p_partkey")
+    ranked = datasets.global_rank(table(spark, sf, "part").select("p_partkey"), [F.col("p_partkey")], "k")
+    return ranked.select((F.col("k") - 1).alias("rule_index"), "p_partkey")
 
 
 @register("rule_groundings", M + "SELECT DISTINCT r, a, q, m.b FROM m JOIN t h ON h.s = r AND h.p = 'answeredInQuestionnaire' AND h.o = m.b")

@@ -118,7 +118,7 @@ def _brand_map(spark, sf):
 @register("iri_remap", T + "SELECT DISTINCT CASE WHEN s LIKE 'questionnaire/%' THEN lower(s) ELSE s END AS s, p, CASE WHEN o LIKE 'questionnaire/%' THEN lower(o) ELSE o END AS o FROM t WHERE p IN ('belongsTo', 'label')")
 def iri_remap(spark, sf):
     g = star.star_graph(spark, sf).filter(F.col("p").isin("belongsTo", "label"))
-    return tr.remap(g, F.broadcast(_brand_map(spark, sf))).select("s", "p", "o")
+    return tr.remap(g, _brand_map(spark, sf)).select("s", "p", "o")
 
 
 @register("reverse_edges", T + "SELECT DISTINCT o AS s, CASE p WHEN 'belongsTo' THEN 'holds' WHEN 'isAnswerTo' THEN 'hasOption' END AS p, s AS o FROM t WHERE p IN ('belongsTo', 'isAnswerTo')")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.catalogue import register
-from weftgraph.functions import extract, scoring, terms
+from weftgraph.functions import extract, repair, scoring, terms
 from weftgraph.sources.star import table
 
 FOLD = "lower(replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), 'ß', 'ss'))"
@@ -198,13 +198,16 @@ def alias_clean(spark, sf):
     return raw.select("label", F.array_join(extract.clean_aliases("label", F.concat("a", F.array(F.upper("label")))), "|").alias("aliases"))
 
 
-STORY = '{"title":"T","scenes":[{"number":1,"narration":"x","visual":"y"},{"number":2,"narration":"","visual":"z"}]}'
-
-
-@register("storyboard_score", "SELECT * FROM (VALUES (0, true, true, 0.875, 0.9375), (1, true, false, 0.875, 0.46875), (2, false, false, 0.0, 0.0)) v(id, is_json, strict, completeness, fitness)")
+@register("storyboard_score", "SELECT (conv_id * 100 + turn)::VARCHAR AS id, conv_id % 4 <> 3 AS is_json, conv_id % 4 = 2 AS wrapped, conv_id % 4 = 0 AS strict, (CASE conv_id % 4 WHEN 1 THEN 0.85 WHEN 3 THEN 0.2 ELSE 1.0 END)::DOUBLE AS completeness, CASE WHEN conv_id % 4 = 3 THEN 0 ELSE 1 END AS n_scenes, conv_id % 4 <> 3 AND turn % 2 = 0 AS compliant, (CASE conv_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.425 WHEN 2 THEN 0.5 ELSE 0.1 END * CASE WHEN turn % 2 = 0 AND conv_id % 4 <> 3 THEN 1 ELSE 0.5 END)::DOUBLE AS fitness FROM conversations WHERE trim(text) <> ''")
 def storyboard_score(spark, sf):
-    rows = spark.createDataFrame([(0, STORY), (1, "Here it is: " + STORY + " done"), (2, "no json")], "id int, text string")
-    return scoring.storyboard(rows, wanted_scenes=2)
+    """Outputs made of every turn: whole, without a field, inside other text, and a plain script; odd turns are asked for two scenes."""
+    c = table(spark, sf, "conversations").filter("trim(text) <> ''")
+    scene = F.struct(F.lit(1).alias("scene_number"), F.col("text").alias("narration"), F.lit("a chart").alias("visual_description"), F.when(F.col("conv_id") % 4 != 1, F.col("role")).alias("on_screen_text"))
+    whole = F.to_json(F.struct(F.lit("T").alias("title"), F.array(scene).alias("scenes")))
+    kind = F.col("conv_id") % 4
+    text = F.when(kind == 2, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```"))).when(kind == 3, F.lit("**Scene 1**\nNarration: Hello.")).otherwise(whole)
+    request = F.when(F.col("turn") % 2 == 0, "Create a brief patient-education scene.").otherwise("Write two scenes on sleep.")
+    return scoring.storyboard(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), text.alias("text"), request.alias("request"))).drop("errors")
 
 
 @register("spoken_text", "SELECT p_partkey, 'the P R of ' || p_name || ' and PRx, the U S A B' AS text FROM part")
@@ -213,17 +216,19 @@ def spoken_text(spark, sf):
     return _names(spark, sf).select("p_partkey", extract.spell_initialisms(raw, ["PR", "USAB"]).alias("text"))
 
 
-@register("crossover")
+@register("crossover", r"WITH c AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations WHERE turn < 2 GROUP BY conv_id), h AS (SELECT *, ceil(length(a) / 2)::INT AS ha, ceil(length(b) / 2)::INT AS hb FROM c WHERE a IS NOT NULL AND b IS NOT NULL) SELECT conv_id, trim(substr(a, 1, ha) || regexp_extract(substr(a, ha + 1), '^\S*') || ' ' || regexp_replace(substr(b, hb + 1), '^\S*\s*', '')) AS child FROM h")
 def crossover(spark, sf):
     """First half of one text and second half of another, both cut at white space."""
     d = table(spark, sf, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b")).na.drop()
     return d.select("conv_id", extract.crossover("a", "b").alias("child"))
 
 
-@register("exchange_class", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'scene ?[0-9]+') THEN 'storyboard' WHEN regexp_matches(text, '\\?') THEN 'question' WHEN length(text) < 120 THEN 'short' ELSE 'other' END AS kind FROM conversations")
+@register("exchange_class", "WITH x AS (SELECT conv_id, turn, coalesce(text, '') AS q, CASE WHEN turn % 2 = 0 THEN text || ' Scene 1: a visual. scene ' || (turn % 4 + 1) ELSE text END AS a FROM conversations) SELECT conv_id, turn, CASE WHEN q = '' OR coalesce(a, '') = '' THEN 'excluded_missing_request_or_response' WHEN turn % 4 = 2 THEN 'storyboard_adaptation' ELSE 'excluded_non_storyboard_or_fragment' END AS kind FROM x")
 def exchange_class(spark, sf):
-    kind = F.when(F.lower("text").rlike("scene ?[0-9]+"), "storyboard").when(F.col("text").rlike(r"\?"), "question").when(F.length("text") < 120, "short").otherwise("other")
-    return table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"))
+    """Turns as requests; those of even number answered by a text that names scene 1 and a second number."""
+    c = table(spark, sf, "conversations")
+    answer = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" Scene 1: a visual. scene "), F.col("turn") % 4 + 1)).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", scoring.exchange_kind("text", answer).alias("kind"))
 
 
 @register("chat_exchanges", "WITH x AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), e AS (SELECT conv_id, k, md5(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user')) AS request, md5(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant')) AS response FROM x WHERE k > 0 GROUP BY ALL) SELECT conv_id, k::BIGINT AS exchange, request, response, lag(response) OVER (PARTITION BY conv_id ORDER BY k) AS previous FROM e")
@@ -238,10 +243,15 @@ def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(extract.strip_html("html")).cast("long").alias("n"))
 
 
-@register("readability", "SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS words, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::BIGINT AS sentences, round(len(regexp_extract_all(text, '[^\\s]+')) / greatest(len(regexp_extract_all(text, '[.!?]+')), 1), 4) AS words_per_sentence FROM documents")
+READ_SQL = r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences FROM documents),
+c AS (SELECT doc_id, lang, len(w)::BIGINT AS words, sentences::BIGINT AS sentences, coalesce(list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouyäöüáéíóúàèìòùâêîôû]+'))))), 0)::BIGINT AS syllables FROM w)
+SELECT doc_id, words, sentences, syllables, round(CASE WHEN words > 0 THEN CASE WHEN lang = 'de' THEN 180 - words / sentences - 58.5 * (syllables / words) ELSE 206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words) END END, 4) AS ease FROM c"""
+
+
+@register("readability", READ_SQL)
 def readability(spark, sf):
-    words, sentences = F.size(F.regexp_extract_all("text", F.lit(r"([^\s]+)"))), F.greatest(F.size(F.regexp_extract_all("text", F.lit("([.!?]+)"))), F.lit(1))
-    return table(spark, sf, "documents").select("doc_id", words.cast("long").alias("words"), sentences.cast("long").alias("sentences"), F.round(words / sentences, 4).alias("words_per_sentence"))
+    words, sentences, syllables = repair.counts("text")
+    return table(spark, sf, "documents").select("doc_id", words.alias("words"), sentences.alias("sentences"), syllables.alias("syllables"), F.round(repair.flesch("text", F.coalesce(F.col("lang") == "de", F.lit(False))), 4).alias("ease"))
 
 
 @register("surface_groups", "SELECT lower(replace(f, '-', ' ')) AS key, count(DISTINCT f) AS variants FROM (SELECT unnest([p_name, upper(p_name), replace(p_name, ' ', '-'), p_name || 's']) AS f FROM part) GROUP BY 1")
