@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.shared import remove, scratch, shared_dir
 
-__all__ = ["freed", "parts_for", "release", "remove", "save", "scratch", "shared_dir"]
+__all__ = ["freed", "parts_for", "release", "remove", "save", "save_bucketed", "scratch", "shared_dir"]
 
 
 def freed(run):
@@ -45,6 +46,20 @@ def save(df: DataFrame, path: str, compression: str = "zstd", partition_by: str
     return spark.read.schema(schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Writes df dealt out by key, one file for each bucket, and reads it back: joins by key do not move its rows again.
+
+    Bucketing needs a name in the catalog while the table is opened; the name goes, the files stay.
+    """
+    spark = df.sparkSession
+    name = f"weft_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    opened = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    release(spark)
+    return opened
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now, not at its next collection."""
     gc.collect()

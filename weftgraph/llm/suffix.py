@@ -19,6 +19,7 @@ doc_id. All strings are judged on the input; matches never cross documents.
    the bytes themselves, not from hashes.
 5. Each batch of documents applies the marks that come back.
 
+The batches' texts are written dealt out by batch, so what is joined with them later moves, not they.
 Positions are packed into arrays, a row for each batch and bucket, so Spark moves few large rows. Equal
 contexts within a batch are sent once, with the least doc_id. A prefix that many batches hold is hot:
 its windows are dealt out by their whole THRESHOLD bytes instead.
@@ -453,7 +454,8 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes:
     marked = rows.join(first, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("original"), *(f"carry{i}" for i in range(len(carry))))
     result = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
     arrow = to_arrow_schema(result)
-    batches = store.save(marked.mapInArrow(store.freed(lambda rows: _make_batches(rows, batch_bytes, carry)), "batch long, blob binary"), f"{base}/batches", "uncompressed")
+    batches = marked.mapInArrow(store.freed(lambda rows: _make_batches(rows, batch_bytes, carry)), "batch long, blob binary")
+    batches = store.save_bucketed(batches, f"{base}/batches", "batch", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     size = batches.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = store.parts_for(spark, 2 * size, 4 << 20) * 2
