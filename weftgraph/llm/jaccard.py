@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     pairs = feats.select(F.explode("sigs").alias("sig"), "k1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = pairs.repartitionByRange(parts, "sig", "k1").sortWithinPartitions("sig", "k1")
-    blocks = store.save(ordered.mapInArrow(_blocks, "sig long, members array<long>"), f"{base}/blocks")
+    blocks = store.save(ordered.mapInArrow(store.freed(_blocks), "sig long, members array<long>"), f"{base}/blocks")
 
     cut = blocks.withColumn("at", F.element_at("members", 1))
     many = cut.groupBy("sig").agg(F.count("*").alias("blocks")).filter("blocks > 1")
@@ -321,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     def verify(part: DataFrame, name: str) -> None:
         """Joins the components that links within the tiles of part connect."""
         sets = of_classes(part, lambda s: s)
-        found = with_label(part).join(sets, "id").groupBy("tile").applyInArrow(link, "u long, v long").distinct()
+        found = with_label(part).join(sets, "id").groupBy("tile").applyInArrow(store.freed_group(link), "u long, v long").distinct()
         edges = store.save(found, f"{base}/edges-{name}")
         if not edges.isEmpty():
             joins.append(components(edges, f"{base}/components-{name}"))
@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     verify(home, "home")
     maps = store.save(of_classes(member, _bitmap), f"{base}/bitmaps", "uncompressed")
     for name, sparse in (("sparse", True), ("all", False)):
-        open_tiles = with_label(member).join(maps, "id").groupBy("tile").applyInArrow(sift(sparse), "tile long, id long").dropDuplicates()
+        open_tiles = with_label(member).join(maps, "id").groupBy("tile").applyInArrow(store.freed_group(sift(sparse)), "tile long, id long").dropDuplicates()
         left = store.save(open_tiles, f"{base}/sifted-{name}")
         if left.isEmpty():
             break  # no pair between components is left

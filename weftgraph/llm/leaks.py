@@ -144,7 +144,7 @@ def _keep(items):
         for batch in batches:
             data, offsets = bs.utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b in bs.pieces(offsets, 2 << 20):
+            for a, b in bs.pieces(offsets):
                 words = bs.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], separator=STOPS)
                 at, word = known.number(words.hash)
                 first = words.first(b - a)
@@ -177,8 +177,8 @@ class Kept:
 
 def _each(batches):
     for batch in batches:
-        for row in batch.to_pylist():
-            yield Kept(row)
+        for i in range(len(batch)):
+            yield Kept(batch.slice(i, 1).to_pylist()[0])
 
 
 def _tree_sum(parts: DataFrame, path: str, kind: str) -> np.ndarray | None:
@@ -195,7 +195,7 @@ def _tree_sum(parts: DataFrame, path: str, kind: str) -> np.ndarray | None:
     most = now.agg(F.max("part")).first()[0]
     while most:
         level, most = level + 1, most // FAN
-        grouped = now.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(add, "part int, vector binary")
+        grouped = now.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(store.freed_group(add), "part int, vector binary")
         now = store.save(grouped, f"{path}/{level}")
     rows = now.collect()
     return np.frombuffer(rows[0]["vector"], kind).astype(np.float64) if rows else None
@@ -218,8 +218,8 @@ def _row_values(kept: Kept, weight: np.ndarray):
 def _folded(rows: np.ndarray, values: np.ndarray, basis: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
     """Sums of the basis rows of each row's words, times their values. rows ascend."""
     out = np.zeros((n, basis.shape[1]), np.float32)
-    for a in range(0, len(rows), 1 << 17):
-        b = min(a + (1 << 17), len(rows))
+    for a in range(0, len(rows), 1 << 15):
+        b = min(a + (1 << 15), len(rows))
         part = rows[a:b]
         new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         out[part[new]] += np.add.reduceat(basis[column[a:b]] * values[a:b, None].astype(np.float32), new, axis=0)
@@ -277,8 +277,8 @@ FOUND = "doc_id long, item_id long, cosine double, coverage double, answer doubl
 def _bounded_overlap(kept: Kept, items: Items, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
     """For ranges of kept words and items: how many of the item's words the range's words can be at most."""
     out = np.zeros(len(item), np.int64)
-    for a in range(0, len(item), 1 << 14):
-        some = slice(a, min(a + (1 << 14), len(item)))
+    for a in range(0, len(item), 1 << 12):
+        some = slice(a, min(a + (1 << 12), len(item)))
         size = hi[some] - lo[some]
         owner = np.repeat(np.arange(len(size)), size)
         word = kept.word[np.repeat(lo[some] - np.cumsum(size) + size, size) + np.arange(len(owner))]

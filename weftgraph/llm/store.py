@@ -5,31 +5,58 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.shared import remove, scratch, shared_dir
 
-__all__ = ["freed", "parts_for", "release", "remove", "save", "save_bucketed", "scratch", "shared_dir"]
+__all__ = ["freed", "freed_group", "parts_for", "release", "remove", "save", "save_bucketed", "scratch", "shared_dir", "trim"]
+
+
+#: Seconds between two times that a worker gives memory back while it works on groups.
+TRIM_SECONDS = 0.3
+_trimmed = 0.0
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, and has Arrow take its memory from where that works."""
+    global _trimmed
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    _trimmed = time.monotonic()
 
 
 def freed(run):
-    """A generator function for mapInArrow that gives freed memory back to the system when its task ends.
+    """A generator function for mapInArrow that gives freed memory back when its task ends.
 
     Spark uses a worker again for the next stage; without this, each would keep what its largest task took.
     """
 
     @functools.wraps(run)
     def wrapped(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            trim()
+
+    return wrapped
+
+
+def freed_group(run):
+    """A function for applyInArrow that gives freed memory back now and then."""
+
+    @functools.wraps(run)
+    def wrapped(table):
+        out = run(table)
+        if time.monotonic() - _trimmed > TRIM_SECONDS:
+            trim()
+        return out
 
     return wrapped
 

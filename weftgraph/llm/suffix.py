@@ -460,19 +460,19 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes:
     size = batches.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = store.parts_for(spark, 2 * size, 4 << 20) * 2
     prefixes = batches.mapInArrow(store.freed(_round0(buckets)), "bucket int, batch long, prefixes binary")
-    repeated = prefixes.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot_batches), "batch long, many binary, hot binary").filter("octet_length(many) > 0")
+    repeated = prefixes.groupBy("bucket").applyInArrow(store.freed_group(lambda t: _repeated(t, hot_batches)), "batch long, many binary, hot binary").filter("octet_length(many) > 0")
     repeated = store.save(repeated, f"{base}/round0", "uncompressed")
 
     answers = repeated.groupBy("batch").agg(F.collect_list("many").alias("many"), F.collect_list("hot").alias("hot"))
     contexts = batches.join(answers, "batch", "left").mapInArrow(store.freed(_contexts(buckets)), "bucket int, batch long, kind int, head binary")
-    settled = contexts.groupBy("bucket").applyInArrow(lambda t: _settle(t, hot_contents), "batch long, kind int, head binary")
+    settled = contexts.groupBy("bucket").applyInArrow(store.freed_group(lambda t: _settle(t, hot_contents)), "batch long, kind int, head binary")
     settled = store.save(settled, f"{base}/settled")
     store.remove(spark, f"{base}/round0")
 
     heads = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("head")))
     asked = settled.filter("kind > 0").groupBy("batch").agg(heads(1).alias("asked"), heads(2).alias("hot"))
     sent = batches.join(asked, "batch").mapInArrow(store.freed(_cut(buckets)), "bucket int, batch long, head binary, body binary")
-    doubled = sent.groupBy("bucket").applyInArrow(_double, "batch long, head binary")
+    doubled = sent.groupBy("bucket").applyInArrow(store.freed_group(_double), "batch long, head binary")
     marks = store.save(doubled.unionByName(settled.filter("kind = 0").select("batch", "head")), f"{base}/marks")
     store.remove(spark, f"{base}/settled")
     marks = marks.groupBy("batch").agg(F.collect_list("head").alias("marks"))
