@@ -20,9 +20,11 @@ TRIM_SECONDS = 0.3
 _trimmed = 0.0
 
 
-def trim() -> None:
-    """Gives freed memory back to the system, and has Arrow take its memory from where that works."""
+def trim(seconds: float = 0.0) -> None:
+    """Gives freed memory back to the system, unless it did so within the last seconds, and has Arrow take its memory from where that works."""
     global _trimmed
+    if time.monotonic() - _trimmed < seconds:
+        return
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
@@ -54,8 +56,7 @@ def freed_group(run):
     @functools.wraps(run)
     def wrapped(table):
         out = run(table)
-        if time.monotonic() - _trimmed > TRIM_SECONDS:
-            trim()
+        trim(TRIM_SECONDS)
         return out
 
     return wrapped
