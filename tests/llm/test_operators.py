@@ -275,6 +275,22 @@ def test_components_of_stars_and_of_nothing(spark):
     assert graph.components(edges([]), store.scratch(spark, "test")).count() == 0
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rnd = np.random.default_rng(5)
+    for n in (1, 3, 40, 500, 9000, 40_000):
+        base = rnd.integers(0, 1 << 62, n, dtype=np.uint64)
+        for _ in range(5):
+            other = np.unique(np.concatenate([base[rnd.random(n) < 0.95], rnd.integers(0, 1 << 62, n // 20, dtype=np.uint64)]))
+            sets = sorted((np.unique(base), other), key=len)
+            if not len(sets[0]):
+                continue
+            common = len(np.intersect1d(*sets))
+            size = np.array([len(x) for x in sets], np.int64)
+            maps = jaccard._folded([jaccard._bitmap(x) for x in sets])
+            left = jaccard._bounded(0, size, maps, np.array([1]), 9, 10)
+            assert len(left) or 19 * common < 9 * size.sum()
+
+
 def test_forest_gives_stars_between_labels():
     one, far = np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)
     sets = [one, one[:99], far, one[1:], far[:98]]

@@ -162,8 +162,8 @@ def _blocks(batches):
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of four to eight bits for each element; the size is a power of two."""
-    bits = 1 << max(8, min(16, int(4 * len(s)).bit_length()))
+    """A bitmap of 16 to 32 bits for each element (fewer for very large sets); the size is a power of two."""
+    bits = 1 << max(10, min(18, int(16 * len(s)).bit_length()))
     out = np.zeros(bits // 64, U64)
     b = bs.mix(s ^ U64(0x5EED)) & U64(bits - 1)
     np.bitwise_or.at(out, (b >> U64(6)).astype(np.int64), U64(1) << (b & U64(63)))
