@@ -41,12 +41,12 @@ def boundaries(spark, rules: list[Rule]) -> DataFrame:
     """Where the stack of active rules changes: at, stack (all rules active from there on).
 
     Each rule host opens its interval with its own and its ancestors' rules and closes it with its
-    ancestors' rules.
+    ancestors' rules. Of rules with one host and path, the greatest verdict holds: block before allow.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules; split the list")
     rows = [(verdict, host.translate(str.maketrans(UPPER, LOWER)), path) for verdict, host, path in rules]
-    given = spark.createDataFrame(rows, "verdict string, host string, path string").dropDuplicates(["host", "path"])
+    given = spark.createDataFrame(rows, "verdict string, host string, path string").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rule = F.concat("host", "path")
     per_host = given.groupBy("host").agg(F.collect_list(F.struct(F.length(rule).alias("size"), rule.alias("rule"), "path", "verdict")).alias("own"))
     label = F.split("host", r"\.")
