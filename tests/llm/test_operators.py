@@ -525,6 +525,10 @@ def test_toxicity(spark):
     one = toxicity.score(docs_of(spark, ["Fine words here. You idiotic thing. Fine again."]), weights).first()
     assert len(one.offending) == 1 and "Fine words here. You idiotic thing. Fine again."[one.offending[0]["begin"] : one.offending[0]["end"]] == "You idiotic thing"
     assert toxicity.reject(rows, spark.createDataFrame([], "doc_id long, toxic int")).count() == 602
+    again = rows.unionByName(rows.withColumn("text", F.lit("zz other text.")).filter("doc_id < 300"))  # ids with two texts
+    labelled = spark.createDataFrame([*labels, *labels], "doc_id long, toxic int")
+    assert np.array_equal(toxicity.train(again, labelled), toxicity.train(again.orderBy("text"), labelled))
+    assert np.array_equal(toxicity.train(rows.unionByName(rows), labelled), weights)
 
 
 # --- 6, 7, 8 -------------------------------------------------------------------------------------------
@@ -554,6 +558,10 @@ def test_urls(spark):
     assert [got[i] for i in range(len(given))] == list(given.values())
     assert urls.judge(rows, []).filter("verdict <> 'allow' or rule is not null").count() == 0
     assert urls.judge(rows.limit(0), RULES).count() == 0
+    twice = [("allow", "com", "/"), ("block", "COM", "/")]
+    page = spark.createDataFrame([(1, "http://a.com/x")] * 2, "page_id long, url string")
+    for rules in (twice, twice[::-1]):  # whatever their order, and for repeated rows
+        assert [(r.rule, r.verdict) for r in urls.judge(page, rules).collect()] == [("com/", "block")] * 2
 
 
 def test_chat(spark):
