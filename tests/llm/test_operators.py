@@ -604,6 +604,58 @@ def test_top_k(spark):
     assert pivots.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_sends_few_rows_to_the_driver(spark):
+    n, parts = 40_000, 16
+    rows = spark.range(0, n, 1, parts).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(1000)) / 1000.0).alias("embedding"))
+    frame, sizes = type(rows), []
+    collect = frame.collect
+
+    def counted(self):
+        plan = self._jdf.queryExecution().optimizedPlan()
+        if plan.nodeName() == "GlobalLimit" and plan.maxRows().get() == pivots.PIVOT_SAMPLE:
+            under = plan.children().head().children().head()  # what the sort below the limit reads
+            sizes.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.sparkSession._jsparkSession, under).count())
+        return collect(self)
+
+    frame.collect = counted
+    try:
+        got = pivots.top_k(rows, k=3, every=4000)
+    finally:
+        frame.collect = collect
+    assert sizes and max(sizes) <= 3 * pivots.PIVOT_SAMPLE
+    ints = {r.vec_id: np.floor(64 * np.array(r.embedding)).astype(int) for r in rows.collect()}
+    ids, m = np.array(list(ints)), np.stack(list(ints.values()))
+    found = collections.defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, r.score))
+    assert set(found) == set(range(0, n, 4000))
+    for q, some in found.items():
+        score = m @ ints[q]
+        best = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:3]
+        assert some == [(ids[i], score[i]) for i in best]
+
+
+def test_search_leaves_out_groups_and_keeps_large_integers():
+    rnd = np.random.default_rng(5)
+    centres = rnd.integers(-100, 100, (8, 16))
+    rows = np.concatenate([c + rnd.integers(-3, 4, (1024, 16)) for c in centres]).astype(float)
+    ids, queries = np.arange(len(rows)), np.arange(0, 1024, 8)
+    search = pivots.Search(ids[queries], rows[queries], pivots.choose_pivots(rows[::8], 12), 5)
+    search.add(ids, rows)
+    assert search.computed <= len(queries) * len(rows) / 2
+    large = np.concatenate([rows[:3] * 2.0**60, rows[3:5] * 2.0**40])
+    search.add(np.arange(10_000, 10_005), large)
+    whole = {**{int(i): r for i, r in zip(ids, rows)}, **{10_000 + i: r for i, r in enumerate(large)}}
+    whole = {i: [int(x) for x in r] for i, r in whole.items()}
+    found = collections.defaultdict(list)
+    for query, candidate, score in search.results():
+        for q, c, s in zip(query, candidate, score, strict=True):
+            found[int(q)].append((int(c), s))
+    for q in queries[:4]:
+        every = sorted(((i, sum(a * b for a, b in zip(v, whole[int(q)], strict=True))) for i, v in whole.items() if i != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert found[int(q)] == [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in every]
+
+
 def test_word_scan():
     import pyarrow as pa
 

@@ -1,13 +1,14 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors become integers. For each vector the distances to a table of pivots are computed once. By the
-triangle inequality |d(q, p) - d(x, p)| bounds d(q, x) from below for each pivot p; the maximum over the
-pivots, turned into an inner product with the two norms, bounds q.x from above. A query's candidates
-are evaluated in the order of that bound, in rounds of growing size, until its k-th best score is above
-every bound left; nothing else can enter, so the result is exact.
-
-Queries and candidates are packed in blocks; each query block meets each candidate block in one task,
-and a block pair gives at most k rows a query.
+Vectors become integers. The distances to a table of pivots are computed for each vector, and candidates
+are sorted by their nearest pivot, so that neighbours lie together. By the triangle inequality the gap
+between d(q, p) and the range of d(x, p) in a group of candidates bounds d(q, x) from below for each pivot
+p; the maximum over the pivots, turned into an inner product with the norms, bounds q.x from above. A group
+whose bound is below a query's k-th best score so far cannot hold one of its results and is left out; the
+others are evaluated, so the result is exact.
+
+Queries are dealt into blocks and candidates into strips; a task holds one query block and reads one strip
+row by row, so neither the driver nor a task holds more than a block. A strip gives at most k rows a query.
 """
 
 from __future__ import annotations
@@ -19,16 +20,35 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import store
 
-#: Pivots, the vectors they are chosen from (those with the least hash of their id), and the blocks' sizes.
+#: Pivots, and the vectors they are chosen from (those with the least hash).
 PIVOTS, PIVOT_SAMPLE = 24, 2000
-QUERY_BLOCK, CANDIDATE_BLOCK = 256, 16384
+#: Most queries of a block, and the blocks that few queries are dealt into; most strips. Blocks times the candidates, and
+#: strips times the queries and their results, are what is shuffled.
+QUERY_BLOCK, FEW_BLOCKS, STRIPS = 131_072, 8, 8
+#: Candidates of a group, candidates evaluated at a time, queries evaluated at a time.
+GROUP, CHUNK, BATCH = 256, 4096, 512
+KINDS = {1: np.dtype("i1"), 2: np.dtype("<i2"), 8: np.dtype("<f8")}
+VECTOR = "vec_id long, v binary, kind byte"
+
 
+def _encoded(v: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Whole-number vectors as bytes, each in the narrowest of KINDS that holds it, and the kinds."""
+    most = np.abs(v)
+    most = np.array([most[a:b].max(initial=0) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]) if len(offsets) > 1 else np.zeros(0)
+    kinds = np.where(most <= 127, 1, np.where(most <= 32767, 2, 8)).astype(np.int8)
+    with np.errstate(invalid="ignore"):
+        forms = {k: v.astype(d) for k, d in KINDS.items() if (kinds == k).any()}
+    return [forms[int(k)][a:b].tobytes() for k, a, b in zip(kinds, offsets[:-1], offsets[1:], strict=True)], kinds
 
-def _matrix(blobs: list[bytes], lengths: list[int]) -> np.ndarray:
+
+def _matrix(blobs, kinds) -> np.ndarray:
     """Vectors as rows; shorter ones are filled with zeros."""
+    lengths = [len(b) // k for b, k in zip(blobs, kinds, strict=True)]
+    if blobs and len(set(lengths)) == 1 and len(set(kinds)) == 1:
+        return np.frombuffer(b"".join(blobs), KINDS[kinds[0]]).reshape(len(blobs), -1).astype(float)
     out = np.zeros((len(blobs), max(lengths, default=0)))
     for i, b in enumerate(blobs):
-        out[i, : lengths[i]] = np.frombuffer(b, np.float64)
+        out[i, : lengths[i]] = np.frombuffer(b, KINDS[kinds[i]])
     return out
 
 
@@ -61,42 +81,106 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in x], object)
 
 
-def search_block(query_ids, queries, query_far, ids, rows, row_far, k: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(query, candidate, score) of the k best of this block for each query, and the number of scores computed."""
-    width = max(queries.shape[1], rows.shape[1])
-    queries, rows = _wider(queries, width), _wider(rows, width)
-    q_norm, x_norm, out, computed = (queries**2).sum(1), (rows**2).sum(1), [], 0
-    exact = not queries.size or not rows.size or np.abs(queries).max() * np.abs(rows).max() * width < 2.0**53
-    far = np.ascontiguousarray(row_far.T)
-    for i in range(len(queries)):
-        lower = np.abs(far[0] - query_far[i, 0])
-        for p in range(1, len(far)):
-            np.maximum(lower, np.abs(far[p] - query_far[i, p]), out=lower)
+class Search:
+    """The k best candidates so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int):
+        far = distances(queries, pivots)
+        order = np.argsort(far.argmin(1), kind="stable")  # queries of one batch have near pivots
+        self.ids, self.queries, self.far, self.k, self.pivots = ids[order], queries[order], far[order], k, pivots
+        self.norm, self.most = (self.queries**2).sum(1), np.abs(queries).max(initial=0)
+        self.score, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.narrow, self.computed = self.queries.astype(np.float32), 0
+
+    def bounds(self, part: slice, low: np.ndarray, high: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """No score of these queries with a candidate of a group is above."""
+        lower = np.zeros((part.stop - part.start, len(norm)))
+        for p in range(low.shape[1]):
+            far = self.far[part, p, None]
+            np.maximum(lower, np.maximum(low[None, :, p] - far, far - high[None, :, p]), out=lower)
         # rounding of the square roots must not lift a bound below the true score
-        bound = (q_norm[i] + x_norm - np.maximum(0, lower - 1e-6 * (1 + lower)) ** 2) / 2 + 1e-6 * (1 + q_norm[i])
+        own = self.norm[part, None]
+        bound = (own + norm - np.maximum(0, lower - 1e-6 * (1 + lower)) ** 2) / 2 + 1e-6 * (1 + own)
         bound[np.isnan(bound)] = np.inf  # components so large that squares overflow: no bound
-        bound[ids == query_ids[i]] = -np.inf
-        left, size = np.flatnonzero(bound > -np.inf), 16 * k
-        best_score, best_id = np.zeros(0, float if exact else object), np.zeros(0, np.int64)
-        while len(left):
-            if len(left) > size:
-                part = np.argpartition(-bound[left], size - 1)
-                now, left = left[part[:size]], left[part[size:]]
-            else:
-                now, left = left, left[:0]
-            computed += len(now)
-            found = rows[now] @ queries[i] if exact else _scores(queries[i], rows[now])
-            best_score, best_id = np.concatenate([best_score, found]), np.concatenate([best_id, ids[now]])
-            if exact and len(best_score) > 8 * k:
-                kept = best_score >= np.partition(best_score, len(best_score) - k)[-k]
-                best_score, best_id = best_score[kept], best_id[kept]
-            order = np.lexsort((best_id, -best_score))[:k] if exact else sorted(range(len(best_id)), key=lambda j: (-best_score[j], best_id[j]))[:k]  # noqa: B023
-            best_score, best_id = best_score[order], best_id[order]
-            if len(best_id) == k:
-                left = left[bound[left] >= float(best_score[-1])]
-            size *= 8
-        out += [(int(query_ids[i]), int(c), max(-(2**63), min(2**63 - 1, int(s)))) for s, c in zip(best_score.tolist(), best_id.tolist(), strict=True)]
-    return out, computed
+        return bound
+
+    def merge(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Pairs (query, score, id) join what is found; the k best of each query stay, ties to the smaller id."""
+        at, row = np.unique(query, return_inverse=True)
+        k = self.k
+        rows = np.r_[np.repeat(np.arange(len(at)), k), row]
+        scores, found = np.concatenate([self.score[at].ravel(), score]), np.r_[self.found[at].ravel(), ids]
+        if scores.dtype == object:
+            order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -scores[i], found[i])), np.int64)
+        else:
+            order = np.lexsort((found, -scores, rows))
+        rows = rows[order]
+        kept = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+        self.score[at], self.found[at] = scores[kept].reshape(-1, k), found[kept].reshape(-1, k)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Meets candidates with all queries; neighbours among them should be near each other."""
+        if not len(ids) or not len(self.ids):
+            return
+        width = max(rows.shape[1], self.queries.shape[1])
+        if width > self.queries.shape[1]:
+            self.queries, self.narrow = _wider(self.queries, width), _wider(self.narrow, width)
+        rows = _wider(rows, width)
+        far, start = distances(rows, self.pivots), np.arange(0, len(ids), GROUP)
+        low, high = np.minimum.reduceat(far, start), np.maximum.reduceat(far, start)
+        norm = np.maximum.reduceat((rows**2).sum(1), start)
+        with np.errstate(over="ignore"):
+            largest = self.most * np.abs(rows).max(initial=0) * max(width, 1)
+        exact = largest < 2.0**53
+        if not exact and self.score.dtype != object:  # from now on all scores are Python's integers
+            whole = [[int(x) if np.isfinite(x) else x for x in r] for r in self.score]
+            self.score = np.array(whole, object).reshape(self.score.shape)
+        narrow = rows.astype(np.float32) if largest < 2.0**24 else None
+        by_id = np.argsort(ids, kind="stable")
+        sorted_ids = ids[by_id]
+        for a in range(0, len(self.ids), BATCH):
+            part = slice(a, min(a + BATCH, len(self.ids)))
+            bound = self.bounds(part, low, high, norm)
+            least = lambda: self.score[part, -1].astype(float)[:, None]  # noqa: B023, E731
+            own_from, own_to = (np.searchsorted(sorted_ids, self.ids[part], side) for side in ("left", "right"))
+            groups = np.argsort(-bound.mean(0), kind="stable")  # the best first: they lift what others must reach
+            for g in range(0, len(groups), CHUNK // GROUP):
+                some = groups[g : g + CHUNK // GROUP]
+                some = some[(bound[:, some] >= least()).any(0)]
+                if not len(some):
+                    continue
+                cols = np.concatenate([np.arange(i * GROUP, min((i + 1) * GROUP, len(ids))) for i in some])
+                if not exact:
+                    for i in range(part.start, part.stop):
+                        other = cols[ids[cols] != self.ids[i]]
+                        self.computed += len(other)
+                        self.merge(np.full(len(other), i), _scores(self.queries[i], rows[other]), ids[other])
+                    continue
+                scores = self.narrow[part] @ narrow[cols].T if narrow is not None else self.queries[part] @ rows[cols].T
+                self.computed += scores.size
+                for i in np.flatnonzero(own_to > own_from):
+                    scores[i, np.isin(cols, by_id[own_from[i] : own_to[i]])] = -np.inf
+                reach = np.maximum(least(), -1.7e308)  # nor the query's own row
+                reach = np.where(reach > -1.7e308, reach, np.finfo(scores.dtype).min)
+                if self.score.dtype != object:
+                    reach = reach.astype(scores.dtype)
+                passed = scores >= reach
+                if len(cols) > self.k and np.count_nonzero(passed) > 4 * self.k * len(scores):
+                    passed &= scores >= np.partition(scores, len(cols) - self.k, axis=1)[:, len(cols) - self.k, None]
+                query, col = np.nonzero(passed)
+                if len(query):
+                    values = scores[query, col].astype(float)
+                    if self.score.dtype == object:
+                        values = np.array([int(v) for v in values], object)
+                    self.merge(query + a, values, ids[cols[col]])
+
+    def results(self):
+        """(query, candidate, score) arrays in pieces; scores outside a long are cut to its range."""
+        for a in range(0, len(self.ids), BATCH):
+            score, found = self.score[a : a + BATCH], self.found[a : a + BATCH]
+            there = score.astype(float) > -np.inf
+            query = np.repeat(self.ids[a : a + BATCH], self.k).reshape(there.shape)[there]
+            yield query, found[there], [max(-(2**63), min(2**63 - 1, int(s))) for s in score[there]]
 
 
 def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20) -> DataFrame:
@@ -117,46 +201,57 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20)
         for batch in batches:
             at = batch.column("v")
             flat, offsets = at.flatten().to_numpy(zero_copy_only=False), at.offsets.to_numpy()
-            offsets = offsets - offsets[0] if len(offsets) else offsets
-            v = np.floor(scale * flat)
-            blobs = [v[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(blobs, pa.binary()), pa.array(np.diff(offsets), pa.int32())], names=["vec_id", "v", "n"])
-
-    table = store.save(rows.mapInArrow(whole, "vec_id long, v binary, n int"), store.scratch(spark, "vectors"))
-    sample = table.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(PIVOT_SAMPLE).collect()
-    pivots = spark.sparkContext.broadcast(choose_pivots(_matrix([r["v"] for r in sample], [r["n"] for r in sample]), PIVOTS))
-    counts = table.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
-    blocks_of = lambda n, size: max(1, -(-int(n or 0) // size))
-    c_blocks, q_blocks = blocks_of(counts["n"], CANDIDATE_BLOCK), blocks_of(counts["q"], QUERY_BLOCK)
-
-    def packed(part: DataFrame, blocks: int) -> DataFrame:
-        """Rows of each block in one row: ids, vectors, distances to the pivots."""
+            blobs, kinds = _encoded(np.floor(scale * flat), offsets - offsets[0] if len(offsets) else offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(blobs, pa.binary()), pa.array(kinds, pa.int8())], names=["vec_id", "v", "kind"])
 
-        def pack(group: pa.Table) -> pa.Table:
-            m = _matrix(group.column("v").to_pylist(), group.column("n").to_pylist())
-            ids, far = group.column("vec_id").to_numpy(), distances(m, pivots.value)
-            return pa.table({"block": group.column("block").slice(0, 1), "width": pa.array([m.shape[1]], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "m": pa.array([m.astype("<f8").tobytes()], pa.binary()), "far": pa.array([far.tobytes()], pa.binary())})
+    table = store.save(rows.mapInArrow(whole, VECTOR), store.scratch(spark, "vectors"))
+    counts = table.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
+    n, q = int(counts["n"] or 0), int(counts["q"] or 0)
+    pivots = spark.sparkContext.broadcast(choose_pivots(_sample(table, n), PIVOTS))
+    blocks = max(1, -(-q // QUERY_BLOCK), min(FEW_BLOCKS, -(-q // 64)))
+    strips = max(1, min(STRIPS, -(-n // CHUNK), -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
 
-        dealt = part.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(blocks)).cast("int"))
-        return dealt.groupBy("block").applyInArrow(pack, "block int, width int, ids binary, m binary, far binary")
+    def near(batches):
+        for batch in batches:
+            m = _matrix(batch.column("v").to_pylist(), batch.column("kind").to_pylist())
+            at = distances(m, pivots.value).argmin(1) if len(m) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["vec_id", "v", "kind", "near"])
 
-    base = store.scratch(spark, "pivots")
-    candidates = store.save(packed(table, c_blocks), f"{base}/candidates")
-    queries = store.save(packed(table.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), q_blocks), f"{base}/queries")
-    # each query block goes to each candidate block: (queries / 512) x (candidate blocks) rows, none of them a pair of vectors
-    sent = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "width", "ids", "m", "far")), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("block"))
+    placed = lambda i: F.explode(F.transform(F.sequence(F.lit(0), F.lit((strips if i else blocks) - 1)), lambda j: ((F.col("at") * strips + j) if i else (j * strips + F.col("at"))).cast("int"))).alias("cell")
+    dealt = lambda parts, *by: F.pmod(F.xxhash64(*by, F.lit(3)), F.lit(parts)).cast("int").alias("at")
+    # a task is a query block and a strip; its queries come first
+    queries = table.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v", "kind", F.lit(-1).alias("near"), dealt(blocks, "vec_id"))
+    candidates = table.mapInArrow(near, VECTOR + ", near int").select("vec_id", "v", "kind", "near", dealt(strips, "vec_id", "v"))
+    met = queries.select("vec_id", "v", "kind", "near", placed(True)).unionByName(candidates.select("vec_id", "v", "kind", "near", placed(False)))
+    met = met.repartitionById(blocks * strips, F.col("cell")).sortWithinPartitions("near").select("vec_id", "v", "kind", "near")
 
     def search(batches):
+        ids, blobs, kinds, found = [], [], [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                read = lambda p: (np.frombuffer(row[p + "ids"], "<i8"), np.frombuffer(row[p + "m"], "<f8"), np.frombuffer(row[p + "far"], "<f8"))  # noqa: B023, E731
-                (qi, qm, qf), (ci, cm, cf) = read("q_"), read("")
-                found, _ = search_block(qi, qm.reshape(len(qi), -1), qf.reshape(len(qi), -1), ci, cm.reshape(len(ci), -1), cf.reshape(len(ci), -1), k)
-                for a in range(0, len(found), 20_000):
-                    some = found[a : a + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in some], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-    met = sent.join(candidates, "block").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), c_blocks), "block", "q_block")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+            first = int(np.count_nonzero(batch.column("near").to_numpy() < 0))
+            own, others = batch.slice(0, first), batch.slice(first)
+            if first:
+                ids.append(own.column("vec_id").to_numpy())
+                blobs += own.column("v").to_pylist()
+                kinds += own.column("kind").to_pylist()
+            if others.num_rows and ids:
+                found = found or Search(np.concatenate(ids), _matrix(blobs, kinds), pivots.value, k)
+                blobs, kinds = [], []
+                found.add(others.column("vec_id").to_numpy(), _matrix(others.column("v").to_pylist(), others.column("kind").to_pylist()))
+        for query, candidate, score in found.results() if found else ():
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(candidate, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(store.freed(search), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _sample(table: DataFrame, n: int) -> np.ndarray:
+    """The PIVOT_SAMPLE different rows of least hash. Only rows below a hash that about twice as many reach are sorted: a task would else send as many as are wanted."""
+    share, place = 2 * PIVOT_SAMPLE / max(n, 1), F.xxhash64("vec_id", "v")
+    while True:
+        near = table if share >= 1 else table.filter(place < int((share - 0.5) * 2**64))
+        found = near.distinct().orderBy(place, "vec_id", "v").limit(PIVOT_SAMPLE).collect()
+        if len(found) == PIVOT_SAMPLE or share >= 1:
+            return _matrix([r["v"] for r in found], [r["kind"] for r in found])
+        share *= 4
