@@ -292,3 +292,58 @@ def test_centralities(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "e")], "a string, b string")
     got = {r.node: (r.betweenness, r.stress) for r in graphstats.centralities(e).collect()}
     assert got == {"a": (1.0, 2.0), "b": (0.5, 1.0), "c": (1.0, 2.0), "d": (3.5, 5.0), "e": (0.0, 0.0)}
+
+
+def brute_paths(edges):
+    """{(a, b): (distance, number of shortest paths)} of all ordered pairs."""
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out = {}
+    for s in near:
+        far, ways, front = {s: 0}, {s: 1}, [s]
+        while front:
+            new = {}
+            for x in front:
+                for y in near[x]:
+                    if y not in far:
+                        new[y] = new.get(y, 0) + ways[x]
+            far |= dict.fromkeys(new, far[front[0]] + 1)
+            ways |= new
+            front = list(new)
+        out |= {(s, t): (far[t], ways[t]) for t in far if t != s}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_of_graphs_with_leaves(spark, seed):
+    import collections
+    import random
+
+    rnd = random.Random(seed)
+    edges = [(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(18)] + [(f"n{rnd.randrange(5)}", f"leaf{i}") for i in range(15)]
+    edges += [("p", "q"), ("m", "u0"), ("u1", "m"), ("m", "u2"), ("x", "x")]  # a lone edge, a star, a lone loop
+    df, p = spark.createDataFrame(edges, "a string, b string"), brute_paths(edges)
+    assert {r.d: r.pairs for r in graphstats.distance_counts(df).collect()} == collections.Counter(d for d, _ in p.values())
+    top = max(d for d, _ in p.values())
+    want = {}
+    for v in {a for a, _ in p}:
+        d = [x for (a, _), (x, _) in p.items() if a == v]
+        through = [(p[a, v][1] * p[v, b][1], n) for (a, b), (x, n) in p.items() if a < b and v not in (a, b) and (a, v) in p and (v, b) in p and p[a, v][0] + p[v, b][0] == x]
+        want[v] = (len(d) / sum(d), sum(top + 1 - x for x in d) / len(d) / top, sum(m / n for m, n in through), sum(m for m, _ in through))
+    got = {r.node: tuple(r)[1:] for r in graphstats.centralities(df).collect()}
+    assert got.keys() == want.keys()
+    for v, x in want.items():
+        assert got[v] == pytest.approx(x, abs=2e-6), v
+
+
+def test_paths_of_a_star_need_no_row_for_each_pair(spark):
+    n = 20_000
+    star = spark.range(n).select(F.lit("hub").alias("a"), F.concat(F.lit("leaf"), "id").alias("b"))
+    assert {r.d: r.pairs for r in graphstats.distance_counts(star).collect()} == {1: 2 * n, 2: n * (n - 1)}
+    got = {r.node: tuple(r)[1:] for r in graphstats.centralities(star).collect()}
+    assert len(got) == n + 1 and got["hub"] == (1.0, 1.0, n * (n - 1) / 2, n * (n - 1) / 2) and got["leaf7"][2:] == (0.0, 0.0)
+    none = spark.createDataFrame([], "a string, b string")
+    assert graphstats.distance_counts(none).count() == graphstats.centralities(none).count() == 0

@@ -5,6 +5,10 @@ Edges are pairs (a, b). Steps that repeat are written to the shared folder betwe
 
 from __future__ import annotations
 
+import collections
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,37 +98,155 @@ def path_lengths(edges: DataFrame) -> DataFrame:
     return known
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """a, b, d, n: the shortest distance of all connected pairs, with the number of shortest paths. For small graphs."""
+def _core(edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with the leaves of a node drawn together: edges (a, b), and kin (node, rep, parent, weight) of the leaves.
+
+    Leaves of one node have the same distances to all others and lie on no path, so one of them, the least,
+    stands for all; weight is their number. Of an edge between two leaves both stay, without a row in kin.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
+    step = shared.saved(both, f"{path}/step")
+    degree = step.groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("parent"))
+    single = degree.filter("k = 1").select(F.col("a").alias("node"), "parent")
+    single = shared.saved(single, f"{path}/single")
+    pair = single.select(F.col("node").alias("parent"), F.col("parent").alias("node"))
+    leaves = single.join(pair, ["node", "parent"], "left_anti")
+    group = leaves.groupBy("parent").agg(F.min("node").alias("rep"), F.count("*").alias("weight"))
+    kin = shared.saved(leaves.join(group, "parent").select("node", "rep", "parent", "weight"), f"{path}/kin")
+    rest = step.filter("a < b").join(kin.select(F.col("node").alias("a")), "a", "left_anti").join(kin.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
+    return shared.saved(rest.unionByName(kin.filter("node = rep").select(F.col("parent").alias("a"), F.col("rep").alias("b"))), f"{path}/core"), kin
+
+
+class _Paths:
+    """Breadth-first searches over the core in one task, as arrays: nodes are numbered, neighbours lie together."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray):
+        tail, head = np.r_[a, b], np.r_[b, a]
+        order = np.argsort(tail, kind="stable")
+        self.head, self.weight, n = head[order], weight, len(weight)
+        self.start = np.searchsorted(tail[order], np.arange(n + 1))
+        self.far = np.full(n, -1, np.int64)
+
+    def levels(self, source: int):
+        """Of each distance from 1 on: its nodes, and the edges (from the distance before, place of the end in nodes)."""
+        front, seen, d = np.array([source]), [np.array([source])], 0
+        self.far[source] = 0
+        while True:
+            d += 1
+            size = self.start[front + 1] - self.start[front]
+            tail = np.repeat(front, size)
+            head = self.head[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[front], size)]
+            new = self.far[head] < 0
+            tail, head = tail[new], head[new]
+            if not len(head):
+                break
+            front = np.unique(head)
+            self.far[front] = d
+            seen.append(front)
+            yield d, front, tail, head
+        self.far[np.concatenate(seen)] = -1
+
+
+def _spread(edges: DataFrame, kin: DataFrame):
+    """The core as broadcast arrays, its nodes' names, and a table of its nodes' numbers."""
     spark = edges.sparkSession
-    path = shared.scratch(spark, "counted")
-    step = shared.saved(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{path}/step")
-    known = front = step.withColumn("d", F.lit(1)).withColumn("n", F.lit(1).cast("double"))
-    d = 1
-    while not front.isEmpty():
-        d += 1
-        reached = front.select("a", F.col("b").alias("m"), "n").join(step.select(F.col("a").alias("m"), "b"), "m").filter("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        front = shared.saved(reached.join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(d).alias("d"), "n"), f"{path}/{d}")
-        known = known.unionByName(front)
-    return shared.saved(known, f"{path}/all")
+    got, lead = edges.toArrow(), kin.filter("node = rep").select("node", "weight").toArrow()
+    ends = [got.column(c).to_numpy(zero_copy_only=False).astype(object) for c in "ab"]
+    names, at = np.unique(np.concatenate(ends), return_inverse=True) if got.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    weight = np.ones(len(names), np.int64)
+    weight[np.searchsorted(names, lead.column("node").to_numpy(zero_copy_only=False).astype(object))] = lead.column("weight").to_numpy()
+    parts = max(1, min(-(-len(names) // 16), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.sparkContext.broadcast((at[: got.num_rows], at[got.num_rows :], weight)), names, spark.range(0, len(names), 1, parts)
+
+
+def distance_counts(edges: DataFrame) -> DataFrame:
+    """d, pairs: how many ordered pairs of nodes have each shortest distance, without a row for a pair.
+
+    The leaves of a node count through one of them. What is left of the graph comes to the driver and to
+    every task, and each of its nodes searches it, so work grows with nodes times edges of that rest.
+    """
+    core, kin = _core(edges, shared.scratch(edges.sparkSession, "distances"))
+    graph, _, sources = _spread(core, kin)
+
+    def run(batches):
+        paths, total = _Paths(*graph.value), collections.Counter()
+        for batch in batches:
+            for source in batch.column("id").to_pylist():
+                w = int(paths.weight[source])
+                if w > 1:
+                    total[2] += w * (w - 1)
+                for d, front, _, _ in paths.levels(source):
+                    total[d] += w * int(paths.weight[front].sum())
+        yield pa.RecordBatch.from_pydict({"d": pa.array(total.keys(), pa.int32()), "pairs": pa.array(total.values(), pa.int64())})
+
+    return sources.mapInArrow(run, "d int, pairs long").groupBy("d").agg(F.sum("pairs").alias("pairs"))
 
 
 def centralities(edges: DataFrame) -> DataFrame:
-    """node, closeness, radiality, betweenness and stress of an undirected graph, within each component. For small graphs.
+    """node, closeness, radiality, betweenness and stress of an undirected graph, within each component.
 
     closeness is the number of other nodes reached over the sum of their distances; radiality the mean of
     diameter + 1 - distance over the diameter; stress counts the shortest paths through a node, and
     betweenness the share of each pair's shortest paths, pairs counted once.
+
+    The leaves of a node are searched from through one of them. What is left of the graph comes to the driver and to
+    every task, and each of its nodes searches it, so work grows with nodes times edges of that rest; no pair
+    of nodes is a row. Shares are summed back from the farthest nodes (Brandes).
     """
-    p = shortest_paths(edges)
-    top = p.agg(F.max("d").alias("diameter"))
-    near = p.join(F.broadcast(top)).groupBy(F.col("a").alias("node")).agg((F.count("*") / F.sum("d")).alias("closeness"), (F.avg(F.col("diameter") + 1 - F.col("d")) / F.max("diameter")).alias("radiality"))
-    left = p.select("a", F.col("b").alias("node"), F.col("d").alias("d1"), F.col("n").alias("n1"))
-    right = p.select(F.col("a").alias("node"), "b", F.col("d").alias("d2"), F.col("n").alias("n2"))
-    through = left.join(right, "node").filter("a < b").join(p, ["a", "b"]).filter("d1 + d2 = d")
-    inner = through.groupBy("node").agg(F.sum(F.col("n1") * F.col("n2")).alias("stress"), F.sum(F.col("n1") * F.col("n2") / F.col("n")).alias("betweenness"))
-    r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
-    return near.join(inner, "node", "left").select("node", r("closeness"), r("radiality"), r("betweenness"), r("stress"))
+    path = shared.scratch(edges.sparkSession, "central")
+    core, kin = _core(edges, path)
+    graph, names, sources = _spread(core, kin)
+    spark = edges.sparkSession
+
+    def run(batches):
+        paths = _Paths(*graph.value)
+        n, weight = len(paths.weight), paths.weight
+        between, stress, rows = np.zeros(n), np.zeros(n), []
+        ways, share, onward = np.zeros(n), np.zeros(n), np.zeros(n)
+        for batch in batches:
+            for source in batch.column("id").to_pylist():
+                w, levels = int(weight[source]), list(paths.levels(source))
+                reached, total, most = w - 1, 2 * (w - 1), 2 * (w > 1)
+                ways[:], share[:], onward[:] = 0, 0, 0
+                ways[source] = 1
+                for d, front, tail, head in levels:
+                    np.add.at(ways, head, ways[tail])
+                    here = int(weight[front].sum())
+                    reached, total, most = reached + here, total + d * here, max(most, d)
+                for _, _, tail, head in reversed(levels):
+                    np.add.at(share, tail, ways[tail] / ways[head] * (weight[head] + share[head]))
+                    np.add.at(onward, tail, weight[head] + onward[head])
+                share[source] = onward[source] = 0
+                between += w * share
+                stress += w * ways * onward
+                if w > 1:  # two leaves of one node meet in it
+                    (parent,) = paths.head[paths.start[source] : paths.start[source + 1]]
+                    between[parent] += w * (w - 1)
+                    stress[parent] += w * (w - 1)
+                rows.append((source, reached, total, most))
+        at = [r[0] for r in rows]
+        yield _central(at, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], np.zeros(len(at)), np.zeros(len(at)))
+        some = np.flatnonzero((between > 0) | (stress > 0))
+        none = np.zeros(len(some), np.int64)
+        yield _central(some, none, none, none, between[some] / 2, stress[some] / 2)
+
+    found = sources.mapInArrow(run, "id long, reached long, total long, most int, betweenness double, stress double")
+    found = found.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("reached", "total", "betweenness", "stress")), F.max("most").alias("most"))
+    found = shared.saved(found, f"{path}/found")
+    name = spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(names)), pa.int64()), "node": pa.array(names, pa.string())}))
+    diameter = found.agg(F.max("most").cast("double").alias("diameter"))
+    own = found.join(name.withColumn("node", F.col("node").cast(edges.schema["a"].dataType)), "id").crossJoin(F.broadcast(diameter)).drop("id")
+    alike = kin.filter("node <> rep").select(F.col("node").alias("other"), F.col("rep").alias("node"))
+    every = own.unionByName(own.join(alike, "node").drop("node").withColumnRenamed("other", "node"))
+    near = every.withColumn("closeness", F.col("reached") / F.col("total"))
+    near = near.withColumn("radiality", ((F.col("diameter") + 1) * F.col("reached") - F.col("total")) / F.col("reached") / F.col("diameter"))
+    r = lambda c: F.round(F.col(c), 6).alias(c)
+    return near.select("node", r("closeness"), r("radiality"), r("betweenness"), r("stress"))
+
+
+def _central(ids, reached, total, most, betweenness, stress) -> pa.RecordBatch:
+    kinds = {"id": pa.int64(), "reached": pa.int64(), "total": pa.int64(), "most": pa.int32(), "betweenness": pa.float64(), "stress": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, reached, total, most, betweenness, stress), kinds.values(), strict=True)], names=list(kinds))
 
 
 def walks(edges: DataFrame, steps: int, seed: int) -> DataFrame:
