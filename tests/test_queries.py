@@ -357,3 +357,17 @@ def test_nt_scan_shuffles_nothing_and_compresses(spark, duck, sf_small):
     assert rows_of(df.collect(), df.columns) == rows_of(found.fetchall(), [d[0] for d in found.description])
     lines = spark.createDataFrame([("<a> <b> <c> .",), ("<a>  <b> <c>.",)], "value string")
     assert tr.parse_nt(lines).count() == 1
+
+
+def test_named_components_move_hashes(spark, monkeypatch):
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("z", "y"), ("l", "l"), ("a", "a"), ("y", "x"), ("d", "c")], "a string, b string")
+    want = {**dict.fromkeys("abcd", "a"), **dict.fromkeys("xyz", "x"), "l": "l"}
+    kinds, plain = [], graphstats.components
+    monkeypatch.setattr(graphstats, "components", lambda e, *a: kinds.append(e.schema["a"].dataType.typeName()) or plain(e, *a))
+    got = graphstats.named_components(edges)
+    assert {r.node: r.component for r in got.collect()} == want and got.count() == 8
+    same = F.length  # hashes that collide: the names are taken
+    monkeypatch.setattr(graphstats.F, "xxhash64", lambda c: same(c).cast("long"))
+    got = graphstats.named_components(edges)
+    assert {r.node: r.component for r in got.collect()} == want and got.count() == 8
+    assert kinds == ["long", "string"]

@@ -58,12 +58,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = shared.saved(small.filter("u <> v").distinct(), f"{path}/small{i}")
         shared.remove(spark, before or f"{path}/start")
         shared.remove(spark, f"{path}/large{i}")
+        shared.release(spark)  # else the shuffle files of all rounds stay
         before = f"{path}/small{i}"
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def named_components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node) of every node of edges (a, b), which are strings; also of those with self-loops only.
+
+    The steps move 64-bit hashes of the names, not the names. Whether each hash has one name is checked; if not, the
+    names themselves are taken. Edges may repeat.
+    """
+    spark = edges.sparkSession
+    path = shared.scratch(spark, "named")
+    edges = shared.saved(edges.select("a", "b").filter("a is not null and b is not null"), f"{path}/edges")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    nodes = shared.saved(ends.groupBy(F.xxhash64("node").alias("id")).agg(F.min("node").alias("node"), F.max("node").alias("other")), f"{path}/nodes")
+    shared.release(spark)
+    if not nodes.filter("node <> other").isEmpty():
+        found = components(edges)
+        return found.unionByName(ends.distinct().join(found, "node", "left_anti").withColumn("component", F.col("node")))
+    hashed = shared.saved(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).filter("a <> b").distinct(), f"{path}/hashed")
+    shared.remove(spark, f"{path}/edges")
+    shared.release(spark)
+    found = components(hashed).toDF("id", "root")
+    placed = shared.saved(nodes.select("id", "node").join(found, "id", "left").select("node", F.coalesce("root", "id").alias("root")), f"{path}/placed")
+    for done in ("hashed", "nodes"):
+        shared.remove(spark, f"{path}/{done}")
+    shared.release(spark)
+    least = placed.groupBy("root").agg(F.min("node").alias("component"))
+    return placed.join(least, "root").select("node", "component")
+
+
 def clustering(pairs: DataFrame) -> DataFrame:
     """node and the share of its neighbour pairs that are linked. Each triangle is found once, from its end of least degree."""
     e = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
