@@ -35,7 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Empty texts are copies of nothing and stay.
     """
-    found = store.save(jaccard.jaccard_components(docs, k=5, num=4, den=5), store.scratch(spark, "groups"))
+    base = store.scratch(spark, "jaccard")
+    found = store.save(jaccard.jaccard_components(docs, k=5, num=4, den=5, base=base), store.scratch(spark, "groups"))
+    store.remove(spark, base)
     return _without(docs, found.filter("component_id <> doc_id"))
 
 
@@ -46,7 +48,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     compared by it and stay as they are; a null text becomes an empty one.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix.dedup_substrings(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
+    base = store.scratch(spark, "suffix")
+    found = store.save(suffix.dedup_substrings(docs, carry=others, as_text=True, base=base), store.scratch(spark, "kept"))
+    store.remove(spark, base)
+    found = found.withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text"))
     kinds = docs.schema

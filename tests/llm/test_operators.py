@@ -656,6 +656,20 @@ def test_search_leaves_out_groups_and_keeps_large_integers():
         assert found[int(q)] == [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in every]
 
 
+def test_stages_leave_no_intermediate_tables(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "en"), (2, text, "en"), (3, "other " + text[:120], "en"), (4, None, "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(store, "scratch", lambda spark, tag: f"file://{tmp_path}/weft-{tag}-{random.randrange(2**60)}")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, kept, "").collect()}
+    assert cut == {1: text, 3: "other ", 4: ""}
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))}
+    assert left == {"weft-groups", "weft-kept"}
+
+
 def test_word_scan():
     import pyarrow as pa
 

@@ -236,27 +236,28 @@ def forest(sets: list[np.ndarray], label: np.ndarray, num: int, den: int) -> lis
     return sorted({(int(u), int(v)) for u, v in zip(label, least[root]) if u != v})
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, base: str | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     Two documents link when den * |intersection| >= num * |union| of their sets of k-word shingles (A-Z
     lower-cased; with fewer words the whole sequence is the only shingle). component_id is the least
     doc_id that links reach. Null or wordless texts have the empty set and link with nothing. Rows
     without doc_id are left out; repeated rows give repeated rows. Other columns are ignored. An empty
-    table gives no rows.
+    table gives no rows. Intermediate tables are in the folder base; it may go when the result is written.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    base = store.scratch(spark, "jaccard")
+    base = base or store.scratch(spark, "jaccard")
     feats = store.save(texts.mapInArrow(store.freed(_features(k, num, den)), FEATURES), f"{base}/features")
 
-    rows = feats.select("doc_id", "n", "k1", "k2")
+    rows = store.save(feats.select("doc_id", "n", "k1", "k2"), f"{base}/rows")
     classes = store.save(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), f"{base}/classes")
     # a class is named by its key k1; its least doc_id tells where to read its text, and may be that of other classes too
     pairs = feats.select(F.explode("sigs").alias("sig"), "k1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = pairs.repartitionByRange(parts, "sig", "k1").sortWithinPartitions("sig", "k1")
     blocks = store.save(ordered.mapInArrow(store.freed(_blocks), "sig long, members array<long>"), f"{base}/blocks")
+    store.remove(spark, f"{base}/features")
 
     cut = blocks.withColumn("at", F.element_at("members", 1))
     many = cut.groupBy("sig").agg(F.count("*").alias("blocks")).filter("blocks > 1")
@@ -268,6 +269,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     tiles = store.save(tiles, f"{base}/tiles")
     member = tiles.select("tile", F.explode("members").alias("id"))
     member = store.save(member, f"{base}/members")
+    for done in ("blocks", "tiles"):
+        store.remove(spark, f"{base}/{done}")
 
     def of_classes(ids: DataFrame, render) -> DataFrame:
         """render(sorted shingles) of the classes with these ids, as column items, with their size n (and of others that share a document's id)."""
@@ -298,10 +301,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
             ids, tile = table.column("id").to_numpy(), table.column("tile")[0].as_py()
             keep, pairs = sieve(table.column("n").to_numpy(), maps, table.column("label").to_numpy(), num, den, sparse)
             if pairs is None:
-                return pa.table({"tile": pa.array([tile] * len(keep), pa.int64()), "id": pa.array(ids[keep])})
+                return pa.table({"tile": pa.array([tile] * len(keep), pa.int64()), "id": pa.array(ids[keep]), "origin": pa.array([tile] * len(keep), pa.int64())})
             pair = np.sort(ids[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)  # a pair is a tile of two, the same from any tile
             name = bs.join_hash(pair[:, 0].view(U64), pair[:, 1].view(U64), 11).view(np.int64)
-            return pa.table({"tile": pa.array(np.repeat(name, 2), pa.int64()), "id": pa.array(pair.reshape(-1), pa.int64())})
+            return pa.table({"tile": pa.array(np.repeat(name, 2), pa.int64()), "id": pa.array(pair.reshape(-1), pa.int64()), "origin": pa.array([tile] * (2 * len(pair)), pa.int64())})
 
         return run
 
@@ -332,12 +335,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     home = member.join(size, "tile").groupBy("id").agg(F.max_by("tile", F.struct("size", "tile")).alias("tile"))
     verify(home, "home")
     maps = store.save(of_classes(member, _bitmap), f"{base}/bitmaps", "uncompressed")
+    sifted = member
     for name, sparse in (("sparse", True), ("all", False)):
-        open_tiles = with_label(member).join(maps, "id").groupBy("tile").applyInArrow(store.freed_group(sift(sparse)), "tile long, id long").dropDuplicates()
-        left = store.save(open_tiles, f"{base}/sifted-{name}")
+        # only tiles between components move their bitmaps; after the first sifting, only those that gave a pair: the others have none at all
+        labelled = store.save(with_label(sifted), f"{base}/labelled-{name}")
+        across = labelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("tile")
+        met = labelled.join(across, "tile", "left_semi").join(maps, "id")
+        left = store.save(met.groupBy("tile").applyInArrow(store.freed_group(sift(sparse)), "tile long, id long, origin long"), f"{base}/sifted-{name}")
+        store.remove(spark, f"{base}/labelled-{name}")
         if left.isEmpty():
             break  # no pair between components is left
-        verify(left, name)
+        verify(left.select("tile", "id").distinct(), name)
+        sifted = member.join(left.select(F.col("origin").alias("tile")).distinct(), "tile", "left_semi")
+    for done in ("bitmaps", "members"):
+        store.remove(spark, f"{base}/{done}")
     named = with_label(classes.withColumnRenamed("id", "least").withColumn("id", F.col("k1")))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.select("k1", "k2", "n", "label").join(least, "label")

@@ -436,13 +436,13 @@ def _apply(batches, schema: pa.Schema):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES, hot_contents: int = HOT_CONTENTS, as_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES, hot_contents: int = HOT_CONTENTS, as_text: bool = False, base: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of every row of docs (doc_id, text).
 
     With as_text, kept is a string, without characters of which only a part stayed. Null texts are empty.
     Texts of under 50 bytes never lose a byte; texts may be of any length. Rows without doc_id are left out.
     Repeated rows (equal doc_id) do not remove each other. Columns named in carry follow the result's own;
-    other columns are ignored. An empty table gives no rows.
+    other columns are ignored. An empty table gives no rows. Intermediate tables are in the folder base; it may go when the result is written.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -450,7 +450,7 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), batch_bytes:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *others).filter("doc_id is not null")
     rows = rows.withColumn("digest", F.md5(F.encode("text", "utf-8")))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
-    base = store.scratch(spark, "suffix")
+    base = base or store.scratch(spark, "suffix")
     marked = rows.join(first, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("original"), *(f"carry{i}" for i in range(len(carry))))
     result = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
     arrow = to_arrow_schema(result)
