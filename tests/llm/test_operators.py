@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import itertools
 import random
 import re
 import zlib
@@ -291,6 +292,39 @@ def test_bitmaps_never_rule_out_a_link():
             assert len(left) or 19 * common < 9 * size.sum()
 
 
+@pytest.mark.parametrize(("each", "least"), [jaccard.SMALL_MAP, jaccard.LARGE_MAP])
+def test_bitmaps_of_either_size_keep_links(each, least):
+    rnd = np.random.default_rng(6)
+    for n in (1, 9, 70, 900, 70_000):
+        base = np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
+        other = base[: max(1, len(base) * 9 // 10)]  # the least similarity that links at 9 of 10
+        sets = sorted((base, other), key=len)
+        size = np.array([len(x) for x in sets], np.int64)
+        maps = [jaccard._bitmap(x, each, least) for x in sets]
+        assert all(least <= 64 * len(m) <= max(least, 2 * each * n) for m in maps)
+        left = jaccard._bounded(0, size, jaccard._folded(maps), np.array([1]), 9, 10)
+        assert len(left) or 10 * len(other) < 9 * len(base)
+
+
+def test_jaccard_moves_large_items_of_few(spark, monkeypatch):
+    rnd = random.Random(8)
+    common = words(rnd, 170)
+    far = [f"{common} {words(rnd, 50)}" for _ in range(40)]  # they share parts, so tiles, but not nine tenths
+    near = words(rnd, 200)
+    texts = [*far, near, f"{near} more"]
+    rows, save = {}, store.save
+
+    def counted(df, path, *rest, **named):
+        out = save(df, path, *rest, **named)
+        rows[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(store, "save", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), 3, 9, 10).collect()}
+    assert got == jaccard_by_brute_force(texts, 3, 9, 10)
+    assert rows["small"] > 30 and rows["bitmaps"] == rows["thin"] == 2
+
+
 def test_forest_gives_stars_between_labels():
     one, far = np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)
     sets = [one, one[:99], far, one[1:], far[:98]]
@@ -656,6 +690,29 @@ def test_search_leaves_out_groups_and_keeps_large_integers():
         assert found[int(q)] == [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in every]
 
 
+def test_buckets_are_those_of_spark(spark):
+    keys = [0, 1, -1, 7 << 32, (3 << 32) | 12345, -(2**63), 2**63 - 1]
+    for n in (1, 8, 211):
+        want = [r.b for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.expr(f"pmod(hash(k), {n})").alias("b")).collect()]
+        assert store.bucket_of(np.array(keys), n).tolist() == want
+        own = list(itertools.islice(store.keys_in_bucket(300, n), 500))
+        assert len(set(own)) == 500 and {k >> 32 for k in own} == {300} and set(store.bucket_of(np.array(own), n).tolist()) == {300 % n}
+
+
+def test_batches_are_written_without_a_shuffle(spark, monkeypatch, tmp_path):
+    rnd = random.Random(9)
+    texts = [words(rnd, 60) for _ in range(200)] + [None, ""]
+    saved = []
+    monkeypatch.setattr(store, "save_bucketed", lambda df, *rest, save=store.save_bucketed: saved.append((df, save(df, *rest))) or saved[0][1])
+    got = suffix.dedup_substrings(docs_of(spark, texts), batch_bytes=2000, base=f"file://{tmp_path}/suffix")
+    assert got.count() == len(texts)
+    source, batches = saved[0]
+    files = list((tmp_path / "suffix/batches").glob("*.parquet"))
+    assert batches.count() > 2 * len(files) and len(files) <= 8  # a file for each task, which is one bucket
+    assert "Exchange" not in batches.groupBy("batch").count()._jdf.queryExecution().executedPlan().toString()
+    assert source.agg(F.max(F.spark_partition_id())).first()[0] < 8
+
+
 def test_stages_leave_no_intermediate_tables(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 

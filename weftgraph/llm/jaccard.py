@@ -4,16 +4,18 @@
 2. Size bands. Sets whose sizes lie in one band are cut by hash into the same number of parts, one
    more than the elements in which two linked sets can differ, so two linked sets agree in some part.
    The hash of a part's elements is a signature. Sets near a band's edge take part in the next band too.
-3. Tiles. Signatures are range-sorted by Spark; classes with the same one form blocks of bounded size,
+3. Tiles. Signatures are range-sorted by Spark, a slice of them at a time; classes with the same one form blocks of bounded size,
    and a block alone or a pair of blocks of one signature is a tile. A hot signature makes many tiles.
 4. In a tile, each set is hashed into a bitmap. Sets that differ in d bits differ in d elements at
-   least, which bounds their overlap from above; only pairs that pass are intersected exactly, and pairs
-   that are connected already are skipped. A tile gives stars of components, not all pairs.
+   least, which bounds their overlap from above. All tiles meet with small bitmaps; what these leave, as
+   pairs or as smaller tiles, meets with larger ones, and only pairs that pass both are intersected
+   exactly. Pairs that are connected already are skipped. A tile gives stars of components, not all pairs.
 5. Connected components of the classes by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,6 +30,10 @@ from weftgraph.llm.graph import components
 U64 = np.uint64
 #: Classes in one block of a tile.
 BLOCK = 1024
+#: Bits of a bitmap for each element at least, and the least bitmap: of the first sifting, and of the later ones.
+SMALL_MAP, LARGE_MAP = (4, 256), (16, 1024)
+#: Columns into which signatures are dealt, which are then sorted one after the other.
+SLICES = 3
 #: Pairs for each set of a tile up to which they go on one by one; beyond, the tile goes on as it is.
 FEW_PAIRS = 2
 #: Ids that may be broadcast (16 MB); beyond, the same join shuffles.
@@ -92,32 +98,36 @@ def _class_key(s: np.ndarray) -> tuple[int, int]:
         return int(np.add.reduce(bs.mix(s)).view(np.int64)), int(np.add.reduce(bs.mix(s ^ bs.M1)).view(np.int64))
 
 
-FEATURES = "doc_id long, n long, k1 long, k2 long, sigs array<long>"
+FEATURES = "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"sigs{i} array<long>" for i in range(SLICES))
 
 
 def _features(k: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *((f"sigs{i}", pa.list_(pa.int64())) for i in range(SLICES))])
 
     def run(batches):
         for batch in batches:
-            seen, rows, sigs, ends = set(), [], [], [0]
+            seen, rows, sigs, size = set(), [], [], 0
 
             def flush():
-                values = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64))
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-                return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], schema=schema)
+                ends = np.cumsum([0, *map(len, sigs)])
+                values = np.concatenate([np.zeros(0, U64), *sigs])
+                for i in range(SLICES):
+                    own = values % U64(SLICES) == U64(i)
+                    before = np.r_[0, np.cumsum(own)][ends]
+                    columns.append(pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(values[own].view(np.int64))))
+                return pa.RecordBatch.from_arrays(columns, schema=schema)
 
             for doc_id, s in _sets(batch, k):
                 key = _class_key(s)
                 new = len(s) and key not in seen
                 seen.add(key)
                 rows.append((doc_id, len(s), *key))
-                if new:
-                    sigs.append(signatures(s, num, den))
-                ends.append(ends[-1] + (len(sigs[-1]) if new else 0))
-                if ends[-1] > 1 << 20:
+                sigs.append(signatures(s, num, den) if new else np.zeros(0, U64))
+                size += len(sigs[-1])
+                if size > 1 << 20:
                     yield flush()
-                    rows, sigs, ends = [], [], [0]
+                    rows, sigs, size = [], [], 0
             if rows:
                 yield flush()
 
@@ -161,9 +171,9 @@ def _blocks(batches):
         yield out([(held_sig, held)])
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of 16 to 32 bits for each element (fewer for very large sets); the size is a power of two."""
-    bits = 1 << max(10, min(18, int(16 * len(s)).bit_length()))
+def _bitmap(s: np.ndarray, each: int = LARGE_MAP[0], least: int = LARGE_MAP[1]) -> np.ndarray:
+    """A bitmap of each to 2 * each bits for each element (fewer for very large sets); the size is a power of two, least at least."""
+    bits = max(least, 1 << min(18, (each * len(s)).bit_length()))
     out = np.zeros(bits // 64, U64)
     b = bs.mix(s ^ U64(0x5EED)) & U64(bits - 1)
     np.bitwise_or.at(out, (b >> U64(6)).astype(np.int64), U64(1) << (b & U64(63)))
@@ -253,10 +263,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     rows = store.save(feats.select("doc_id", "n", "k1", "k2"), f"{base}/rows")
     classes = store.save(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), f"{base}/classes")
     # a class is named by its key k1; its least doc_id tells where to read its text, and may be that of other classes too
-    pairs = feats.select(F.explode("sigs").alias("sig"), "k1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pairs.repartitionByRange(parts, "sig", "k1").sortWithinPartitions("sig", "k1")
-    blocks = store.save(ordered.mapInArrow(store.freed(_blocks), "sig long, members array<long>"), f"{base}/blocks")
+    sliced = []
+    for i in range(SLICES):  # all of one signature are in one slice
+        pairs = feats.select(F.explode(f"sigs{i}").alias("sig"), "k1")
+        ordered = pairs.repartitionByRange(parts, "sig", "k1").sortWithinPartitions("sig", "k1")
+        sliced.append(store.save(ordered.mapInArrow(store.freed(_blocks), "sig long, members array<long>"), f"{base}/blocks/{i}"))
+    blocks = functools.reduce(DataFrame.unionByName, sliced)
     store.remove(spark, f"{base}/features")
 
     cut = blocks.withColumn("at", F.element_at("members", 1))
@@ -306,7 +319,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
             name = bs.join_hash(pair[:, 0].view(U64), pair[:, 1].view(U64), 11).view(np.int64)
             return pa.table({"tile": pa.array(np.repeat(name, 2), pa.int64()), "id": pa.array(pair.reshape(-1), pa.int64()), "origin": pa.array([tile] * (2 * len(pair)), pa.int64())})
 
-        return run
+        return store.freed_group(run)
+
+    sifted_columns = "tile long, id long, origin long"
 
     def link(table: pa.Table) -> pa.Table:
         items = [np.frombuffer(x, U64) for x in table.column("items").to_pylist()]
@@ -329,8 +344,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         if not edges.isEmpty():
             joins.append(components(edges, f"{base}/components-{name}"))
 
-    # first each class in its largest tile only; then, between the components so far, a forest of the pairs
+    # first, small bitmaps thin out all tiles: most hold no pair that could link, and only what is left moves larger
+    # items. Then each class in its largest tile only; then, between the components so far, a forest of the pairs
     # that the bitmaps leave; then all pairs that are left between components
+    maps = store.save(of_classes(member, lambda s: _bitmap(s, *SMALL_MAP)), f"{base}/small", "uncompressed")
+    thin = member.withColumn("label", F.col("id")).join(maps, "id").groupBy("tile").applyInArrow(sift(False), sifted_columns)
+    member = store.save(thin.select("tile", "id").distinct(), f"{base}/thin")
+    for done in ("small", "members"):
+        store.remove(spark, f"{base}/{done}")
     size = member.groupBy("tile").agg(F.count("*").alias("size"))
     home = member.join(size, "tile").groupBy("id").agg(F.max_by("tile", F.struct("size", "tile")).alias("tile"))
     verify(home, "home")
@@ -341,13 +362,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         labelled = store.save(with_label(sifted), f"{base}/labelled-{name}")
         across = labelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("tile")
         met = labelled.join(across, "tile", "left_semi").join(maps, "id")
-        left = store.save(met.groupBy("tile").applyInArrow(store.freed_group(sift(sparse)), "tile long, id long, origin long"), f"{base}/sifted-{name}")
+        left = store.save(met.groupBy("tile").applyInArrow(sift(sparse), sifted_columns), f"{base}/sifted-{name}")
         store.remove(spark, f"{base}/labelled-{name}")
         if left.isEmpty():
             break  # no pair between components is left
         verify(left.select("tile", "id").distinct(), name)
         sifted = member.join(left.select(F.col("origin").alias("tile")).distinct(), "tile", "left_semi")
-    for done in ("bitmaps", "members"):
+    for done in ("bitmaps", "thin"):
         store.remove(spark, f"{base}/{done}")
     named = with_label(classes.withColumnRenamed("id", "least").withColumn("id", F.col("k1")))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -8,11 +8,12 @@ import gc
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.shared import remove, scratch, shared_dir
 
-__all__ = ["freed", "freed_group", "parts_for", "release", "remove", "save", "save_bucketed", "scratch", "shared_dir", "trim"]
+__all__ = ["bucket_of", "freed", "freed_group", "keys_in_bucket", "parts_for", "release", "remove", "save", "save_bucketed", "scratch", "shared_dir", "trim"]
 
 
 #: Seconds between two times that a worker gives memory back while it works on groups.
@@ -74,14 +75,39 @@ def save(df: DataFrame, path: str, compression: str = "zstd", partition_by: str
     return spark.read.schema(schema).parquet(path)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets in which Spark puts long keys: murmur3 of 32 bits, seed 42."""
+    u32 = np.uint32
+    turned = lambda x, r: (x << u32(r)) | (x >> u32(32 - r))
+    keys = np.asarray(keys, np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = np.full(len(keys), 42, u32)
+        for k in ((keys & np.uint64(0xFFFFFFFF)).astype(u32), (keys >> np.uint64(32)).astype(u32)):
+            h = turned(h ^ turned(k * u32(0xCC9E2D51), 15) * u32(0x1B873593), 13) * u32(5) + u32(0xE6546B64)
+        h ^= u32(8)
+        h = (h ^ (h >> u32(16))) * u32(0x85EBCA6B)
+        h = (h ^ (h >> u32(13))) * u32(0xC2B2AE35)
+        h ^= h >> u32(16)
+    return h.view(np.int32).astype(np.int64) % buckets
+
+
+def keys_in_bucket(part: int, buckets: int):
+    """Keys of a task's own, part in their upper half, that all lie in the bucket part % buckets: its rows need no shuffle to be bucketed."""
+    step = 16 * buckets
+    for first in range(0, 1 << 32, step):
+        keys = (part << 32) | np.arange(first, first + step, dtype=np.int64)
+        yield from keys[bucket_of(keys, buckets) == part % buckets].tolist()
+
+
 def save_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
-    """Writes df dealt out by key, one file for each bucket, and reads it back: joins by key do not move its rows again.
+    """Writes df, a file for each task and each bucket of key in it, and reads it back: joins by key do not move its rows again.
 
+    Rows are not dealt out first; keys from keys_in_bucket give a task one file.
     Bucketing needs a name in the catalog while the table is opened; the name goes, the files stay.
     """
     spark = df.sparkSession
     name = f"weft_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).option("compression", "uncompressed").saveAsTable(name)
     opened = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     release(spark)
@@ -89,8 +115,12 @@ def save_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now, not at its next collection."""
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now, not at its next collection.
+
+    Spark's scheduler threads hold the last job that they saw, so another, of one row, follows it first.
+    """
     gc.collect()
+    spark.range(0, 1, 1, 1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
