@@ -371,3 +371,48 @@ def test_named_components_move_hashes(spark, monkeypatch):
     got = graphstats.named_components(edges)
     assert {r.node: r.component for r in got.collect()} == want and got.count() == 8
     assert kinds == ["long", "string"]
+
+
+def test_stars_are_the_iri_edges_of_the_graph(spark):
+    rows = spark.createDataFrame([(1, "x y", [3, None, 3], 7), (1, "", [], 8), (2, None, None, 7), (None, "x", [4], 7), (3, None, None, None)], "id int, name string, parts array<int>, up long")
+    ups = spark.createDataFrame([(7, "p+q"), (7, "r"), (9, "s")], "k long, n string")
+    parent = mapping.TripleMap("ups", mapping.Template("up/{n}"), "Up")
+    pairs = (("label", mapping.Literal("name")), ("named", mapping.Template("name/{name}")), ("root", mapping.Constant("world")), ("has", mapping.Each("parts", "part/{it}")), ("up", mapping.Reference(parent, "up", "k")))
+    specs, tables = [mapping.TripleMap("t", mapping.Template("a/{id}"), "A", pairs), parent], {"t": rows, "ups": ups}
+    want = {(r.s, r.o) for r in mapping.graph(specs, tables).filter("p <> 'type' and o_kind = 'iri'").collect()}
+    got = mapping.stars(specs, tables)
+    assert {(r.node, o) for r in got.collect() for o in r.near} == want and ("a/1", "name/x%20y") in want and ("a/1", "up/p%2Bq") in want
+    with pytest.raises(ValueError, match="no column"):
+        mapping.stars(specs, tables | {"t": rows.drop("parts")})
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 0])
+def test_linked_components(spark, monkeypatch, chunk):
+    import random
+
+    monkeypatch.setattr(graphstats, "CHUNK_EDGES", chunk)  # 0: the driver takes no one-task step
+    random.seed(5)
+    n, least = 300, {}
+    pairs = [(i, i + 1) for i in range(60)] + [(200, 200)] + [tuple(random.sample(range(61, 200), 2)) for _ in range(70)] + [(201 + i % 7 * 9, 202 + i) for i in range(90)]
+    group = list(range(n))
+    for a, b in pairs:
+        old, new = group[a], group[b]
+        group = [new if g == old else g for g in group]
+    name = lambda i: f"é{i:03}"
+    for i in sorted({x for p in pairs for x in p}):
+        least.setdefault(group[i], name(i))
+    want = {name(i): least[group[i]] for p in pairs for i in p}
+    random.shuffle(pairs)
+    rows = [(name(a), [name(b)]) for a, b in pairs] + [(name(0), [name(5), name(1), name(0)])] * 2
+    got = graphstats.linked_components(spark.createDataFrame(rows, "node string, near array<string>").repartition(40))
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert graphstats.linked_components(spark.createDataFrame([], "node string, near array<string>")).count() == 0
+
+
+def test_components_read_the_responses_once(spark, duck, sf_small, monkeypatch):
+    plans, saved = [], graphstats.shared.saved
+    monkeypatch.setattr(graphstats.shared, "saved", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, path))
+    df = catalogue.QUERIES["components"](spark, sf_small)
+    found = duck.execute(catalogue.ORACLES["components"])
+    assert rows_of(df.collect(), df.columns) == rows_of(found.fetchall(), [d[0] for d in found.description])
+    assert sum(p.count("Relation [l_orderkey") for p in plans) == 1

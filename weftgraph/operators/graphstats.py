@@ -9,6 +9,8 @@ import collections
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,116 @@ def named_components(edges: DataFrame) -> DataFrame:
     return placed.join(least, "root").select("node", "component")
 
 
+CHUNK_EDGES = 4_000_000  # a task joins so many edges at a time, in arrays
+CHUNK_BYTES = 256 << 20  # or names of so many bytes
+MERGE_ROWS = 1_000_000  # rows of a task that compares the chunks' results
+
+
+def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, for nodes 0 to n - 1 and edges (u, v)."""
+    root = np.arange(n)
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    return root
+
+
+def _slices(table: pa.Table, rows: int = 100_000):
+    return table.combine_chunks().to_batches(max_chunksize=rows)
+
+
+def _join_chunks(batches):
+    """node, root, lead of the stars of a task, joined chunk by chunk: nodes of one root are connected.
+
+    A root is a number of its own for each component of a chunk, smaller for larger components. Its least node comes
+    again, as lead.
+    """
+    task, made = TaskContext.get().partitionId(), 0
+
+    def joined(chunk):
+        nonlocal made
+        heads, flat = pa.concat_arrays([b.column(0) for b in chunk]), pa.concat_arrays([b.column(1).flatten() for b in chunk])
+        size = np.concatenate([pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False) for b in chunk])
+        known = pa.concat_arrays([heads, flat]).dictionary_encode()
+        code, nodes = known.indices.to_numpy(), known.dictionary
+        root = _roots(np.repeat(code[: len(heads)], size), code[len(heads) :], len(nodes))
+        least, at, count = np.unique(root, return_inverse=True, return_counts=True)
+        place = 63 - np.frexp(count.astype(float))[1].astype(np.int64)  # fewer for more nodes
+        number = (place << 57) | (task << 35) | (made + np.arange(len(least)))
+        made += len(least)
+        table = pa.table({"node": nodes, "root": pa.array(number[at])})
+        leads = table.group_by("root").aggregate([("node", "min")])
+        yield from _slices(table.append_column("lead", pa.array(np.zeros(len(nodes), bool))))
+        yield from _slices(pa.table({"node": leads.column("node_min"), "root": leads.column("root"), "lead": pa.array(np.ones(len(leads), bool))}))
+
+    chunk, edges, size = [], 0, 0
+    for batch in batches:
+        chunk.append(batch)
+        edges, size = edges + len(batch.column(1).flatten()), size + batch.nbytes
+        if edges >= CHUNK_EDGES or size >= CHUNK_BYTES:
+            yield from joined(chunk)
+            chunk, edges, size = [], 0, 0
+    if chunk:
+        yield from joined(chunk)
+
+
+def _compare_chunks(batches):
+    """node and its least root, for all rows (node, root) of a node; and, with other, the roots that a node says are one."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    known = pa.concat_arrays([b.column(0) for b in rows]).dictionary_encode()
+    code, nodes = known.indices.to_numpy(), known.dictionary
+    root = np.concatenate([b.column(1).to_numpy() for b in rows])
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, root)
+    yield from _slices(pa.table({"node": nodes, "root": pa.array(least), "other": pa.nulls(len(nodes), pa.int64())}))
+    apart = least[code] != root
+    if apart.any():
+        one, other = np.unique(np.stack([least[code][apart], root[apart]]), axis=1)
+        yield from _slices(pa.table({"node": pa.nulls(len(one), nodes.type), "root": pa.array(one), "other": pa.array(other)}))
+
+
+def linked_components(stars: DataFrame) -> DataFrame:
+    """node and component (its least node) of every node of stars (node, near), near being an array of its neighbours; stars may repeat.
+
+    Tasks join what they read in chunks, and only a node with its chunk's root moves to where all rows of the node meet;
+    they say which roots are one. Roots are then joined in the same way, few links in one task; where that leaves more than
+    half as many links as there were rows, by large-star and small-star steps. Nodes are compared whole, not by hashes.
+    """
+    spark = stars.sparkSession
+    path, kind = shared.scratch(spark, "linked"), stars.schema["node"].dataType.simpleString()
+    local = shared.saved(stars.mapInArrow(_join_chunks, f"node {kind}, root long, lead boolean"), f"{path}/local")
+    shared.release(spark)
+    rows = local.filter("not lead").select("node", "root")
+    n = rows.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MERGE_ROWS))
+    both = shared.saved(rows.repartition(parts, "node").mapInArrow(_compare_chunks, f"node {kind}, root long, other long"), f"{path}/placed")
+    placed = both.filter("other is null").select("node", "root")
+    same = shared.saved(both.filter("other is not null").select("root", "other").distinct(), f"{path}/same")
+    leads = shared.saved(local.filter("lead").select("root", "node"), f"{path}/leads")
+    shared.remove(spark, f"{path}/local")
+    shared.release(spark)
+    if links := same.count():
+        near = same.select(F.col("root").alias("node"), F.array("other").alias("near"))
+        if links < CHUNK_EDGES:  # one chunk
+            found = linked_components(near.coalesce(1))
+        else:
+            found = linked_components(near) if links * 2 < n else components(same.toDF("a", "b"))
+        ends = leads.join(found.toDF("root", "final"), "root", "left").select("root", "node", F.coalesce("final", "root").alias("final"))
+        least = ends.groupBy("final").agg(F.min("node").alias("component"))
+        leads = ends.join(least, "final").select("root", "component")
+    used = shared.saved(leads.toDF("root", "component").join(placed.select("root").distinct(), "root", "left_semi"), f"{path}/used")
+    for done in ("same", "leads"):
+        shared.remove(spark, f"{path}/{done}")
+    shared.release(spark)
+    return placed.join(F.broadcast(used) if used.count() <= 1_000_000 else used, "root").select("node", "component")
+
+
 def clustering(pairs: DataFrame) -> DataFrame:
     """node and the share of its neighbour pairs that are linked. Each triangle is found once, from its end of least degree."""
     e = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
