@@ -128,9 +128,16 @@ def _join_chunks(batches):
         nonlocal made
         heads, flat = pa.concat_arrays([b.column(0) for b in chunk]), pa.concat_arrays([b.column(1).flatten() for b in chunk])
         size = np.concatenate([pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False) for b in chunk])
+        owner = np.repeat(np.arange(len(heads)), size)
+        if flat.null_count or heads.null_count:
+            full = flat.is_valid().to_numpy(zero_copy_only=False) & heads.is_valid().to_numpy(zero_copy_only=False)[owner]
+            flat, owner = flat.filter(pa.array(full)), owner[full]
+        used = np.bincount(owner, minlength=len(heads)) > 0
+        if not used.all():
+            heads, owner = heads.filter(pa.array(used)), (np.cumsum(used) - 1)[owner]
         known = pa.concat_arrays([heads, flat]).dictionary_encode()
         code, nodes = known.indices.to_numpy(), known.dictionary
-        root = _roots(np.repeat(code[: len(heads)], size), code[len(heads) :], len(nodes))
+        root = _roots(code[owner], code[len(heads) :], len(nodes))
         least, at, count = np.unique(root, return_inverse=True, return_counts=True)
         place = 63 - np.frexp(count.astype(float))[1].astype(np.int64)  # fewer for more nodes
         number = (place << 57) | (task << 35) | (made + np.arange(len(least)))
@@ -169,8 +176,9 @@ def _compare_chunks(batches):
 
 
 def linked_components(stars: DataFrame) -> DataFrame:
-    """node and component (its least node) of every node of stars (node, near), near being an array of its neighbours; stars may repeat.
+    """node and component (its least node) of every node of stars (node, near), near being an array of its neighbours.
 
+    Stars may repeat; nulls are no nodes, and a node without neighbours is left out.
     Tasks join what they read in chunks, and only a node with its chunk's root moves to where all rows of the node meet;
     they say which roots are one. Roots are then joined in the same way, few links in one task; where that leaves more than
     half as many links as there were rows, by large-star and small-star steps. Nodes are compared whole, not by hashes.
