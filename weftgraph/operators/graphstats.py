@@ -186,9 +186,9 @@ def linked_components(stars: DataFrame) -> DataFrame:
     spark = stars.sparkSession
     path, kind = shared.scratch(spark, "linked"), stars.schema["node"].dataType.simpleString()
     local = shared.saved(stars.mapInArrow(_join_chunks, f"node {kind}, root long, lead boolean"), f"{path}/local")
-    shared.release(spark)
     rows = local.filter("not lead").select("node", "root")
     n = rows.count()
+    shared.release(spark)  # after a job: until then the listeners can hold the plan that was saved, with its shuffles
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MERGE_ROWS))
     both = shared.saved(rows.repartition(parts, "node").mapInArrow(_compare_chunks, f"node {kind}, root long, other long"), f"{path}/placed")
     placed = both.filter("other is null").select("node", "root")
